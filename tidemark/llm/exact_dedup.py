@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .exchange import mark_repeated
 
 #: Bits beyond log2(rows): a row is a false suspect about once in 2**EXTRA_BITS.
 EXTRA_BITS = 16
@@ -37,38 +37,6 @@ def normalise(b: bytes) -> bytes:
     return (b" " if b[0] in _SPACE else b"") + core + (b" " if b[-1] in _SPACE else b"")
 
 
-def rice_encode(values: np.ndarray, bits: int) -> bytes:
-    """Sorted distinct integers below 2**bits as Rice-coded gaps: a unary stream of
-    quotients, then the remainders, k bits each; k follows from the mean gap."""
-    n = len(values)
-    if not n:
-        return b""
-    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    k = max(0, int(math.log2(max(1.0, float(values[-1]) / n))))
-    q = (gaps >> np.uint64(k)).astype(np.int64)
-    unary = np.ones(int(q.sum()) + n, np.uint8)
-    unary[np.cumsum(q + 1) - 1] = 0
-    rest = ((gaps[:, None] >> np.arange(k, dtype=np.uint64)[None, ::-1]) & np.uint64(1)).astype(np.uint8)
-    return bytes([k]) + np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
-
-
-def rice_decode(block: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.empty(0, np.uint64)
-    k, data = block[0], np.frombuffer(block, np.uint8, offset=1)
-    bits = np.unpackbits(data)
-    ends = np.flatnonzero(bits == 0)[:n]
-    q = np.diff(ends, prepend=-1) - 1
-    start = (int(ends[-1]) // 8 + 1) * 8
-    r = bits[start : start + n * k].reshape(n, k).astype(np.uint64) @ (np.uint64(1) << np.arange(k, dtype=np.uint64)[::-1]) if k else np.zeros(n, np.uint64)
-    return np.cumsum((q.astype(np.uint64) << np.uint64(k)) + r, dtype=np.uint64)
-
-
-def _owner(values: np.ndarray, bits: int, owners: int) -> np.ndarray:
-    width = -(-(1 << bits) // owners)
-    return (values // np.uint64(width)).astype(np.int64)
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -98,29 +66,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def short(fp: pd.Series) -> np.ndarray:
         return fp.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.unique(short(pdf["fp"]))
-        own = _owner(v, bits, owners)
-        cuts = np.flatnonzero(np.diff(own, prepend=-1, append=owners))
-        out = [(int(pdf["sender"].iloc[0]), int(own[a]), int(b - a), rice_encode(v[a:b], bits)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pd.DataFrame(out, columns=["sender", "owner", "n", "block"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [rice_decode(b, n) for b, n in zip(pdf["block"], pdf["n"], strict=True)]
-        v, n = np.unique(np.concatenate(lists), return_counts=True)
-        twice = v[n > 1]
-        maps = [zlib.compress(np.packbits(np.isin(x, twice, assume_unique=True)).tobytes(), 1) for x in lists]
-        return pd.DataFrame({"sender": pdf["sender"].to_numpy(), "owner": pdf["owner"].to_numpy(), "n": pdf["n"].to_numpy(), "bitmap": maps})
-
-    def mark(mine: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
-        v, back, n = np.unique(short(mine["fp"]), return_inverse=True, return_counts=True)
-        seen = [np.unpackbits(np.frombuffer(zlib.decompress(m), np.uint8))[:k] for m, k in maps.sort_values("owner")[["bitmap", "n"]].itertuples(index=False)]
-        twice = (np.concatenate(seen) > 0 if seen else np.zeros(len(v), bool)) | (n > 1)
-        return pd.DataFrame({"doc_id": mine["doc_id"], "sha": mine["sha"], "suspect": twice[back]})
-
-    blocks = rows.select("sender", "fp").groupBy("sender").applyInPandas(send, "sender int, owner int, n long, block binary")
-    maps = blocks.groupBy("owner").applyInPandas(answer, "sender int, owner int, n long, bitmap binary")
-    marked = rows.groupBy("sender").cogroup(maps.groupBy("sender")).applyInPandas(mark, C.struct(ident, ("sha", "string"), ("suspect", "boolean")))
+    def finish(mine: pd.DataFrame, twice: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": mine["doc_id"], "sha": mine["sha"], "suspect": twice})
+
+    marked = mark_repeated(rows, lambda pdf: short(pdf["fp"]), finish, C.struct(ident, ("sha", "string"), ("suspect", "boolean")), bits, owners, ["fp"])
     marked = C.staged(marked, "marked")
 
     suspects = marked.where("suspect").select(F.col("doc_id").alias("_id")).distinct()
