@@ -5,7 +5,10 @@ not cover) span a lattice over each word; a word's probability is the sum over a
 its segmentations of the product of piece probabilities, by forward recursion in
 log space. No piece reaches over a word's start, so a document's marginal is the
 product over its words and its end. Piece probabilities start from the vocabulary's
-own ranking and are re-estimated by expectation-maximisation on the training words.
+own ranking and are re-estimated by expectation-maximisation on the distinct training
+words. A training word is an arc of its lattice too, with its absolutely discounted
+share of the training tokens; the discounts are the weight of the spelled paths, so
+that all of it is one probability distribution over texts.
 """
 
 from __future__ import annotations
@@ -185,8 +188,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def estimate(pieces: Pieces, counts: DataFrame, rounds: int = ROUNDS) -> Pieces:
-    """Expectation-maximisation on all training words: each round sums the expected
-    piece counts of all partitions (as many numbers as the vocabulary has)."""
+    """Expectation-maximisation on all distinct training words: each round sums the
+    expected piece counts of all partitions (as many numbers as the vocabulary has)."""
     spark = counts.sparkSession
     schema = C.struct(("piece", "int"), ("n", "double"))
     arrow = C.arrow_schema(schema)
@@ -198,7 +201,7 @@ def estimate(pieces: Pieces, counts: DataFrame, rounds: int = ROUNDS) -> Pieces:
             total = np.zeros(model.n)
             for b in batches:
                 words = [w.encode() for w in b.column(0).to_pylist()]
-                n = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+                n = np.ones(len(words))  # each word is spelled once, then it has its own arc
                 for at in _by_length(words):
                     if len(words[at[0]]) == 1:
                         ends = np.array([i for i in at if words[i] == END.encode()], int)
@@ -211,7 +214,7 @@ def estimate(pieces: Pieces, counts: DataFrame, rounds: int = ROUNDS) -> Pieces:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], schema=arrow)
 
         total = np.zeros(pieces.n)
-        for r in C.map_batches(counts.where("n > 0").select("word", "n"), run, schema).groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in C.map_batches(counts.where("n > 0").select("word"), run, schema).groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
             total[r["piece"]] = r["n"]
         # what was not met keeps a little of its old weight, bytes most
         pieces = Pieces(pieces.strings, total + 0.1 * np.exp(pieces.log) * pieces.n / 100 + 1e-3)
@@ -230,8 +233,10 @@ def score(docs: DataFrame, model_file: str | None = None, rounds: int = ROUNDS,
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counts = C.staged(word_counts(src), "words")
-    sums = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    once = lambda k: F.sum((F.col("n") == k).cast("long"))
+    sums = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), once(1).alias("n1"), once(2).alias("n2")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
+    discount = sums["n1"] / (sums["n1"] + 2 * sums["n2"]) if sums["n1"] and sums["n2"] else 0.5
     model = estimate(vocabulary(model_file), counts, rounds)
 
     sent = spark.sparkContext.broadcast(model)
@@ -241,7 +246,12 @@ def score(docs: DataFrame, model_file: str | None = None, rounds: int = ROUNDS,
     def rate(batches):
         for b in batches:
             words = [w.encode() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sent.value.scores(words))], schema=arrow)
+            log = sent.value.scores(words)
+            if total:
+                known = np.maximum(b.column(1).to_numpy(zero_copy_only=False) - discount, 0) / total
+                with np.errstate(divide="ignore"):
+                    log = np.logaddexp(np.log(known), np.log(discount * distinct / total) + log * np.log(10)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(log)], schema=arrow)
 
     words = C.staged(C.map_batches(counts, rate, schema), "scored_words")
 

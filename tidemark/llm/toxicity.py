@@ -22,6 +22,8 @@ from . import common as C
 
 #: Labelled training rows of which texts are read to fit the model.
 MAX_LABELLED = 20_000
+#: Log-likelihood gain a feature needs.
+MIN_GAIN = 12.0
 #: Weighted words and stems in the model.
 MAX_FEATURES = 50_000
 #: Words whose weight a worker remembers; the memory starts anew beyond it.
@@ -145,13 +147,16 @@ def document_features(text: str, restore: Restorer) -> set[str]:
 
 
 def feature_weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int = 3) -> dict[str, float]:
-    """Smoothed log odds of documents with a feature; only clear signs of toxicity."""
+    """Smoothed log odds of documents with a feature; only clear signs of toxicity: a
+    large ratio, and a log-likelihood gain that chance does not reach among many features."""
     out = {}
+    share = (n_toxic + 1) / (n_toxic + n_clean + 2)
     for f, a in toxic.items():
         if a >= least:
             b = clean.get(f, 0)
             w = math.log((a + 0.1) / (n_toxic + 1)) - math.log((b + 0.6) / (n_clean + 1))
-            if w > 2.0:
+            gain = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
+            if w > 2.0 and gain > MIN_GAIN:
                 out[f] = w
     return dict(sorted(out.items(), key=lambda kv: (-kv[1] * math.log1p(toxic[kv[0]]), kv[0]))[:MAX_FEATURES])
 
@@ -170,17 +175,21 @@ class Model:
         if w is None:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            get = self.weights.get
-            w = self.seen[token] = max((get(f, 0.0) for f in features(readings(token, self.restore))), default=0.0)
+            w = self.seen[token] = max(map(self.word, readings(token, self.restore)), default=0.0)
         return w
 
+    def word(self, word: str) -> float:
+        """Mean weight of a word and its stems: what only its beginning shares counts little."""
+        own = features((word,))
+        get = self.weights.get
+        return sum(get(f, 0.0) for f in own) / len(own) if own else 0.0
+
     def evidence(self, text: str) -> np.ndarray:
         """Strongest weight, sum of the three strongest, how many, and a constant."""
         low = text.lower()
         found = [w for w in map(self.weight, set(low.split())) if w > 0.0]
-        get = self.weights.get
         for run in spaced(low):
-            w = max((get(f, 0.0) for f in features((self.restore(run),))), default=0.0)
+            w = self.word(self.restore(run))
             if w > 0.0:
                 found.append(w)
         found.sort(reverse=True)
@@ -231,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col:
 
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = C.staged(src.join(F.broadcast(some), "doc_id").select("toxic", "text"), "labelled")
+    # copies of a text are one example
+    same = src.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.avg(F.col("toxic").cast("double")).alias("mean"))
+    rows = C.staged(same.select((F.col("mean") >= 0.5).cast("int").alias("toxic"), "text").repartition(C.partitions(docs.sparkSession)), "labelled")
 
     shared = docs.sparkSession.sparkContext.broadcast(restore)
     fschema = C.struct(("feature", "string"), ("toxic", "bigint"), ("clean", "bigint"))
