@@ -115,8 +115,8 @@ register("log", "el", 1)(lambda d, a: f"ln(CASE WHEN {a} > 0 THEN {a} END)")
 register("sqrt", "el", 1)(lambda d, a: f"sqrt(CASE WHEN {a} >= 0 THEN {a} END)")
 register("floor", "el", 1)(lambda d, a: f"CAST(floor({a}) AS DOUBLE)")
 register("ceil", "el", 1)(lambda d, a: f"CAST(ceil({a}) AS DOUBLE)")
-register("power **", "el", 2)(lambda d, a, b: f"(CASE WHEN {a} > 0 OR ({a} < 0 AND {b} = floor({b})) OR ({a} = 0 AND {b} >= 0) THEN power({a}, {b}) END)")
-register("signedpower SignedPower", "el", 2)(lambda d, a, b: f"(CASE WHEN {a} > 0 THEN power({a}, {b}) WHEN {a} < 0 THEN -power(-{a}, {b}) WHEN {a} = 0 AND {b} > 0 THEN {a} END)")
+register("power **", "el", 2)(lambda d, a, b: f"(CASE WHEN ({a} > 0 OR {a} < 0 AND {b} = floor({b})) AND abs({b} * ln(abs(nullif({a}, CAST(0 AS DOUBLE))))) < 700 THEN power({a}, {b}) WHEN {a} = 0 AND {b} > 0 THEN CAST(0 AS DOUBLE) WHEN {a} = 0 AND {b} = 0 THEN CAST(1 AS DOUBLE) END)")
+register("signedpower SignedPower", "el", 2)(lambda d, a, b: f"(CASE WHEN {a} = 0 AND {b} > 0 THEN {a} WHEN abs({b} * ln(abs(nullif({a}, CAST(0 AS DOUBLE))))) < 700 THEN (CASE WHEN {a} > 0 THEN 1 ELSE -1 END) * power(abs({a}), {b}) END)")
 register("signed_log", "el", 1)(lambda d, a: f"(CASE WHEN {a} >= 0 THEN ln(1 + {a}) ELSE -ln(1 - {a}) END)")
 register("max", "el", 2)(lambda d, a, b: f"(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN greatest({a}, {b}) END)")
 register("min", "el", 2)(lambda d, a, b: f"(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN least({a}, {b}) END)")
@@ -229,7 +229,7 @@ def _ts_rank(d, x, n):
     return full(n, x, f"({d.filter_size(d.collect(x, frame(n)), f'v <= {x}')} / CAST({n} AS DOUBLE))")
 
 
-@register("ts_pct_rank", "ts", 1, (20,))
+@register("ts_pct_rank tsr", "ts", 1, (20,))
 def _ts_pct_rank(d, x, n):
     """Rank of the last value in its window as a share, ties averaged."""
     n = N(n)
@@ -314,7 +314,7 @@ def _winsorize(d, x, lo, hi):
 
 
 # --- across a date's securities -------------------------------------------
-@register("xs_rank", "xs", 1)
+@register("xs_rank r", "xs", 1)
 def _xs_rank(d, x):
     """Rank within the date as a share, ties averaged."""
     low = f"rank() OVER (PARTITION BY {TIME} ORDER BY {x} ASC NULLS LAST)"

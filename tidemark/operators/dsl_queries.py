@@ -34,7 +34,7 @@ EXPRESSIONS: dict[str, dict[str, str]] = {
     "dsl_delta": {"a": "delta(close, 3)"},
     "dsl_pctchange": {"a": "pctchange(close, 5)"},
     "dsl_corr": {"a": "corr(close, volume, 12)", "b": "ts_corr_signed(high, low, 6)"},
-    "dsl_cov": {"a": "round_val(cov(close / 10000, volume, 10), 2)"},
+    "dsl_cov": {"a": "signed_log(cov(close, volume, 10))"},
     "dsl_zscore": {"a": "zscore(close, 20)", "b": "vol_zscore(15)"},
     "dsl_cross": {"a": "cross_up(mean(close, 5), mean(close, 20))", "b": "cross_down(mean(close, 5), mean(close, 20))"},
     "dsl_count_true": {"a": "count_true(close > open, 10)"},
