@@ -9,10 +9,12 @@ need comparing only between fragments of one anchor hash:
 * fragments that are equal: all of their windows repeat;
 * different fragments of one hash (the edges of copied passages): bounded batches of
   them go through the column-wise multi-document construction. Each round inserts
-  one symbol per fragment into the collection's Burrows-Wheeler transform, held as one
-  sequential array; afterwards neighbours in suffix order whose common prefix
-  reaches ``length`` repeat. An anchor with more fragments than one batch may hold
-  is settled by an exchange of compressed window hashes instead.
+  one symbol per fragment into the collection's Burrows-Wheeler transform and updates
+  common parts; as fragments are aligned at their anchors, the transform is the
+  positional one, whose rounds cost as much as there are fragments and not as much as
+  there are symbols. Neighbours whose common part reaches ``length`` repeat. An anchor
+  with more fragments than one batch may hold is settled by an exchange of
+  compressed window hashes instead.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .exchange import mark_repeated
 #: Bytes of an anchor gram.
 GRAM = 32
 #: Fragments of one batch of the column-wise construction.
-BATCH = 3000
+BATCH = 6000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
 
@@ -118,73 +120,48 @@ def fragments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def collection_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, offset) of all non-empty suffixes in order. Column by column from the
-    right, each round inserts one symbol of every text that still has one into the
-    Burrows-Wheeler transform; texts end in sentinels that follow their order."""
+def repeated_windows(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
+    """For fragments aligned at their anchors: which windows of ``length`` bytes another
+    fragment of the same group has at the same place.
+
+    Column by column, each round inserts one symbol per fragment into the collection's
+    positional Burrows-Wheeler transform: fragments stay sorted by their group and their
+    reversed texts up to the column, next to the column at which the common part
+    with their predecessor starts. Both are read and written front to back.
+    """
     n = len(texts)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    alphabet = np.zeros(256, np.uint16)
-    used = np.flatnonzero(np.bincount(data, minlength=256))
-    alphabet[used] = np.arange(1, len(used) + 1)
-    code = alphabet[data]
-    code = code.astype(np.uint8) if len(used) < 256 else code
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    bwt = code[ends - 1]  # the sentinels' rows
-    who, pos = np.arange(n), np.arange(n)
-    for j in range(1, int(sizes.max()) + 1):
-        going = sizes[who] >= j
-        who, pos = who[going], pos[going]
-        # where each text's suffix goes once its next symbol stands before it
-        order = np.argsort(bwt, kind="stable")
-        back = np.empty(len(bwt), np.int64)
-        back[order] = np.arange(len(bwt))
-        done = int((bwt == 0).sum())  # rows of finished texts: nothing stands before them
-        pos = n + back[pos] - done
-        more = sizes[who] > j
-        new = np.zeros(len(who), bwt.dtype)
-        new[more] = code[ends[who[more]] - j - 1]
-        grown = np.empty(len(bwt) + len(who), bwt.dtype)
-        old = np.ones(len(grown), bool)
-        old[pos] = False
-        grown[pos] = new
-        grown[old] = bwt
-        bwt = grown
-    # walk all texts back through the finished transform
-    order = np.argsort(bwt, kind="stable")
-    back = np.empty(len(bwt), np.int64)
-    back[order] = np.arange(len(bwt))
-    back += n - int((bwt == 0).sum())
-    text, offset = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
-    who, pos = np.arange(n), np.arange(n)
-    for j in range(1, int(sizes.max()) + 1):
-        going = sizes[who] >= j
-        who, pos = who[going], back[pos[going]]
-        text[pos], offset[pos] = who, sizes[who] - j
-    return text[n:], offset[n:]
-
-
-def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, which of its windows of ``length`` bytes start anywhere else too."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    out = [np.zeros(max(0, s - length + 1), bool) for s in sizes]
-    if len(texts) < 2:
-        return out
-    text, offset = collection_order(texts)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    start = np.cumsum(sizes) - sizes
-    whole = np.flatnonzero(offset + length <= sizes[text])
-    pair = whole[:-1][np.diff(whole) == 1]
-    x, y = start[text[pair]] + offset[pair], start[text[pair + 1]] + offset[pair + 1]
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    same = np.zeros(len(pair), bool)
-    for i in range(0, len(pair), 20_000):
-        same[i : i + 20_000] = (view[x[i : i + 20_000]] == view[y[i : i + 20_000]]).all(axis=1)
-    flag = np.zeros(len(data), bool)
-    flag[x[same]] = True
-    flag[y[same]] = True
-    return [flag[s : s + len(o)] for s, o in zip(start, out, strict=True)]
+    first = int(anchors.max()) - anchors.astype(np.int64)
+    last = first + sizes
+    base = np.cumsum(sizes) - sizes - first
+    _, group = np.unique(groups, return_inverse=True)
+    group = group.astype(np.int32) * 257
+    out = np.zeros(len(data) + 1, bool)
+    order = np.argsort(group, kind="stable")
+    common = np.zeros(n + 1, np.int32)  # where the common part with the predecessor starts; one more for reduceat
+    for k in range(int(first.min()), int(last.max())):
+        here = (first[order] <= k) & (k < last[order])
+        symbol = np.full(n, 256, np.int32)  # texts that have not begun or have ended come last
+        symbol[here] = data[base[order[here]] + k]
+        key = group[order] + symbol
+        by = np.argsort(key, kind="stable")
+        sorted_key, here = key[by], here[by]
+        pair = np.flatnonzero((sorted_key[1:] == sorted_key[:-1]) & here[1:]) + 1
+        new = np.full(n + 1, k + 1, np.int32)
+        if len(pair):
+            ends = np.empty(2 * len(pair), np.int64)
+            ends[0::2], ends[1::2] = by[pair - 1] + 1, by[pair] + 1
+            new[pair] = np.maximum.reduceat(common, ends)[0::2]
+        order, common = order[by], new
+        if k + 1 >= length:
+            hit = pair[new[pair] <= k + 1 - length]
+            if len(hit):
+                start = k + 1 - length
+                out[base[order[hit]] + start] = True
+                out[base[order[hit - 1]] + start] = True
+    start = base + first
+    return [out[a : a + max(0, s - length + 1)] for a, s in zip(start, sizes, strict=True)]
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -292,7 +269,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, batch: int = BATCH, keep_
         out = []
         for lo in _batches(pdf["m"].to_numpy(), batch):
             part = pdf.iloc[lo]
-            flags = repeated_windows(part["text"].tolist(), length)
+            flags = repeated_windows(part["text"].tolist(), part["r"].to_numpy(), part["m"].to_numpy(), length)
             for d, th, a, role, w in zip(part["doc_id"], part["th"], part["a"], part["role"], flags, strict=True):
                 if role == 1:
                     out += [(d, th, a + x, a + y - 1 + length) for x, y in _runs(w)]
