@@ -141,10 +141,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
 
 def _merge(parts: list[DataFrame], schema) -> DataFrame:
     """Results of several blocks, one row per document: unions of items and spans."""
-    whole = parts[0]
+    whole, n = parts[0], len(parts)
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    arrow = C.arrow_schema(schema)
 
     def join(pdf):
         import pandas as pd
@@ -156,9 +155,8 @@ def _merge(parts: list[DataFrame], schema) -> DataFrame:
                 hit[a:b] = True
         edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
         one = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].to_numpy(), "n_words": [len(hit)], "n_hit": [int(hit.sum())], "items": [items], "spans": [edges]})
-        return one.loc[one.index.repeat(len(pdf) // len(parts))]
+        return one.loc[one.index.repeat(len(pdf) // n)]
 
-    del arrow
     return whole.groupBy("doc_id", "n_words").applyInPandas(join, schema)
 
 
@@ -175,22 +173,24 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: s
     spark = docs.sparkSession
     out = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     for table in blocks(benchmark, size):
-        shared = spark.sparkContext.broadcast(table)
-
-        @F.pandas_udf("string")
-        def cut(texts, shared=shared):
-            import pandas as pd
-
-            done = []
-            for t in texts:
-                raw = t.encode()
-                at = [m.span() for m in WORD.finditer(raw.lower())]
-                hit, _ = shared.value.scan([raw.lower()[a:b] for a, b in at])
-                edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                for a, b in edges[::-1]:
-                    raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
-                done.append(raw.decode())
-            return pd.Series(done)
-
-        out = out.withColumn(text_col, cut(F.col(text_col)))
+        out = out.withColumn(text_col, _cutter(spark.sparkContext.broadcast(table))(F.col(text_col)))
     return out
+
+
+def _cutter(shared):
+    @F.pandas_udf("string")
+    def cut(texts):
+        import pandas as pd
+
+        done = []
+        for t in texts:
+            raw = t.encode()
+            at = [m.span() for m in WORD.finditer(raw.lower())]
+            hit, _ = shared.value.scan([raw.lower()[a:b] for a, b in at])
+            edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            for a, b in edges[::-1]:
+                raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
+            done.append(raw.decode())
+        return pd.Series(done)
+
+    return cut

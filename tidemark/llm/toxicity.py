@@ -35,6 +35,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 FILLERS = "*.-_~^'`,#%&:;/\\=\"<>[]{})?·•"
 #: log10 costs of reading a sign as a letter, of leaving out a filler, of leaving out a repeated letter, and of any letter for a starred one.
 COST_LEET, COST_FILLER, COST_REPEAT, COST_ANY = -0.6, -0.3, -0.4, -1.8
+#: Added for each letter, so that short readings aren't preferred.
+BONUS = 0.9
 
 #: Symbols of the character model: 0 is a word's edge, then a-z, then other letters of Latin-1.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -70,9 +72,13 @@ class Restorer:
         out = []
         for i, ch in enumerate(token):
             options = []
+            again = i > 0 and token[i - 1] == ch
+            if again and i > 1 and token[i - 2] == ch:
+                out.append([("", 0.0)])  # no word has a letter three times in a row
+                continue
             if ch in _CODE:
-                options.append((ch, 0.0))
-                if i and token[i - 1] == ch:
+                options.append((ch, -BONUS if again else 0.0))
+                if again:
                     options.append(("", COST_REPEAT))
             for r in LEET.get(ch, ""):
                 options.append((r, COST_LEET))
@@ -94,7 +100,7 @@ class Restorer:
                 for letter, cost in options:
                     if letter:
                         k = _CODE[letter]
-                        key, s, t = (b, k), score + cost + float(log[a, b, k]) + 0.9, text + letter
+                        key, s, t = (b, k), score + cost + float(log[a, b, k]) + BONUS, text + letter
                     else:
                         key, s, t = (a, b), score + cost, text
                     if key not in step or step[key][0] < s:
