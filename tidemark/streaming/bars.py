@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def tick_bars(ticks: DataFrame, key: str, time: str, price: str, every: str = "1 hour", late: str = "2 hours", order: str | None = None) -> DataFrame:
     """open, high, low, close and ticks of each key and window; works on streams (late
     rows are dropped after the watermark) and on tables."""
+    ticks = ticks.withColumn(time, F.col(time).cast("timestamp"))
     df = ticks.withWatermark(time, late) if ticks.isStreaming else ticks
     by: Column = F.struct(F.col(time), F.col(order)) if order else F.col(time)
     bars = df.groupBy(F.window(time, every), key).agg(F.min_by(price, by).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, by).alias("close"), F.count(F.lit(1)).alias("ticks"))
