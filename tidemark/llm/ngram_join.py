@@ -6,29 +6,34 @@ overlaps of a pair are counted fragment by fragment, and the sum per pair
 decides. Before that:
 
 * documents with the same set are one class, of which one travels;
-* the prefix rule picks pairs: with a threshold t, two linked sets share at least
-  ``more`` n-grams among the first n - ceil(t n) + more of each;
+* the prefix rule picks candidates: with a threshold t, two linked sets share at least
+  ``more`` n-grams among the first n - ceil(t n) + more of each. Which n-grams two
+  classes have is found by an exchange of compressed hashes, not by a shuffle of postings;
 * n-grams that no second candidate holds cannot overlap, so a set with too many
   of them has no link and leaves;
-* groups are linked to hubs first (each member to one hub a round, so pairs grow
-  with members). Only pairs across components that are still apart are listed,
-  which loses no component and never lists a group's pairs.
+* sets that share one of their rarest n-grams, directly or through others, form clusters. Pairs are
+  counted within a cluster's task and leave it as a spanning forest of links, one
+  per set at most: no group's pairs are ever listed. A cluster too large for one task is
+  cut into blocks, each two of which meet in a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
+from .exchange import mark_repeated
 
 #: Vertical fragments: ranges of the n-gram order.
 FRAGMENTS = 8
-#: Rounds in which members are linked to hubs before the pairs across components.
-HUB_ROUNDS = 3
+#: Sets of a cluster that one task compares; larger clusters are cut into blocks of so many.
+BLOCK = 1000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,36 +63,84 @@ def _need(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def _sets(docs: DataFrame, size: int, num: int, den: int, whole: bool) -> DataFrame:
-    """Per row: doc_id, n, set hash (s1, s2), and the first n-grams or all of them."""
-    schema = C.struct(C.id_field(docs), ("n", "bigint"), ("s1", "bigint"), ("s2", "bigint"), ("grams", "array<bigint>"))
+def prefix_more(n: int) -> int:
+    """How many n-grams linked sets must share in their prefixes; the prefix is longer by as many."""
+    return max(1, n * 12 // 100)
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    """n-grams of the prefix. A linked partner shares at least ceil(t n) of n n-grams, so
+    any first n - ceil(t n) + more hold ``more`` of the common ones; the first common ones are in both prefixes."""
+    return min(n, n - _need(n, num, den) + prefix_more(n)) if n else 0
+
+
+def prefix_least(n: int, num: int, den: int) -> int:
+    """Shared n-grams in the prefix without which no link is possible: what the
+    smallest partner, of ceil(t n) n-grams, needs."""
+    return prefix_more(_need(n, num, den))
+
+
+def _width(rows: int) -> int:
+    """Bytes of a shortened hash by which prefixes are compared: a hundredth of chance hits at most."""
+    return min(7, -(-(max(1, rows).bit_length() + 14) // 8))
+
+
+def _set_hash(grams: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
+def _shorten(grams: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of each hash in unsigned order."""
+    return (grams ^ np.int64(-(1 << 63))).astype(">i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _lengthen(packed: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - width :] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _heads(docs: DataFrame, size: int, num: int, den: int, width: int) -> DataFrame:
+    """Per row: doc_id, n, set hash (s1, s2), the shortened n-grams of the prefix."""
+    schema = C.struct(C.id_field(docs), ("n", "bigint"), ("s1", "bigint"), ("s2", "bigint"), ("head", "binary"))
     arrow = C.arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            ids, n, s1, s2, grams = b.column(0), [], [], [], []
+            n, s1, s2, head = [], [], [], []
             for t in b.column(1).to_pylist():
                 g = shingle_hashes(t, size)
-                d = xxhash.xxh3_128_intdigest(g.tobytes())
+                x, y = _set_hash(g)
                 n.append(len(g))
-                s1.append((d >> 64) - (1 << 63))
-                s2.append((d & (1 << 64) - 1) - (1 << 63))
-                grams.append(g if whole else g[: prefix_length(len(g), num, den)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], schema=arrow)
+                s1.append(x)
+                s2.append(y)
+                head.append(_shorten(g[: prefix_length(len(g), num, den)], width))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(head, pa.binary())], schema=arrow)
 
     return C.map_batches(docs, run, schema)
 
 
-def prefix_more(n: int, num: int, den: int) -> int:
-    """How many n-grams linked sets must share in their prefixes: a twentieth of the
-    smallest partner's size; the prefix is longer by as many."""
-    return max(1, _need(n, num, den) // 20)
+def _whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, grams) of rows (doc_id, text, s1, s2) whose set has that hash; the
+    rows of an id are in one partition, and the first of repeated ones is taken."""
+    schema = C.struct(C.id_field(docs), ("n", "bigint"), ("grams", "array<bigint>"))
+    arrow = C.arrow_schema(schema)
 
+    def run(batches):
+        seen = set()
+        for b in batches:
+            rows, grams = [], []
+            for i, (d, t, x, y) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)), strict=True)):
+                g = shingle_hashes(t, size)
+                if d not in seen and _set_hash(g) == (x, y):
+                    seen.add(d)
+                    rows.append(i)
+                    grams.append(g)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([len(g) for g in grams], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], schema=arrow)
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    """n-grams of the prefix. A partner of size m >= n * t shares at least ceil(t max(n, m))
-    >= ceil(t n) n-grams; any set of the first n - ceil(t n) + more holds more of them."""
-    return min(n, n - _need(n, num, den) + prefix_more(n, num, den)) if n else 0
+    return C.map_batches(docs, run, schema).withColumnRenamed("doc_id", "id")
 
 
 def _grams(sets: DataFrame) -> int:
@@ -115,15 +168,57 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = jumped.select("id", "comp")
 
 
-def _links(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that reach the threshold: overlaps by fragment, then the sum."""
-    x = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("xa"))
-    y = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("xb"))
-    parts = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("part"))
-    common = parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
-    na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    common = common.join(na, "a").join(nb, "b")
-    return common.where(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
+def linked(sets: list[np.ndarray], n: np.ndarray, block: np.ndarray, across: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what the threshold connects: a spanning forest of all links
+    (``across``: of those between the two blocks), so at most one per set.
+
+    Each fragment of the n-gram order has its postings; a set's partial overlaps with all
+    sets are counted fragment by fragment and summed.
+    """
+    m = len(sets)
+    sizes = np.array([len(g) for g in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    grams = np.concatenate(sets)
+    fragment = (grams >> np.int64(64 - FRAGMENTS.bit_length() + 1)) + FRAGMENTS // 2
+    index = []
+    for f in range(FRAGMENTS):
+        here = fragment == f
+        g, who = grams[here], owner[here]
+        order = np.argsort(g, kind="stable")
+        _, first, back, count = np.unique(g[order], return_index=True, return_inverse=True, return_counts=True)
+        at = np.empty(len(g), np.int64)
+        at[order] = back.ravel()
+        ends = np.searchsorted(who, np.arange(m + 1))
+        index.append((who[order], first, count, at, ends))
+    parent = np.arange(m)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
+    out = []
+    for i in range(m):
+        if across and block[i] != block.min():
+            continue
+        common = np.zeros(m, np.int64)
+        for who, first, count, at, ends in index:
+            mine = at[ends[i] : ends[i + 1]]
+            if len(mine):
+                k = count[mine]
+                step = np.repeat(first[mine] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))
+                common += np.bincount(who[step], minlength=m)
+        hit = common * den >= (n[i] + n - common) * num
+        hit[: i + 1] &= across
+        if across:
+            hit &= block != block.min()
+        for j in np.flatnonzero(hit):
+            a, b = root(i), root(int(j))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, int(j)))
+    return out
 
 
 def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,71 +231,78 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     an empty result; other columns are ignored.
     """
     src = C.id_text(docs, id_col, text_col)
-    heads = C.staged(_sets(src, size, num, den, whole=False), "prefixes")
+    spark = docs.sparkSession
+    width = _width(src.count())
+    heads = C.staged(_heads(src, size, num, den, width), "prefixes")
     total = heads.count()
     full = heads.where("n > 0")
+    senders = C.partitions(spark)
 
     # classes of equal sets; id: the smallest document of the class
-    classes = C.staged(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams")), "classes")
-    known = classes.where(F.col("id").isNotNull())
-
-    # candidates: enough of the prefix is shared with some other class
-    posts = known.select("id", "n", F.explode("grams").alias("g"))
-    shared = C.staged(posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    hits = C.keyed_join(posts, shared, ["g"], ["df"], "df", _grams(known), ["id"]).where("df is not null")
-    hits = hits.groupBy("id", "n").agg(F.count(F.lit(1)).alias("hit"))
-    # the smallest partner has t n n-grams and needs at least this many, see prefix_more
-    least = F.greatest(F.lit(1), F.floor(F.floor(F.ceil(F.col("n") * num / den) / 20) * num / den) - 1)
-    cand = C.staged(hits.where(F.col("hit") >= least).select("id"), "candidates")
+    member = [F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")]
+    classes = full.groupBy("s1", "s2").agg(*member)
+    one = full.groupBy("s1", "s2").agg(*member, F.first("head").alias("head")).where("id is not null")
+    one = one.select(F.pmod(F.xxhash64("s1", "s2"), F.lit(senders)).cast("int").alias("sender"), "id", "n", "s1", "s2", "head")
+
+    # candidates: enough of the prefix is shared with other classes
+    known = C.struct(T.StructField("id", heads.schema["doc_id"].dataType), ("s1", "bigint"), ("s2", "bigint"))
+
+    def able(pdf: pd.DataFrame, twice: np.ndarray) -> pd.DataFrame:
+        ends = np.cumsum([len(h) // width for h in pdf["head"]])
+        hits = np.diff(np.concatenate(([0], np.cumsum(twice)))[ends], prepend=0)
+        ok = hits >= np.array([prefix_least(int(n), num, den) for n in pdf["n"]])
+        return pdf.loc[ok, ["id", "s1", "s2"]]
+
+    cand = C.staged(mark_repeated(one, lambda pdf: _lengthen(list(pdf["head"]), width), able, known, 8 * width, senders), "candidates")
 
     # whole sets of the candidates, one document for each class
-    pick = src.join(cand.select(F.col("id").alias("_id")).hint("shuffle_hash"), src["doc_id"] == F.col("_id"), "left_semi")
-    sets = _sets(pick, size, num, den, whole=True).join(known.select(F.col("id").alias("_k"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), (F.col("doc_id") == F.col("_k")) & (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")))
-    sets = C.staged(sets.select(F.col("doc_id").alias("id"), "n", "grams").dropDuplicates(["id"]), "sets")
-
-    # only n-grams of two candidates or more can overlap
-    posts = sets.select("id", "n", F.explode("grams").alias("g"))
-    df = C.staged(posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
-    both = C.keyed_join(posts, df, ["g"], ["df"], "df", _grams(sets), ["id"]).where("df is not null")
-    core = both.groupBy("id", "n").agg(F.sort_array(F.collect_list("g")).alias("grams"))
-    core = C.staged(core.where(F.size("grams") * den >= F.col("n") * num), "core")
-    sizes = core.select("id", "n")
-
-    # the vertical partition: ranges of the order
-    segments = core.select("id", F.explode("grams").alias("g")).withColumn("fragment", F.pmod(F.shiftrightunsigned("g", 64 - FRAGMENTS.bit_length() + 1), F.lit(FRAGMENTS)))
-    segments = C.staged(segments.groupBy("id", "fragment").agg(F.collect_list("g").alias("grams")), "segments")
-
-    # prefix postings of the core sets: an n-gram outside the core is nobody's common one
-    need = F.ceil(F.col("n") * num / den)
-    firsts = core.select("id", "n", F.size("grams").alias("own"), F.expr(f"slice(grams, 1, int(greatest(1, size(grams) - ceil(n * {num} / {den}) + 1)))").alias("head"))
-    firsts = C.staged(firsts.select("id", "n", "own", F.explode("head").alias("g")), "postings")
-
-    comps = C.staged(sizes.select("id", F.col("id").alias("comp")), "comps")
-    links = None
-    for k in range(HUB_ROUNDS):
-        tagged = firsts.join(comps, "id")
-        # hub of an n-gram: the member that lacks least, of another component than some member
-        rank = F.struct((F.col("n") - F.col("own")).alias("lack"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-        hubs = tagged.groupBy("g").agg(F.min(rank).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("g", "h", "rows")
-        hubs = C.staged(hubs, "hubs")
-        met = C.keyed_join(tagged, hubs, ["g"], ["h"], "rows", max(1, total), ["id"]).where("h.hub_comp <> comp")
-        best = met.groupBy("id").agg(F.min("h").alias("h") if k % 2 == 0 else F.max("h").alias("h"))
-        pairs = best.select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct()
-        new = C.staged(_links(pairs, segments, sizes, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links, sizes)
-
-    # what is still apart: every pair across components that shares a prefix n-gram and can reach the threshold
-    tagged = firsts.join(comps, "id")
-    mixed = tagged.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    open_ = C.staged(tagged.join(mixed, "g"), "open")
-    x = open_.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "own", "comp")])
-    y = open_.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "own", "comp")])
-    most = F.least("own_x", "own_y")
-    apart = x.join(y, (x["g"] == y["g"]) & (F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & (most * den >= (F.col("n_x") + F.col("n_y") - most) * num))
-    pairs = C.staged(apart.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), "pairs")
-    links = links.unionByName(_links(pairs, segments, sizes, num, den))
-    comps = C.staged(components(links, sizes), "components")
+    pick = src.join(cand.hint("shuffle_hash"), src["doc_id"] == cand["id"]).select("doc_id", "text", "s1", "s2")
+    sets = _whole_sets(pick, size).withColumn("sender", F.spark_partition_id())
+    sets = C.staged(sets, "sets")
+
+    # only n-grams of two candidates or more can overlap; a set with too many others has no link
+    bits = min(63, _grams(sets).bit_length() + 12)
+    cut = np.uint64(64 - bits)
+    entry = C.struct(known["id"], ("n", "bigint"), ("grams", "array<bigint>"))
+
+    def inner(pdf: pd.DataFrame, twice: np.ndarray) -> pd.DataFrame:
+        ends = np.cumsum([len(g) for g in pdf["grams"]])
+        own = [g[twice[e - len(g) : e]] for g, e in zip(pdf["grams"], ends, strict=True)]
+        ok = np.array([len(o) * den >= n * num for o, n in zip(own, pdf["n"], strict=True)], bool)
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "n": pdf["n"].to_numpy()[ok], "grams": [o for o, k in zip(own, ok, strict=True) if k]})
+
+    core = C.staged(mark_repeated(sets, lambda pdf: (np.concatenate(list(pdf["grams"])) ^ np.int64(-(1 << 63))).view(np.uint64) >> cut, inner, entry, bits, senders), "core")
+    # clusters: sets that share one of their rarest n-grams, directly or through others. Among the
+    # first size - ceil(t n) + 1 of a core set in order of frequency, linked pairs share one
+    grams = core.select("id", "n", F.explode("grams").alias("g"))
+    often = C.staged(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "often")
+    grams = C.keyed_join(grams, often, ["g"], ["df"], "df", _grams(core), ["id"])
+    ordered = grams.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"))
+    head = F.expr(f"transform(slice(own, 1, int(greatest(1, size(own) - ceil(n * {num} / {den}) + 1))), x -> x.g)")
+    posts = C.staged(ordered.select("id", F.explode(head).alias("g")), "postings")
+    pivots = C.staged(posts.groupBy("g").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "pivots")
+    stars = C.keyed_join(posts, pivots, ["g"], ["b"], "rows", max(1, total), ["id"]).where("b < id").select(F.col("id").alias("a"), "b")
+    clusters = components(stars, core.select("id"))
+
+    # one task for clusters up to BLOCK sets; larger ones are cut into blocks, a task for each two of them
+    sized = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    sized = C.staged(sized, "clusters")
+    member = C.keyed_join(clusters, sized, ["comp"], ["blocks"], "rows", max(1, total), ["id"]).where("blocks is not null")
+    member = member.join(core, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = max(senders, -(-core.count() // BLOCK))
+    member = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(spread))).otherwise(F.xxhash64("comp", lo, hi))
+    member = member.select(task.alias("task"), (F.col("blocks") > 1).cast("int").alias("split"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.col("own")).alias("own"), "id", "n", "grams")
+    edge = C.struct(T.StructField("a", known["id"].dataType), T.StructField("b", known["id"].dataType))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        pairs = linked(list(pdf["grams"]), pdf["n"].to_numpy(np.int64), pdf["own"].to_numpy(), bool(pdf["split"].iloc[0]) and int(pdf["lo"].iloc[0]) != int(pdf["hi"].iloc[0]), num, den)
+        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]})
+
+    links = C.staged(member.groupBy("task", "split", "lo", "hi").applyInPandas(link, edge), "links")
+    comps = C.staged(components(links, core.select("id")), "components")
 
     # back to the documents, by class
     named = classes.join(comps.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("s1", "s2", F.coalesce("comp", "id").alias("component"), "copies")
