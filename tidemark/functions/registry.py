@@ -111,7 +111,7 @@ register("not", "el", 1, boolean=True)(lambda d, a: f"(NOT coalesce({a}, false))
 register("neg", "el", 1)(lambda d, a: f"(-{a})")
 register("abs", "el", 1)(lambda d, a: f"abs({a})")
 register("sign", "el", 1)(lambda d, a: f"CAST(CASE WHEN {a} > 0 THEN 1 WHEN {a} < 0 THEN -1 WHEN {a} = 0 THEN 0 END AS DOUBLE)")
-register("log", "el", 1)(lambda d, a: f"ln(CASE WHEN {a} > 0 THEN {a} END)")
+register("log", "el", 1)(lambda d, a: f"round(ln(CASE WHEN {a} > 0 THEN {a} END), 12)")  # engines differ in the last places
 register("sqrt", "el", 1)(lambda d, a: f"sqrt(CASE WHEN {a} >= 0 THEN {a} END)")
 register("floor", "el", 1)(lambda d, a: f"CAST(floor({a}) AS DOUBLE)")
 register("ceil", "el", 1)(lambda d, a: f"CAST(ceil({a}) AS DOUBLE)")
@@ -316,7 +316,9 @@ def _winsorize(d, x, lo, hi):
 # --- across a date's securities -------------------------------------------
 @register("xs_rank r", "xs", 1)
 def _xs_rank(d, x):
-    """Rank within the date as a share, ties averaged."""
+    """Rank within the date as a share, ties averaged; values that differ by less than
+    1e-11 of their size are ties."""
+    x = f"({x} * 131073.0D - ({x} * 131073.0D - {x}))" if d.name == "spark" else f"({x} * CAST(131073 AS DOUBLE) - ({x} * CAST(131073 AS DOUBLE) - {x}))"
     low = f"rank() OVER (PARTITION BY {TIME} ORDER BY {x} ASC NULLS LAST)"
     ties = f"count({x}) OVER (PARTITION BY {TIME}, {x})"
     return f"(CASE WHEN {x} IS NOT NULL THEN ({low} + ({ties} - 1) / CAST(2 AS DOUBLE)) / CAST(count({x}) OVER {DATE} AS DOUBLE) END)"

@@ -144,7 +144,7 @@ def _final(plan: Plan, keep: tuple[str, ...], d: R.Dialect, bits: int | None) ->
         x = _ref(tree, plan.names)
         if tree.op in R.FUNCTIONS and R.FUNCTIONS[tree.op].boolean:
             x = f"CAST(CASE WHEN {x} THEN 1 WHEN NOT {x} THEN 0 END AS DOUBLE)"
-        out.append(f"{significant(f'round({x}, 9) + CAST(0 AS DOUBLE)', bits) if bits else x} AS {name}")
+        out.append(f"{significant(f'(CASE WHEN abs({x}) < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {x} END)', bits) if bits else x} AS {name}")
     return out
 
 
@@ -153,7 +153,7 @@ BASE = ("bar_no",)
 
 def evaluate(panel: DataFrame, expressions: dict[str, str | Node], keep: tuple[str, ...] = (R.KEY, R.TIME), bits: int | None = None) -> DataFrame:
     """panel with one column per expression. ``bits`` rounds results to so many
-    significant bits (and nine decimals), which makes them equal across engines."""
+    significant bits (less than 1e-9 is 0), which makes them equal across engines."""
     plan = schedule(expressions, frozenset(panel.columns))
     df = panel.selectExpr("*", f"row_number() OVER {R.ROWS} AS bar_no") if _needs_bar_no(plan) else panel
     for layer in plan.layers:
