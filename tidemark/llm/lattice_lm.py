@@ -32,6 +32,8 @@ FREQUENT = 100_000
 HELD = 300_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose lattices are worked on together.
+WORDS_AT_ONCE = 40_000
 END = "\n"  # the end of a text as a token: no word holds white space
 
 
@@ -132,6 +134,19 @@ def _by_length(words: list[bytes], most_cells: int = 200_000) -> list[list[int]]
     return out
 
 
+def _gathered(batches, most: int = WORDS_AT_ONCE):
+    """Arrow batches put together to about ``most`` rows, so that words of equal length come in numbers."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def vocabulary(model_file: str | None = None) -> Pieces:
     """Bytes, end, and the word-inner pieces of a public vocabulary; the start weights
     fall with the rank that the vocabulary's own scores give (Zipf)."""
@@ -199,7 +214,7 @@ def estimate(pieces: Pieces, counts: DataFrame, rounds: int = ROUNDS) -> Pieces:
         def run(batches, sent=sent):
             model = sent.value
             total = np.zeros(model.n)
-            for b in batches:
+            for b in _gathered(batches):
                 words = [w.encode() for w in b.column(0).to_pylist()]
                 n = np.ones(len(words))  # each word is spelled once, then it has its own arc
                 for at in _by_length(words):
@@ -244,7 +259,7 @@ def score(docs: DataFrame, model_file: str | None = None, rounds: int = ROUNDS,
     arrow = C.arrow_schema(schema)
 
     def rate(batches):
-        for b in batches:
+        for b in _gathered(batches):
             words = [w.encode() for w in b.column(0).to_pylist()]
             log = sent.value.scores(words)
             if total:
