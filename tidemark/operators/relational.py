@@ -150,7 +150,7 @@ QUERIES: dict[str, str] = {
       s AS (SELECT trade_date, industry, sum(w * r) / sum(w) AS rp, avg(r) AS rb, sum(w) AS w, count(1) AS k FROM r WHERE r IS NOT NULL GROUP BY trade_date, industry),
       t AS (SELECT *, w / sum(w) OVER (PARTITION BY trade_date) AS wp, CAST(k AS DOUBLE) / sum(k) OVER (PARTITION BY trade_date) AS wb, avg(rb) OVER (PARTITION BY trade_date) AS total FROM s)
       SELECT industry, {_s('avg((wp - wb) * (rb - total))')} AS allocation, {_s('avg(wb * (rp - rb))')} AS selection, {_s('avg((wp - wb) * (rp - rb))')} AS interaction FROM t GROUP BY industry""",
-    "corr_matrix": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel WHERE ts_code <= '000009.SZ')
+    "corr_matrix": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel)
       SELECT a.ts_code AS x, b.ts_code AS y, count(1) AS days, {_s(_corr('a.r', 'b.r'))} AS c FROM r a JOIN r b ON a.trade_date = b.trade_date AND a.ts_code < b.ts_code WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING count(1) >= 20""",
     "portfolio_sim": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel), v AS (SELECT ts_code, 1 / var_samp(r) AS iv FROM r GROUP BY ts_code), w AS (SELECT ts_code, iv / sum(iv) OVER () AS w FROM v),
       d AS (SELECT r.trade_date, sum(w.w * r.r) AS r FROM r JOIN w ON w.ts_code = r.ts_code WHERE r.r IS NOT NULL GROUP BY r.trade_date)
