@@ -9,10 +9,14 @@ part. The driver only keeps what has a row per candidate.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections.abc import Callable
+from dataclasses import asdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ from ..functions.registry import FUNCTIONS
 from ..plans.ast import Node, parse, walk
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
+from . import simulate
 
 # --- identity of candidates -----------------------------------------------
 
@@ -85,6 +90,14 @@ def walk_forward(n: int, windows: int = 3, embargo: int = 5) -> list[dict[str, t
 # --- batch evaluation -----------------------------------------------------
 
 
+def parts_by_date(panel: DataFrame, windows: int = 3, embargo: int = 5) -> DataFrame:
+    """(trade_date, fold, part): the dates of each fold's parts."""
+    days = panel.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1)
+    rows = [(k, part, a, b) for k, f in enumerate(walk_forward(days.count(), windows, embargo)) for part, (a, b) in f.items()]
+    folds = F.broadcast(panel.sparkSession.createDataFrame(rows, "fold int, part string, a int, b int"))  # a few rows
+    return days.join(folds, (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b"))).select("trade_date", "fold", "part")
+
+
 def batch_metrics(panel: DataFrame, expressions: dict[str, str], forward: int = 4, windows: int = 3, embargo: int = 5) -> DataFrame:
     """(factor, fold, part, dates, ic_mean, ic_ir, t_stat, spread, win_rate) of each
     expression on each fold: rank IC and quintile spread against the forward return."""
@@ -97,19 +110,59 @@ def batch_metrics(panel: DataFrame, expressions: dict[str, str], forward: int =
     edge = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
     corr = F.try_divide(F.covar_pop("rv", "rf"), F.stddev_pop("rv") * F.stddev_pop("rf"))
     daily = ranked.where("n >= 5").groupBy("factor", "trade_date").agg(corr.alias("ic"), (F.avg(F.when(F.col("rn") > F.col("n") - edge, F.col("fwd"))) - F.avg(F.when(F.col("rn") <= edge, F.col("fwd")))).alias("spread"))
-    days = panel.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1)
-    rows = [(k, part, a, b) for k, f in enumerate(walk_forward(days.count(), windows, embargo)) for part, (a, b) in f.items()]
-    folds = F.broadcast(panel.sparkSession.createDataFrame(rows, "fold int, part string, a int, b int"))  # a few rows
-    parts = daily.join(days, "trade_date").join(folds, (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+    parts = daily.join(parts_by_date(panel, windows, embargo), "trade_date")
     sd = F.nullif(F.stddev_samp("ic"), F.lit(0.0))
     return parts.groupBy("factor", "fold", "part").agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic_mean"), (F.avg("ic") / sd).alias("ic_ir"), (F.avg("ic") / sd * F.sqrt(F.count("ic"))).alias("t_stat"), F.avg("spread").alias("spread"), F.avg((F.col("spread") > 0).cast("double")).alias("win_rate"))
 
 
+def _stacked(panel: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """(ts_code, trade_date, factor, value) of each expression on each row of the panel."""
+    pairs = ", ".join(f"'{n}', {n}" for n in expressions)
+    return evaluate(panel, expressions).selectExpr("ts_code", "trade_date", f"stack({len(expressions)}, {pairs}) AS (factor, value)")
+
+
+def coverage(values: DataFrame, parts: DataFrame) -> DataFrame:
+    """(factor, fold, part, coverage, names): percent of rows with a value, and securities that have one."""
+    known = F.col("value").isNotNull()
+    return values.join(parts, "trade_date").groupBy("factor", "fold", "part").agg((100.0 * F.count("value") / F.count(F.lit(1))).alias("coverage"), F.count_distinct(F.when(known, F.col("ts_code"))).alias("names"))
+
+
+#: Dates of a year: the panel is weekly.
+PERIODS = 52
+
+
+def backtests(panel: DataFrame, values: DataFrame, parts: DataFrame, s: simulate.Settings) -> DataFrame:
+    """(factor, fold, part, excess, drawdown, turnover, sharpe, trades): each factor's best names
+    bought from full cash on the part's first date on. Excess over the mean close, drawdown and mean
+    turnover by date are in percent."""
+    options = asdict(s)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = simulate.walk(pdf, "top", simulate.Settings(**options), warm=True)
+        value = np.array([r[1] for r in out])
+        before = np.concatenate(([s.cash], value[:-1]))
+        returns = value / before - 1
+        sd = float(returns.std(ddof=1)) if len(returns) > 2 else 0.0
+        peak = np.maximum.accumulate(value)
+        row = (float(value[-1] / s.cash - 1) * 100, float(((peak - value) / peak).max()) * 100, float(np.mean([r[4] / r[1] * 100 for r in out])), float(returns.mean()) / sd * math.sqrt(PERIODS) if sd > 0 else 0.0, sum(r[5] + r[6] for r in out))
+        return pd.DataFrame([(pdf["factor"].iloc[0], pdf["fold"].iloc[0], pdf["part"].iloc[0], *row)], columns=["factor", "fold", "part", "total", "drawdown", "turnover", "sharpe", "trades"])
+
+    rows = simulate.prepare(panel, values.where("value IS NOT NULL"), s).join(parts, "trade_date")
+    runs = rows.groupBy("factor", "fold", "part").applyInPandas(run, "factor string, fold int, part string, total double, drawdown double, turnover double, sharpe double, trades int")
+    market = panel.groupBy("trade_date").agg(F.avg("close").alias("m")).join(parts, "trade_date").groupBy("fold", "part").agg((100 * (F.max_by("m", "trade_date") / F.min_by("m", "trade_date") - 1)).alias("market"))
+    return runs.join(market, ["fold", "part"]).select("factor", "fold", "part", (F.col("total") - F.col("market")).alias("excess"), "drawdown", "turnover", "sharpe", "trades")
+
+
+def p_value(t: pd.Series) -> pd.Series:
+    """Two-sided, of a normal statistic; without one it is 1."""
+    return t.fillna(0.0).map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+
+
 # Scores and gates over the columns valid_ic, valid_ir, valid_spread (in percent), valid_excess, test_ic, test_ir,
-# test_p, test_excess (in percent), drawdown, turnover, sharpe, trades, coverage, names, valid_dates, test_dates, complexity, tested.
+# test_p, test_excess (in percent), valid_drawdown, drawdown, turnover, sharpe, trades (of the test part), coverage, names (of the valid part), valid_dates, test_dates, complexity, tested.
 PENALTY = "least(greatest(complexity, 0) / 120.0D, 0.35D) + least(ln(1 + greatest(tested, 0)) / 18.0D, 0.45D)"
 SCORES = {
-    "discovery_score": f"abs(valid_ic) * 4 + least(abs(valid_ir), 3.0D) * 0.35D + greatest(valid_spread, 0.0D) / 80 + greatest(valid_excess, 0.0D) / 100 - greatest(drawdown, 0.0D) / 300 - ({PENALTY})",
+    "discovery_score": f"abs(valid_ic) * 4 + least(abs(valid_ir), 3.0D) * 0.35D + greatest(valid_spread, 0.0D) / 80 + greatest(valid_excess, 0.0D) / 100 - greatest(valid_drawdown, 0.0D) / 300 - ({PENALTY})",
     "oos_score": "greatest(test_excess, -30.0D) / 60 + abs(test_ic) * 3 + least(abs(test_ir), 3.0D) * 0.25D - greatest(drawdown, 0.0D) / 250 - least(greatest(turnover, 0.0D) / 600, 0.25D) - least(greatest(complexity, 0) / 160.0D, 0.25D)",
     "deflated_sharpe": "sharpe - 0.15D * sqrt(ln(greatest(tested, 2)))",
     "bonferroni_p": "least(1.0D, test_p * greatest(tested, 1))",
@@ -203,10 +256,26 @@ def mining_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_metrics(market_panel(spark, sf_dir), BATCH)
 
 
+def candidates(panel: DataFrame, prices: DataFrame, expressions: dict[str, str], forward: int = 4, windows: int = 3, embargo: int = 5) -> DataFrame:
+    """One row per factor and fold with the columns that scores and gates read, measured on the
+    fold's valid and test parts; ``prices`` is the panel at the prices that are traded.
+    A part without measurements has zeros and the p value 1."""
+    parts = parts_by_date(panel, windows, embargo).where("part <> 'train'")
+    values = _stacked(panel, expressions)
+    keys = ["factor", "fold", "part"]
+    m = coverage(values, parts).join(batch_metrics(panel, expressions, forward, windows, embargo), keys, "left").join(backtests(prices, values, parts, simulate.Settings(rebalance=forward)), keys, "left")
+    m = m.withColumn("p", F.pandas_udf(p_value, "double")("t_stat")).fillna(0.0).withColumn("spread", F.col("spread") * 100)
+    taken = ["ic_mean", "ic_ir", "spread", "dates", "p", "excess", "drawdown", "turnover", "sharpe", "trades", "coverage", "names"]
+    m = m.groupBy("factor", "fold").pivot("part", ["valid", "test"]).agg(*[F.first(c).alias(c) for c in taken])
+    sizes = ", ".join(f"'{n}', {complexity(e)}" for n, e in expressions.items())
+    return m.selectExpr(
+        "factor", "fold", "valid_ic_mean AS valid_ic", "valid_ic_ir AS valid_ir", "valid_spread", "valid_excess", "valid_drawdown", "test_ic_mean AS test_ic", "test_ic_ir AS test_ir", "test_p", "test_spread", "test_excess",
+        "test_drawdown AS drawdown", "test_turnover AS turnover", "test_sharpe AS sharpe", "test_trades AS trades", "valid_coverage AS coverage", "valid_names AS names", "valid_dates", "test_dates", f"map({sizes})[factor] AS complexity", f"{len(expressions)} AS tested")
+
+
 def mining_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = batch_metrics(market_panel(spark, sf_dir), BATCH).groupBy("factor", "fold").pivot("part", ["valid", "test"]).agg(F.first("ic_mean").alias("ic"), F.first("ic_ir").alias("ir"), F.first("spread").alias("spread"), F.first("dates").alias("dates"))
-    zero = {c: 0.0 for c in m.columns if c not in ("factor", "fold")}
-    m = m.fillna(zero).selectExpr("factor", "fold", "valid_ic", "valid_ir", "valid_spread * 100 AS valid_spread", "valid_spread * 100 AS valid_excess", "test_ic", "test_ir", "0.05D AS test_p", "test_spread * 100 AS test_excess", "10.0D AS drawdown", "80.0D AS turnover", "1.0D AS sharpe", "20 AS trades", "90.0D AS coverage", "10 AS names", "valid_dates", "test_dates", "5 AS complexity", "5 AS tested")
+    panel = market_panel(spark, sf_dir)
+    m = candidates(panel, simulate._cents(panel), BATCH).drop("test_spread")
     return judged(m).withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -121,9 +121,10 @@ class _Book:
         return n * p
 
 
-def walk(rows: pd.DataFrame, direction: str, s: Settings) -> list[tuple]:
+def walk(rows: pd.DataFrame, direction: str, s: Settings, warm: bool = False) -> list[tuple]:
     """(date, value, cash, positions, traded, buys, sells, rejected) by date: sells first, then buys
-    in order of score, at the next open after the signal; ties by code."""
+    in order of score, at the next open after the signal; ties by code. ``warm``: the rows
+    are a segment with dates before it, so that its first date trades as well."""
     book, out = _Book(s), []
     down = direction != "bottom"
     for i, (day, group) in enumerate(rows.sort_values(["trade_date", "ts_code"]).groupby("trade_date", sort=True)):
@@ -132,7 +133,7 @@ def walk(rows: pd.DataFrame, direction: str, s: Settings) -> list[tuple]:
         book.buys = book.sells = 0
         before = sum(book.rejected.values())
         scored = group[group["score"].notna()]
-        if i > 0 and i % s.rebalance == 0 and len(scored) >= 5:
+        if (i > 0 or warm) and i % s.rebalance == 0 and len(scored) >= 5:
             k = max(1, int(len(scored) * max(0.001, min(s.select_pct, 1.0))))
             free = scored[scored["can_buy"]]
             book.rejected["buy blocked"] += len(scored) - len(free)
