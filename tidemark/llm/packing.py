@@ -29,13 +29,17 @@ BUCKETS = 4096
 # white space before a space: the rule by which texts are cut at spaces does not hold there
 _AWKWARD = re.compile(r"\s ")
 
+#: Fixed value: the added token of the vocabulary. Texts that spell it have its id there.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+
 
 class Encoder:
     """Byte-BPE ids of the public 50k vocabulary, as little-endian uint32 bytes.
 
     ``tokenizers`` and ``tiktoken`` give equal ids for it (tested); the latter is
     five times faster. A space after a non-space always starts a new token, so
-    texts are cut there and the ids of frequent chunks are remembered.
+    texts are cut there and the ids of frequent chunks are remembered. A call takes
+    the added token for plain text, ``document`` gives its id.
     """
 
     def __init__(self, path: str | None = None):
@@ -65,6 +69,11 @@ class Encoder:
             out.append(b)
         return b"".join(out)
 
+    def document(self, text: str) -> bytes:
+        if ADDED not in text:
+            return self(text)
+        return np.array([ADDED_ID], "<u4").tobytes().join(self(part) for part in text.split(ADDED))
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
@@ -92,7 +101,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                ids = enc(t) + end
+                ids = enc.document(t) + end
                 n = len(ids) // 4
                 at, k = 0, n % capacity or capacity
                 p = 0
