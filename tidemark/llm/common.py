@@ -103,6 +103,27 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
+#: Column of a row's own key, where ids do not tell rows apart.
+ROW = "_tidemark_row"
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(rows, key): docs and a column of theirs that no two rows share and none lacks. It is the id if it
+    is so; else the rows are staged with a number in order of id, null ids last."""
+    bad = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) | F.col(id_col).isNull())
+    if bad.isEmpty():
+        return docs, id_col
+    # the last key parts equal rows; numbers are fixed once they are written
+    order = docs.withColumn(ROW, F.monotonically_increasing_id()).orderBy(F.col(id_col).asc_nulls_last(), text_col, ROW)
+    return staged(order.withColumn(ROW, F.monotonically_increasing_id()), "rows"), ROW
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose key is not in the only column of ``gone``; neither has null or repeated keys."""
+    gone = gone.toDF("_gone")
+    return rows.join(gone.hint("shuffle_hash"), rows[key] == gone["_gone"], "left_anti").select(*columns)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -84,6 +84,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a smaller id has; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs with one row of each text, that of the smallest id; all columns stay. Rows are told
+    apart even if they share an id or have none: null ids lose to any other, and one of
+    several rows with the same id, or all without one, stays."""
+    rows, key = C.keyed_rows(docs, id_col, text_col)
+    return C.without(rows, key, exact_groups(rows, key, text_col).where(~F.col("kept")).select("doc_id"), docs.columns)

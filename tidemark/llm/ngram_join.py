@@ -312,6 +312,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
 
 def dedup_similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: the smallest id; all columns stay."""
-    gone = similar_components(docs, size, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs with one row of each component: the smallest id; all columns stay. Rows with
+    a repeated or null id are documents of their own, null ids are the largest."""
+    rows, key = C.keyed_rows(docs)
+    return C.without(rows, key, similar_components(rows, size, num, den, key).where("component_id < doc_id").select("doc_id"), docs.columns)

@@ -306,7 +306,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without rows scored at the threshold or above; all columns stay. Rows that
-    share the id of a rejected one go as well; rows with null id stay."""
-    bad = score(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["_bad"], "left_anti")
+    """docs without rows scored at the threshold or above; all columns stay. Each row is
+    judged by its own text, whatever its id."""
+    C.tune(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("boolean")
+    def stays(texts):
+        return texts.map(lambda t: sent.value.score(t) < threshold).astype(bool)
+
+    return docs.where(stays(F.coalesce("text", F.lit(""))))
