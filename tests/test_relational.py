@@ -19,3 +19,18 @@ def test_corr_matrix_has_every_pair(spark):
     assert len(want) == 4950 and got.keys() == want.keys()
     for k, (n, v) in want.items():
         assert got[k][0] == n and (pd.isna(v) and got[k][1] is None or abs(got[k][1] - v) < 1e-6)
+
+
+def test_walk_forward_folds_are_all_that_fit(spark):
+    import datetime as dt
+
+    for n in (199, 200, 249, 357, 460):
+        days = [dt.date(2015, 1, 5) + dt.timedelta(weeks=i) for i in range(n)]
+        panel = spark.createDataFrame([("A", d) for d in days], "ts_code string, trade_date date")
+        want = set()
+        for k in range(n):
+            if k * 50 + 200 <= n:
+                for part, a, b in (("train", 0, 145), ("test", 150, 200)):
+                    want.add((k, part, b - a, str(days[k * 50 + a]), str(days[k * 50 + b - 1])))
+        text = relational.QUERIES["walk_forward_folds"].replace("FROM panel", "FROM {panel}")
+        assert {tuple(r) for r in spark.sql(text, panel=panel).collect()} == want

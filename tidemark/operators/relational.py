@@ -104,7 +104,7 @@ QUERIES: dict[str, str] = {
       ics AS (SELECT c.segment, r.trade_date, {_corr('rf', 'rr')} AS ic, avg(CASE WHEN rn > n - greatest(1, floor(n / 5.0D)) THEN fwd END) - avg(CASE WHEN rn <= greatest(1, floor(n / 5.0D)) THEN fwd END) AS spread FROM ranked r JOIN cut c ON c.trade_date = r.trade_date WHERE n >= 4 GROUP BY c.segment, r.trade_date)
       SELECT segment, count(ic) AS dates, {_s('avg(ic)')} AS ic_mean, {_s('avg(ic) / nullif(stddev_samp(ic), 0.0D)')} AS ir, {_s('avg(spread)')} AS spread, {_s('avg(CASE WHEN spread > 0 THEN 1.0D ELSE 0.0D END)')} AS win_rate FROM ics GROUP BY segment""",
     "walk_forward_folds": """WITH d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM panel) AS x),
-      f AS (SELECT i AS fold FROM d WHERE i < 4)
+      f AS (SELECT d.i AS fold FROM d CROSS JOIN (SELECT count(1) AS n FROM d) AS c WHERE d.i * 50 + 200 <= c.n)
       SELECT CAST(f.fold AS INT) AS fold, CASE WHEN d.i < f.fold * 50 + 150 THEN 'train' ELSE 'test' END AS part, count(1) AS dates, CAST(min(d.trade_date) AS STRING) AS first_day, CAST(max(d.trade_date) AS STRING) AS last_day
       FROM f JOIN d ON d.i >= f.fold * 50 AND d.i < f.fold * 50 + 200 AND NOT (d.i >= f.fold * 50 + 145 AND d.i < f.fold * 50 + 150) GROUP BY 1, 2""",
     # cross-sectional preprocessing
