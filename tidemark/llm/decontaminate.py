@@ -111,7 +111,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
     """
     src = C.id_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    schema = C.struct(C.id_field(src), ("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<array<int>>"))
+    schema = C.struct(C.id_field(src), ("key", "binary"), ("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<array<int>>"))
     arrow = C.arrow_schema(schema)
     parts = []
     for table in blocks(benchmark, size, most):
@@ -120,8 +120,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
         def run(batches, shared=shared):
             table = shared.value
             for b in batches:
-                n, hits, items, spans = [], [], [], []
+                keys, n, hits, items, spans = [], [], [], [], []
                 for t in b.column(1).to_pylist():
+                    keys.append(hashlib.sha256(t).digest())
                     ws = words(t)
                     hit, found = table.scan(ws)
                     edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
@@ -129,7 +130,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
                     hits.append(int(hit.sum()))
                     items.append(sorted("" if x is None else str(x) for x in found))
                     spans.append(edges.reshape(-1, 2).tolist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], schema=arrow)
 
         parts.append(C.map_batches(src, run, schema))
     out = parts[0]
@@ -140,7 +141,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
 
 
 def _merge(parts: list[DataFrame], schema) -> DataFrame:
-    """Results of several blocks, one row per document: unions of items and spans."""
+    """Results of several blocks, one row per document: unions of items and spans. Rows are
+    merged by id and text (its hash), so those that meet have one and the same result."""
     whole, n = parts[0], len(parts)
     for p in parts[1:]:
         whole = whole.unionByName(p)
@@ -154,10 +156,10 @@ def _merge(parts: list[DataFrame], schema) -> DataFrame:
             for a, b in row:
                 hit[a:b] = True
         edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
-        one = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].to_numpy(), "n_words": [len(hit)], "n_hit": [int(hit.sum())], "items": [items], "spans": [edges]})
+        one = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1].array, "key": pdf["key"].iloc[:1].array, "n_words": [len(hit)], "n_hit": [int(hit.sum())], "items": [items], "spans": [edges]})
         return one.loc[one.index.repeat(len(pdf) // n)]
 
-    return whole.groupBy("doc_id", "n_words").applyInPandas(join, schema)
+    return whole.groupBy("doc_id", "key").applyInPandas(join, schema)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
