@@ -1,15 +1,16 @@
 """Main-text extraction from HTML with two-pass block rules.
 
-First pass: length, stop-word density and link density (and the landmark a block
-stands in) decide which blocks are text and which are boilerplate. Second pass:
-short or doubtful blocks inherit the label of the nearest decided neighbours in
-their landmark, or else of the nearest anywhere.
+First pass: length, stop-word density and link density, with the landmark a block
+stands in as further evidence, decide which blocks are text and which are
+boilerplate. Second pass: short or doubtful blocks inherit the label of the nearest
+decided neighbours in their landmark, or else of the nearest anywhere.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,67 +27,91 @@ STOP_WORDS = frozenset(
     al como con de del el ella en entre es esta este fue ha la las lo los más no nos o para pero por que se ser sin sobre su sus también un una y ya""".split()
 )
 #: Elements that end a block of text.
-BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is no text of the page.
 RAW_TAGS = frozenset("script style noscript template textarea select svg iframe object canvas title".split())
 #: Landmarks that never hold main text, and those that do.
-OFF_TAGS = frozenset("nav header footer aside form button dialog head menu".split())
+OFF_TAGS = frozenset("nav header footer aside form dialog head menu".split())
 ON_TAGS = frozenset("article main".split())
-#: class, id and role words that mark a landmark as boilerplate.
+#: Names of class, id and role that mark a landmark as boilerplate, and what such a name may be compounded with.
 OFF_WORDS = frozenset("ad ads adv advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related replies reply search share sharing sidebar social sponsor sponsored subscribe tags toolbar widget complementary contentinfo dialog".split())
+NEUTRAL = frozenset("area bar bottom box container global inner left links list posts primary right secondary section signup site slot thread top unit wrapper".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:\s|^)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_NAME = re.compile(r"[A-Za-z0-9]+")
+_PART = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    landmark: int  # number of the innermost landmark
-    off: bool  # inside boilerplate
-    on: bool  # inside article or main
+    landmark: int  # number of the innermost landmark, 0 for none
     linked: int  # characters inside links
+    off: bool = False  # inside boilerplate
+    on: bool = False  # inside article or main
     label: bool | None = None
 
 
+@dataclass
+class Landmark:
+    """An element that says what its content is: by its tag, or by its names (``named``)."""
+
+    parent: int
+    on: bool
+    named: bool
+    soft: bool  # a page's whole content may lie in it all the same
+    holds: bool = False  # holds an article or main
+
+
+def _off_name(name: str) -> bool:
+    """Whether a whole name says boilerplate: each of its parts does or is neutral, and one does."""
+    parts = _PART.findall(name.lower())
+    return any(p in OFF_WORDS for p in parts) and all(p in OFF_WORDS or p in NEUTRAL or p.isdigit() for p in parts)
+
+
 def _marked(attrs: str) -> bool:
     if not attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        names = _NAME.findall(m[1].lower())
-        if OFF_WORDS.intersection(names):
+        if any(_off_name(n) for n in m[1].strip("\"'").split()):
             return True
     return bool(_HIDDEN.search(attrs))
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; white space is one space, references are decoded."""
+    """Text blocks in page order; white space is one space, references are decoded. Tags
+    of phrases and void tags never end a block; a phrase that is named boilerplate, or a
+    button, is left out of its block."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open elements: tag, off, on, landmark
-    off = on = False
-    landmark = last = 0
+    marks = [Landmark(0, False, False, False)]
+    stack: list[tuple[str, int]] = []  # open elements: tag, landmark outside of it
+    opened: Counter = Counter()  # how many of them by tag
+    landmark = 0
     parts: list[str] = []
     linked, in_link, tag = 0, 0, "body"
+    mute, depth = "", 0  # the phrase that is left out, and how deep it nests in itself
 
     def close() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal linked, mute
+        text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tag, landmark, off, on, min(linked, len(text))))
+            out.append(Block(text, tag, landmark, min(linked, len(text))))
         parts.clear()
-        linked = 0
+        linked, mute = 0, ""
 
     def say(raw: str) -> None:
         nonlocal linked
-        parts.append(raw)
+        if mute:
+            return
+        text = html.unescape(raw)
+        parts.append(text)
         if in_link:
-            linked += len("".join(html.unescape(raw).split()))
+            linked += len("".join(text.split()))
 
     at, end = 0, len(page)
     while at < end:
@@ -109,78 +134,124 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        if name == "a":
-            in_link = max(0, in_link - 1) if closing else 1
+        if name in VOID_TAGS and name != "hr":
+            continue
+        if name not in BLOCK_TAGS:  # a phrase
+            if name == "a":
+                in_link = 0 if closing else 1
+            if mute:
+                if name == mute:
+                    depth += -1 if closing else 1
+                    if depth == 0:
+                        mute = ""
+            elif not closing and not m[0].endswith("/>") and (name == "button" or _marked(m[3] or "")):
+                mute, depth = name, 1
             continue
-        if name not in BLOCK_TAGS and name not in OFF_TAGS and not (not closing and _marked(m[3] or "")) and not (closing and any(s[0] == name for s in stack)):
-            continue  # inline
         close()
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    _, off, on, landmark = stack[i]
-                    del stack[i:]
+            while opened[name]:
+                last, landmark = stack.pop()
+                opened[last] -= 1
+                if last == name:
                     break
             tag = stack[-1][0] if stack else "body"
         elif name not in VOID_TAGS and not m[0].endswith("/>"):
             if name in ("p", "li", "td", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                _, off, on, landmark = stack.pop()  # these end where the next begins
-            stack.append((name, off, on, landmark))
+                landmark = stack.pop()[1]  # these end where the next begins
+                opened[name] -= 1
+            stack.append((name, landmark))
+            opened[name] += 1
             tag = name
-            bad = name in OFF_TAGS and not (name == "header" and on) or _marked(m[3] or "") and name not in ("html", "body", "article", "main")
-            if bad or name in ON_TAGS:
-                last += 1
-                landmark = last
-            off = off or bad
-            on = (on or name in ON_TAGS) and not bad
+            named = name not in ("html", "body", "article", "main") and _marked(m[3] or "")
+            off_tag = name in OFF_TAGS and not (name == "header" and _inside_article(marks, landmark))
+            if name in ON_TAGS:
+                k = landmark
+                while k and not marks[k].holds:
+                    marks[k].holds = True
+                    k = marks[k].parent
+            if name in ON_TAGS or off_tag or named:
+                marks.append(Landmark(landmark, name in ON_TAGS, named, name == "form" or not off_tag))
+                landmark = len(marks) - 1
     close()
+    _settle(out, marks)
     return out
 
 
-def classify(found: list[Block], min_words: int = 8, min_stop: float = 0.08, max_link: float = 0.4) -> None:
-    """Labels every block: True is main text."""
+def _inside_article(marks: list[Landmark], k: int) -> bool:
+    """Whether the innermost landmark is an article or main."""
+    return k > 0 and marks[k].on
+
+
+def _settle(found: list[Block], marks: list[Landmark]) -> None:
+    """Which blocks are inside boilerplate. If every article is, landmarks that hold one and
+    are boilerplate by name only (or a form) don't count."""
+    for lenient in (False, True):
+        off, on, free = [False] * len(marks), [False] * len(marks), not any(x.on for x in marks)
+        for i, x in enumerate(marks[1:], 1):
+            off[i] = off[x.parent] or not x.on and not (lenient and x.soft and x.holds)
+            on[i] = x.on or on[x.parent] and not off[i]
+            free = free or x.on and not off[i]
+        if free:
+            break
     for b in found:
-        words = _WORD.findall(b.text.lower())
-        letters = len("".join(b.text.split()))
-        density = b.linked / letters if letters else 0.0
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.off or density > max_link:
-            b.label = False
-        elif len(words) >= min_words and stop >= min_stop:
-            b.label = True
-        elif len(words) >= 4 * min_words and not b.on:
-            b.label = False  # long, without function words: lists, tables, code
-    first = [b.label for b in found]
+        b.off, b.on = off[b.landmark], on[b.landmark]
+
+
+def evidence(b: Block, min_words: int, min_stop: float, max_link: float) -> bool | None:
+    """The first pass: text, boilerplate or undecided, by length, densities and landmark."""
+    words = _WORD.findall(b.text.lower())
+    letters = len("".join(b.text.split()))
+    links = b.linked / letters if letters else 0.0
+    stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if b.off or links > max_link:
+        return False
+    if len(words) >= min_words and stop >= min_stop:
+        return True
+    if len(words) >= 4 * min_words and not b.on:
+        return False  # long, without function words: lists, tables, code
+    return None
+
+
+def classify(found: list[Block], min_words: int = 8, min_stop: float = 0.08, max_link: float = 0.4) -> None:
+    """Labels every block: True is main text. Linear in the number of blocks."""
+    first = [evidence(b, min_words, min_stop, max_link) for b in found]
+    own, any_ = _neighbours(found, first, True), _neighbours(found, first, False)
     for i, b in enumerate(found):
-        if first[i] is not None:
+        b.label = first[i]
+        if b.label is not None:
             continue
-        near = _neighbours(found, first, i, True)
-        if near == (None, None):
-            b.label = True if b.on else None
-            near = _neighbours(found, first, i, False)
-        before, after = near
-        if b.label is None:
-            if b.tag in HEADINGS and after is not None:
-                b.label = after[1]
-            elif before is None or after is None:
-                b.label = (before or after or (0, b.on))[1]
-            elif before[0] != after[0]:
-                b.label = min(before, after)[1]
-            else:
-                b.label = before[1] if before[1] == after[1] else b.on
-
-
-def _neighbours(found: list[Block], first: list[bool | None], i: int, same: bool):
-    def seek(steps):
-        for j in steps:
-            if same and found[j].landmark != found[i].landmark:
+        before, after = own[i]
+        if before is None and after is None:
+            if b.on:
+                b.label = True
                 continue
-            if first[j] is not None:
-                return abs(j - i), first[j]
-        return None
+            before, after = any_[i]
+        if b.tag in HEADINGS and after is not None:
+            b.label = after[1]
+        elif before is None or after is None:
+            b.label = (before or after or (0, b.on))[1]
+        elif before[0] != after[0]:
+            b.label = min(before, after)[1]
+        else:
+            b.label = before[1] if before[1] == after[1] else b.on
+
 
-    return seek(range(i - 1, -1, -1)), seek(range(i + 1, len(found)))
+def _neighbours(found: list[Block], first: list[bool | None], same: bool) -> list[tuple]:
+    """For each block the nearest decided ones before and after it, as (distance, label);
+    ``same``: of the same landmark."""
+    sides = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, tuple[int, bool]] = {}
+        side: list[tuple[int, bool] | None] = [None] * len(found)
+        for i in order:
+            k = found[i].landmark if same else 0
+            if k in last:
+                side[i] = (abs(i - last[k][0]), last[k][1])
+            if first[i] is not None:
+                last[k] = (i, first[i])
+        sides.append(side)
+    return list(zip(*sides, strict=True))
 
 
 def main_text(page: str) -> str:

@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(_table(spark, sf_dir, "documents")).drop("found")
+    return pii.find_pii(_table(spark, sf_dir, "documents")).drop("found", "text_hash")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
