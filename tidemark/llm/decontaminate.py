@@ -102,7 +102,7 @@ def blocks(benchmark: DataFrame, size: int, most: int = MAX_WINDOWS, item_col: s
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, items (sorted item ids as strings), spans (array of [first, end)
-    word positions that were hit).
+    word positions that were hit), key (SHA-256 of the text).
 
     A window is ``size`` consecutive words of an item; an item of fewer words, but
     not none, is one window. Null and wordless texts have no words and are clean;
@@ -137,7 +137,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
     if len(parts) > 1:
         out = _merge(parts, schema)
     items = F.array_join("items", ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans", "key")
 
 
 def _merge(parts: list[DataFrame], schema) -> DataFrame:
@@ -180,30 +180,32 @@ def _clean(shared):
     return clean
 
 
-def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
+def cut_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = MAX_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the hit words cut out of their texts instead (what stands between
-    hit words goes too); all columns and rows stay, null text becomes empty."""
-    spark = docs.sparkSession
-    out = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    for table in blocks(benchmark, size):
-        out = out.withColumn(text_col, _cutter(spark.sparkContext.broadcast(table))(F.col(text_col)))
-    return out
+    hit words goes too); all columns and rows stay, null text becomes empty. Rows meet their spans
+    by id and text, so neither repeated ids nor the number of blocks change the result."""
+    found = find_leaks(docs, benchmark, size, most, id_col, text_col).where("contaminated").select("doc_id", "key", "spans").dropDuplicates(["doc_id", "key"])
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    rows = rows.withColumn("text_key", F.unhex(F.sha2(text.cast("binary"), 256)))
 
-
-def _cutter(shared):
     @F.pandas_udf("string")
-    def cut(texts):
+    def cut(texts, spans):
         import pandas as pd
 
         done = []
-        for t in texts:
-            raw = t.encode()
-            at = [m.span() for m in WORD.finditer(raw.lower())]
-            hit, _ = shared.value.scan([raw.lower()[a:b] for a, b in at])
-            edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            for a, b in edges[::-1]:
-                raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
-            done.append(raw.decode())
+        for t, own in zip(texts, spans, strict=True):
+            if own is not None:
+                raw = t.encode()
+                at = [m.span() for m in WORD.finditer(raw.lower())]
+                kept, last = [], 0
+                for a, b in own:
+                    kept.append(raw[last : at[a][0]])
+                    last = at[b - 1][1]
+                t = b"".join([*kept, raw[last:]]).decode()
+            done.append(t)
         return pd.Series(done)
 
-    return cut
+    C.tune(docs.sparkSession)
+    met = rows.join(found.hint("shuffle_hash"), F.col("row").getField(id_col).eqNullSafe(found["doc_id"]) & (rows["text_key"] == found["key"]), "left")
+    return met.select(*[cut(text, F.col("spans")).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

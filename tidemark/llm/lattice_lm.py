@@ -13,6 +13,7 @@ that all of it is one probability distribution over texts.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Longest piece in bytes, its leading space mark included.
-LONGEST = 24
 #: Rounds of expectation-maximisation.
-ROUNDS = 2
+ROUNDS = 3
+#: Words of more bytes go sign by sign, one at a time.
+LONG = 256
 #: Words whose scores are broadcast; all others meet theirs in a shuffled join.
 FREQUENT = 100_000
 #: Distinct words a worker counts before it hands them on.
@@ -58,9 +59,10 @@ class Pieces:
         self.strings, self.n = strings, len(strings)
         self.log = np.log(weights / weights.sum())
         self.by_length = {}
+        self.longest = max((len(s) for i, s in enumerate(strings) if i != 256), default=1)
         size: dict[int, list[int]] = {}
         for i, s in enumerate(strings):
-            if 0 < len(s) <= LONGEST and i != 256:
+            if s and i != 256:
                 size.setdefault(len(s), []).append(i)
         for k, ids in size.items():
             codes = np.frombuffer(b"".join(strings[i] for i in ids), np.uint8).reshape(len(ids), k)
@@ -71,7 +73,7 @@ class Pieces:
     def find(self, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(length, piece ids by word and start, -1 where none)."""
         out = []
-        for k, h in enumerate(_hashes(codes, min(LONGEST, codes.shape[1])), 1):
+        for k, h in enumerate(_hashes(codes, min(self.longest, codes.shape[1])), 1):
             if k in self.by_length:
                 keys, ids = self.by_length[k]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -83,9 +85,13 @@ class Pieces:
         codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
         width = codes.shape[1]
         arcs = self.find(codes)
+        log = np.append(self.log, -np.inf)
         alpha = np.full((len(words), width + 1), -np.inf)
         alpha[:, 0] = 0.0
-        log = np.append(self.log, -np.inf)
+        if width > LONG:
+            for w in range(len(words)):
+                alpha[w] = _chain(width, *_arcs_of(arcs, w, log))
+            return alpha[:, -1], alpha, arcs
         for e in range(1, width + 1):
             terms = [alpha[:, e - k] + log[ids[:, e - k]] for k, ids in arcs if k <= e]
             top = np.maximum.reduce(terms)
@@ -96,19 +102,22 @@ class Pieces:
         """Expected piece counts of words of equal length, each seen n times."""
         total, alpha, arcs = self.forward(words)
         width = alpha.shape[1] - 1
+        log = np.append(self.log, -np.inf)
         beta = np.full_like(alpha, -np.inf)
         beta[:, width] = 0.0
-        log = np.append(self.log, -np.inf)
+        if width > LONG:
+            for w in range(len(words)):
+                start, end, weight = _arcs_of(arcs, w, log)
+                beta[w] = _chain(width, width - end, width - start, weight)[::-1]
+        else:
+            for s in range(width - 1, -1, -1):
+                terms = [log[ids[:, s]] + beta[:, s + k] for k, ids in arcs if s + k <= width]
+                top = np.maximum.reduce(terms)
+                beta[:, s] = top + np.log(sum(np.exp(t - top) for t in terms))
         out = np.zeros(self.n + 1)
-        for s in range(width - 1, -1, -1):
-            terms = []
-            for k, ids in arcs:
-                if s + k <= width:
-                    t = log[ids[:, s]] + beta[:, s + k]
-                    terms.append(t)
-                    out += np.bincount(np.where(ids[:, s] < 0, self.n, ids[:, s]), n * np.exp(alpha[:, s] + t - total), self.n + 1)
-            top = np.maximum.reduce(terms)
-            beta[:, s] = top + np.log(sum(np.exp(t - top) for t in terms))
+        for k, ids in arcs:
+            weight = np.exp(alpha[:, : width - k + 1] + log[ids] + beta[:, k:] - total[:, None]) * n[:, None]
+            out += np.bincount(np.where(ids < 0, self.n, ids).ravel(), weight.ravel(), self.n + 1)
         return out[: self.n]
 
     def scores(self, words: list[bytes]) -> np.ndarray:
@@ -122,6 +131,25 @@ class Pieces:
         return out / np.log(10)
 
 
+def _arcs_of(arcs: list[tuple[int, np.ndarray]], word: int, log: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One word's arcs: where they start, where they end, their log weights."""
+    start = [np.flatnonzero(ids[word] >= 0) for _, ids in arcs]
+    return np.concatenate(start), np.concatenate([s + k for s, (k, _) in zip(start, arcs, strict=True)]), np.concatenate([log[ids[word][s]] for s, (_, ids) in zip(start, arcs, strict=True)])
+
+
+def _chain(width: int, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Log sums over all paths from 0 to each place, sign by sign."""
+    order = np.argsort(end, kind="stable")
+    cuts = np.searchsorted(end[order], np.arange(1, width + 2)).tolist()
+    start, weight = start[order].tolist(), weight[order].tolist()
+    alpha = [0.0] * (width + 1)
+    for e in range(1, width + 1):
+        terms = [alpha[start[i]] + weight[i] for i in range(cuts[e - 1], cuts[e])]
+        top = max(terms)
+        alpha[e] = top + math.log(sum([math.exp(t - top) for t in terms]))
+    return np.array(alpha)
+
+
 def _by_length(words: list[bytes], most_cells: int = 200_000) -> list[list[int]]:
     """Positions of words of equal length, in groups of bounded total size."""
     groups: dict[int, list[int]] = {}
@@ -159,7 +187,7 @@ def vocabulary(model_file: str | None = None) -> Pieces:
     for i in range(sp.vocab_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
             s = sp.id_to_piece(i).replace("▁", " ").encode().lower()
-            if len(s) <= LONGEST and b" " not in s[1:] and s not in seen:
+            if b" " not in s[1:] and s not in seen:
                 seen.add(s)
                 strings.append(s)
                 rank.append(int(-sp.get_score(i)) + 1)

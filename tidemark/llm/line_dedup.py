@@ -59,20 +59,39 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     return out.select("doc_id", "text_hash", n.cast("long").alias("n_dropped"), "dropped")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, or with as many underscores in front as make it differ from all columns."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their text replaced by the lines that stay, joined by newlines, and
-    columns n_lines (before) and n_dropped. Null text is empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.drop("n_lines", "n_dropped").withColumn(text_col, text).withColumn("_th", F.xxhash64(text))
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_mh"), F.col("n_dropped").alias("_nd"), F.col("dropped").alias("_bits"))
-    out = src.join(marks.hint("shuffle_hash"), src[id_col].eqNullSafe(marks["_id"]) & (src["_th"] == marks["_mh"]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    bit = "map_from_arrays(transform(_bits, w -> w.word), transform(_bits, w -> w.bits))"
-    out = out.withColumn("_map", F.when(F.col("_bits").isNotNull(), F.expr(bit))).withColumn("_lines", lines)
-    stay = F.expr("filter(_lines, (x, i) -> coalesce(shiftright(_map[int(i / 64)], i % 64) & 1, 0) = 0)")
-    kept = F.when(F.col("_bits").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], F.size("_lines").cast("long").alias("n_lines"), F.coalesce("_nd", F.lit(0)).cast("long").alias("n_dropped"))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs))
+    columns n_lines (before) and n_dropped (with underscores in front where docs has such
+    a column). Null text is empty; all columns of docs stay, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.withColumn("line", F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    rows = rows.withColumn("hash", F.xxhash64("line"))
+    # words from the first to the last that has a bit: a line's word is found by position
+    gap = "element_at(dropped, i).word - if(i = 1, -1, element_at(dropped, greatest(i - 1, 1)).word) - 1"
+    bits = F.expr(f"flatten(transform(sequence(1, size(dropped)), i -> concat(array_repeat(0L, {gap}), array(element_at(dropped, i).bits))))")
+    marks = bitmaps.select("doc_id", "text_hash", "n_dropped", bits.alias("bits"))
+    out = rows.join(marks.hint("shuffle_hash"), F.col("row").getField(id_col).eqNullSafe(marks["doc_id"]) & (rows["hash"] == marks["text_hash"]), "left")
+    out = out.withColumn("lines", F.split("line", "\n", -1))
+    stay = F.expr("filter(lines, (x, i) -> shiftright(coalesce(get(bits, int(i / 64)), 0L), i % 64) & 1 = 0)")
+    kept = F.when(F.col("bits").isNull(), F.col("line")).otherwise(F.array_join(stay, "\n"))
+    counts = [F.size("lines").cast("long").alias(_free("n_lines", docs.columns)), F.coalesce("n_dropped", F.lit(0)).cast("long").alias(_free("n_dropped", docs.columns))]
+    return out.select(*[kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], *counts)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines that are common among them, with n_lines and n_dropped; see
+    ``drop_bitmaps`` for which lines go and ``apply_bitmaps`` for the columns.
+
+    Null and empty texts are one empty line and stay. Rows that repeat an id are one document when
+    documents are counted, and each keeps its own text; a null id is a document that is smaller
+    than any other. An empty table gives an empty result.
+    """
+    return apply_bitmaps(docs, drop_bitmaps(docs, min_chars, min_docs, id_col, text_col), id_col, text_col)

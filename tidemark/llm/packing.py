@@ -2,8 +2,8 @@
 
 Sizes are small integers, so the whole instance is a histogram of at most
 ``capacity`` counts, whatever the number of documents. The reduction fixes sets
-of one or two items that dominate every other set with their largest item; what
-remains is packed best-fit, bin by bin. The plan is a list of bin patterns with
+of up to three items that dominate every other set with their largest item, until
+none is left; what remains is packed best-fit, bin by bin. The plan is a list of bin patterns with
 multiplicities; documents find their place in it by rank within their size.
 """
 
@@ -117,39 +117,68 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: st
     return C.map_batches(src, run, schema)
 
 
+def dominating(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[int, ...] | None:
+    """Partners of an item beside which ``room`` is left, chosen among items of ascending
+    ``sizes``: a set of at most two that dominates every other feasible set, if one is sure to.
+
+    A set dominates another if the other's items can be put in place of its own, each of which
+    may take several. With a as the largest item that fits: where none fits, the empty set does; where
+    only one fits at a time or a fills the room, a does; where two fit at most, a does if no two together
+    are larger, and a with b, the largest item beside it, if no pair has a smaller item above b.
+    """
+    fit = int(np.searchsorted(sizes, room, side="right"))
+    if fit == 0:
+        return ()
+    s, n = sizes[:fit], counts[:fit]
+    a = int(s[-1])
+    # how many of the smallest fit together, up to three
+    small = np.repeat(s[:3], np.minimum(n[:3], 3))[:3].cumsum()
+    most = int((small <= room).sum())
+    if most == 1 or a == room:
+        return (a,)
+    if most > 2:
+        return None
+    # pairs: each item's largest partner, itself only if there are two
+    at = np.searchsorted(s, room - s, side="right") - 1
+    own = np.arange(fit)
+    at = np.where((at == own) & (n < 2), at - 1, at)
+    paired = at >= 0
+    if not paired.any() or int((s[own[paired]] + s[at[paired]]).max()) <= a:
+        return (a,)
+    beside = int(at[-1])
+    if beside < 0:
+        return None
+    # the smaller item of any pair is below its partner or equal to it: the largest that has one not below
+    up = np.where(n >= 2, s, np.append(s[1:], room + 1))
+    lower = s[s + up <= room]
+    return (a, int(s[beside])) if not len(lower) or int(lower.max()) <= int(s[beside]) else None
+
+
 def reduce_dominated(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Martello-Toth reduction on counts by size: bins (sizes, how many of them) that
     some optimal packing has, taken out of ``count``.
 
-    For the largest size s with residual r: no item fits beside it: {s} is fixed.
-    Only one item fits at a time: the largest that fits dominates every other set with s.
-    A partner of exactly r dominates as well, whatever else would fit.
-    Sizes are gone through from the largest down, once, as the residual only grows.
+    Sizes are gone through from the largest down; a set of up to three items that dominates all
+    others with the size's item is fixed as often as its items last. Passes are made until one
+    fixes nothing, as each bin that leaves may make other sets dominate.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
-    sizes = sorted(count, reverse=True)
-    for s in sizes:
-        while count[s] > 0:
-            r = capacity - s
-            have = [x for x in sizes if x <= r and count[x] - (x == s) > 0]
-            if not have:
-                fixed.append(((s,), count[s]))
-                count[s] = 0
-                break
-            low = have[-1]
-            if low == s:
-                break  # only s itself is left: best fit finishes it
-            second = low if count[low] > 1 else (have[-2] if len(have) > 1 else None)
-            one = second is None or low + second > r
-            if have[0] == r and r != s:
-                k = min(count[s], count[r])
-            elif one and have[0] != s:
-                k = min(count[s], count[have[0]])
-            else:
-                break
-            fixed.append(((s, have[0]), k))
-            count[s] -= k
-            count[have[0]] -= k
+    again = True
+    while again:
+        again = False
+        for s in sorted(count, reverse=True):
+            while count[s] > 0:
+                sizes = np.array(sorted(x for x in count if count[x] - (x == s) > 0), np.int64)
+                counts = np.array([count[int(x)] - (int(x) == s) for x in sizes], np.int64)
+                partners = dominating(sizes, counts, capacity - s)
+                if partners is None:
+                    break
+                used = Counter((s, *partners))
+                times = min(count[x] // k for x, k in used.items())
+                fixed.append(((s, *partners), times))
+                for x, k in used.items():
+                    count[x] -= k * times
+                again = True
     return fixed
 
 

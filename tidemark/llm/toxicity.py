@@ -24,8 +24,6 @@ from . import common as C
 MAX_LABELLED = 20_000
 #: Log-likelihood gain a feature needs.
 MIN_GAIN = 12.0
-#: Weighted words and stems in the model.
-MAX_FEATURES = 50_000
 #: Words whose weight a worker remembers; the memory starts anew beyond it.
 CACHE = 300_000
 
@@ -35,6 +33,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 FILLERS = "*.-_~^'`,#%&:;/\\=\"<>[]{})?·•"
 #: log10 costs of reading a sign as a letter, of leaving out a filler, of leaving out a repeated letter, and of any letter for a starred one.
 COST_LEET, COST_FILLER, COST_REPEAT, COST_ANY = -0.6, -0.3, -0.4, -1.8
+#: log10 cost of a word's edge between signs that stand alone.
+COST_EDGE = 0.6
 #: Added for each letter, so that short readings aren't preferred.
 BONUS = 0.9
 
@@ -91,22 +91,32 @@ class Restorer:
             out.append(options)
         return out
 
-    def __call__(self, token: str) -> str:
-        best = {(0, 0): (0.0, "")}  # last two symbols: score, text so far
+    def __call__(self, token: str, edges: bool = False) -> str:
+        """The likeliest reading; with ``edges`` it may be several words, apart by spaces."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two symbols: score, letters so far as a chain
         log = self.log
         for options in self.lattice(token):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            if edges:  # the word so far may end before this sign
+                start = max(((s + float(log[a, b, 0]) + COST_EDGE, t) for (a, b), (s, t) in best.items() if b), key=lambda x: x[0], default=None)
+                if start and ((0, 0) not in best or best[0, 0][0] < start[0]):
+                    best[0, 0] = (start[0], (start[1], " "))
             for (a, b), (score, text) in best.items():
                 for letter, cost in options:
                     if letter:
                         k = _CODE[letter]
-                        key, s, t = (b, k), score + cost + float(log[a, b, k]) + BONUS, text + letter
+                        key, s, t = (b, k), score + cost + float(log[a, b, k]) + BONUS, (text, letter)
                     else:
                         key, s, t = (a, b), score + cost, text
                     if key not in step or step[key][0] < s:
                         step[key] = (s, t)
             best = step
-        return max((s + float(log[a, b, 0]), t) for (a, b), (s, t) in best.items())[1]
+        chain = max(((s + float(log[a, b, 0]), t) for (a, b), (s, t) in best.items()), key=lambda x: x[0])[1]
+        out = []
+        while chain:
+            chain, letter = chain
+            out.append(letter)
+        return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
@@ -133,6 +143,11 @@ def spaced(text: str) -> list[str]:
     return ["".join(m[0].split()) for m in _SINGLES.finditer(text)]
 
 
+def run_words(run: str, restore: Restorer) -> tuple[str, ...]:
+    """The words in a run of signs: as the lattice with edges divides it, and as one word."""
+    return tuple(dict.fromkeys([*restore(run, True).split(), restore(run)]))
+
+
 def features(words: tuple[str, ...]) -> list[str]:
     out = []
     for w in words:
@@ -148,7 +163,7 @@ def document_features(text: str, restore: Restorer) -> set[str]:
     for token in set(low.split()):
         found.update(features(readings(token, restore)))
     for run in spaced(low):
-        found.update(features((restore(run),)))
+        found.update(features(run_words(run, restore)))
     return found
 
 
@@ -164,7 +179,7 @@ def feature_weights(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int,
             gain = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
             if w > 2.0 and gain > MIN_GAIN:
                 out[f] = w
-    return dict(sorted(out.items(), key=lambda kv: (-kv[1] * math.log1p(toxic[kv[0]]), kv[0]))[:MAX_FEATURES])
+    return out
 
 
 class Model:
@@ -195,9 +210,7 @@ class Model:
         low = text.lower()
         found = [w for w in map(self.weight, set(low.split())) if w > 0.0]
         for run in spaced(low):
-            w = self.word(self.restore(run))
-            if w > 0.0:
-                found.append(w)
+            found += [w for w in map(self.word, run_words(run, self.restore)) if w > 0.0]
         found.sort(reverse=True)
         return np.array([found[0] if found else 0.0, sum(found[:3]), math.log1p(len(found)), 1.0])
 
