@@ -29,7 +29,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     holds a key keeps all its lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # the hash comes before the lines: beside them it would be computed for each line anew
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "text_hash", "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = C.staged(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc_id", "text_hash", "pos"), "lines")
 

@@ -33,7 +33,10 @@ from .exchange import mark_repeated
 #: Vertical fragments: ranges of the n-gram order.
 FRAGMENTS = 8
 #: Sets of a cluster that one task compares; larger clusters are cut into blocks of so many.
-BLOCK = 1000
+BLOCK = 500
+
+#: Sets of one sender of the exchange, hashes of one owner.
+SENDER_SETS, OWNER_HASHES = 100_000, 4_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -149,23 +152,32 @@ def _grams(sets: DataFrame) -> int:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable, by hooking and pointer jumping; the
-    number of rounds grows with the logarithm of the longest path. Edges are (a, b)."""
+    number of rounds grows with the logarithm of the longest path. Edges are (a, b).
+    Every join is a ``keyed_join``: neither a node with very many edges nor a component with very many
+    members meets in one task."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = C.staged(both, "edges")
-    labels = C.staged(nodes.select("id", F.col("id").alias("comp")), "labels")
+    degrees = both.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
+    labels = C.staged(nodes.join(degrees, nodes["id"] == degrees["b"], "left").select("id", F.col("id").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree")), "labels")
+    n_edges, n_nodes = both.count(), labels.count()
+    size = F.count(F.lit(1)).alias("size")
     while True:
-        best = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(best, labels["id"] == best["n"], "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
+        seen = labels.where("degree > 0").select(F.col("id").alias("b"), "comp", "degree")
+        best = C.keyed_join(both, seen, ["b"], ["comp"], "degree", n_edges, ["a"]).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("near"))
+        hooked = labels.join(best, labels["id"] == best["n"], "left").select("id", "comp", "degree", F.least("comp", F.coalesce("near", "comp")).alias("new"))
+        hooked = C.staged(hooked, "hooked")
         # a root takes the least label that any of its members has seen
-        roots = hooked.where("new < comp").groupBy(F.col("comp").alias("root")).agg(F.min("new").alias("to"))
-        step = hooked.join(roots, hooked["comp"] == roots["root"], "left").select("id", F.col("comp").alias("old"), F.least("new", F.coalesce("to", "new")).alias("comp"))
-        step = C.staged(step, "labels")
+        roots = hooked.groupBy("comp").agg(F.min("new").alias("to"), size).where("to < comp")
+        step = C.keyed_join(hooked, roots, ["comp"], ["to"], "size", n_nodes, ["id"])
+        step = C.staged(step.select("id", F.col("comp").alias("old"), F.least("new", F.coalesce("to", "new")).alias("comp"), "degree"), "labels")
         # pointer jumping: follow the label of the label
-        up = step.select(F.col("id").alias("p"), F.col("comp").alias("pc"))
-        jumped = C.staged(step.join(up, step["comp"] == up["p"], "left").select("id", "old", F.least("comp", F.coalesce("pc", "comp")).alias("comp")), "labels")
+        sizes = step.groupBy(F.col("comp").alias("label")).agg(size)
+        up = sizes.join(step.select("id", F.col("comp").alias("next")), F.col("label") == F.col("id")).select(F.col("label").alias("comp"), "next", "size")
+        jumped = C.keyed_join(step, up, ["comp"], ["next"], "size", n_nodes, ["id"])
+        jumped = C.staged(jumped.select("id", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "degree"), "labels")
         if jumped.where("comp <> old").isEmpty():
             return jumped.select("id", "comp")
-        labels = jumped.select("id", "comp")
+        labels = jumped.drop("old")
 
 
 def linked(sets: list[np.ndarray], n: np.ndarray, block: np.ndarray, across: bool, num: int, den: int) -> list[tuple[int, int]]:
@@ -221,6 +233,61 @@ def linked(sets: list[np.ndarray], n: np.ndarray, block: np.ndarray, across: boo
     return out
 
 
+def _task_links(rows: DataFrame, id_type: T.DataType, num: int, den: int) -> DataFrame:
+    """Links (a, b) of rows (task, across, side, id, n, grams), task by task; where ``across``
+    holds, only those between sides."""
+    edge = C.struct(T.StructField("a", id_type), T.StructField("b", id_type))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, side = pdf["id"].to_numpy(), pdf["side"].to_numpy()
+        across = bool(pdf["across"].iloc[0])
+        if across and side.min() == side.max():
+            return pd.DataFrame({"a": [], "b": []})
+        pairs = linked(list(pdf["grams"]), pdf["n"].to_numpy(np.int64), side, across, num, den)
+        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]})
+
+    return C.staged(rows.select("task", "across", "side", "id", "n", "grams").groupBy("task", "across").applyInPandas(link, edge), "links")
+
+
+def _cluster_links(member: DataFrame, id_type: T.DataType, spread: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what the threshold connects within each cluster. member:
+    (id, comp, blocks, own, n, grams), own being the block of a set in its cluster."""
+    zero = F.lit(0).alias("side")
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(spread))).otherwise(F.xxhash64("comp", "own"))
+    within = member.select(task.alias("task"), F.lit(False).alias("across"), zero, "id", "n", "grams")
+    links = _task_links(within, id_type, num, den)
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return links
+
+    # one set of each component of a block stands for it; blocks of these meet pairwise
+    names = member.where("blocks > 1").select("id")
+    part = components(links.join(names.hint("shuffle_hash"), links["a"] == names["id"], "left_semi"), names).where("id = comp").select("id")
+    lead = large.join(part, "id").select("id", "comp", "n", "grams")
+    many = lead.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    lead = C.keyed_join(lead, C.staged(many, "leaders"), ["comp"], ["blocks"], "rows", 1, ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    lead = lead.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    lead = lead.select(F.xxhash64("comp", lo, hi).alias("task"), (lo != hi).alias("across"), F.col("own").alias("side"), "id", "n", "grams")
+    links = links.unionByName(_task_links(lead, id_type, num, den))
+
+    # what is still apart from its cluster's largest component meets all of the cluster
+    of = C.staged(components(links.join(names.hint("shuffle_hash"), links["a"] == names["id"], "left_semi"), names).withColumnRenamed("comp", "part"), "parts")
+    state = large.select("id", "comp", "blocks", "own").join(of, "id")
+    sizes = state.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("comp").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.sum("rows").alias("all"), F.max("rows").alias("most")).where("most < all")
+    main = C.staged(main.withColumn("stray_blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")), "divided")
+    if main.isEmpty():
+        return links
+    state = C.keyed_join(state, main, ["comp"], ["main", "stray_blocks"], "all", 1, ["id"]).where("main is not null")
+    state = state.join(large.select("id", "n", "grams"), "id")
+    stray = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("stray_blocks")).cast("int")
+    one = state.where("part <> main").withColumn("i", stray).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.lit(0))
+    two = state.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, stray_blocks - 1)"))).withColumn("side", F.lit(1))
+    both = [x.select(F.xxhash64("comp", "i", "j").alias("task"), F.lit(True).alias("across"), "side", "id", "n", "grams") for x in (one, two)]
+    return links.unionByName(_task_links(both[0].unionByName(both[1]), id_type, num, den))
+
+
 def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -236,7 +303,10 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     heads = C.staged(_heads(src, size, num, den, width), "prefixes")
     total = heads.count()
     full = heads.where("n > 0")
-    senders = C.partitions(spark)
+    # senders and owners follow the input: a sender has so many sets, an owner so many hashes at most
+    prefixes = heads.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // width
+    senders = max(C.partitions(spark), -(-total // SENDER_SETS), -(-prefixes // OWNER_HASHES))
+    owners = max(C.partitions(spark), -(-prefixes // OWNER_HASHES))
 
     # classes of equal sets; id: the smallest document of the class
     member = [F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")]
@@ -253,7 +323,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         ok = hits >= np.array([prefix_least(int(n), num, den) for n in pdf["n"]])
         return pdf.loc[ok, ["id", "s1", "s2"]]
 
-    cand = C.staged(mark_repeated(one, lambda pdf: _lengthen(list(pdf["head"]), width), able, known, 8 * width, senders), "candidates")
+    cand = C.staged(mark_repeated(one, lambda pdf: _lengthen(list(pdf["head"]), width), able, known, 8 * width, owners), "candidates")
 
     # whole sets of the candidates, one document for each class
     pick = src.join(cand.hint("shuffle_hash"), src["doc_id"] == cand["id"]).select("doc_id", "text", "s1", "s2")
@@ -261,7 +331,8 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sets = C.staged(sets, "sets")
 
     # only n-grams of two candidates or more can overlap; a set with too many others has no link
-    bits = min(63, _grams(sets).bit_length() + 12)
+    set_grams = _grams(sets)
+    bits = min(63, set_grams.bit_length() + 12)
     cut = np.uint64(64 - bits)
     entry = C.struct(known["id"], ("n", "bigint"), ("grams", "array<bigint>"))
 
@@ -271,7 +342,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         ok = np.array([len(o) * den >= n * num for o, n in zip(own, pdf["n"], strict=True)], bool)
         return pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "n": pdf["n"].to_numpy()[ok], "grams": [o for o, k in zip(own, ok, strict=True) if k]})
 
-    core = C.staged(mark_repeated(sets, lambda pdf: (np.concatenate(list(pdf["grams"])) ^ np.int64(-(1 << 63))).view(np.uint64) >> cut, inner, entry, bits, senders), "core")
+    core = C.staged(mark_repeated(sets, lambda pdf: (np.concatenate(list(pdf["grams"])) ^ np.int64(-(1 << 63))).view(np.uint64) >> cut, inner, entry, bits, max(C.partitions(spark), -(-set_grams // OWNER_HASHES))), "core")
     # clusters: sets that share one of their rarest n-grams, directly or through others. Among the
     # first size - ceil(t n) + 1 of a core set in order of frequency, linked pairs share one
     grams = core.select("id", "n", F.explode("grams").alias("g"))
@@ -284,24 +355,11 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     stars = C.keyed_join(posts, pivots, ["g"], ["b"], "rows", max(1, total), ["id"]).where("b < id").select(F.col("id").alias("a"), "b")
     clusters = components(stars, core.select("id"))
 
-    # one task for clusters up to BLOCK sets; larger ones are cut into blocks, a task for each two of them
     sized = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     sized = C.staged(sized, "clusters")
     member = C.keyed_join(clusters, sized, ["comp"], ["blocks"], "rows", max(1, total), ["id"]).where("blocks is not null")
-    member = member.join(core, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = max(senders, -(-core.count() // BLOCK))
-    member = member.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(spread))).otherwise(F.xxhash64("comp", lo, hi))
-    member = member.select(task.alias("task"), (F.col("blocks") > 1).cast("int").alias("split"), lo.alias("lo"), hi.alias("hi"), F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.col("own")).alias("own"), "id", "n", "grams")
-    edge = C.struct(T.StructField("a", known["id"].dataType), T.StructField("b", known["id"].dataType))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        pairs = linked(list(pdf["grams"]), pdf["n"].to_numpy(np.int64), pdf["own"].to_numpy(), bool(pdf["split"].iloc[0]) and int(pdf["lo"].iloc[0]) != int(pdf["hi"].iloc[0]), num, den)
-        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]})
-
-    links = C.staged(member.groupBy("task", "split", "lo", "hi").applyInPandas(link, edge), "links")
+    member = C.staged(member.join(core, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    links = _cluster_links(member, known["id"].dataType, max(senders, -(-core.count() // BLOCK)), num, den)
     comps = C.staged(components(links, core.select("id")), "components")
 
     # back to the documents, by class

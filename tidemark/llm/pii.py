@@ -145,7 +145,7 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
     for a, b in _wide_emails(text):
         offer(0, a, b)
-    for kind, p in ((2, _WIDE_CARD), (1, _WIDE_IP), (3, _WIDE_PHONE), (4, _SECRET)):
+    for kind, p in ((4, _SECRET), (2, _WIDE_CARD), (1, _WIDE_IP), (3, _WIDE_PHONE)):
         for m in p.finditer(text):
             s = m[0]
             if kind < 4 or any(c.isdigit() for c in s) and any(c.isalpha() for c in s):

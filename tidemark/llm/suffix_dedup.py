@@ -297,7 +297,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, batch: int = BATCH, keep_
             at += k
         return pd.DataFrame(out, columns=["doc_id", "th", "a", "e"])
 
-    opened = opened.unionByName(mark_repeated(large, hashes, settle, open_schema, 63, C.partitions(spark)))
+    opened = opened.unionByName(mark_repeated(large, hashes, settle, open_schema, 63, max(C.partitions(spark), -(-count // batch))))
     opened = opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "e")).alias("more"))
     opened = opened.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "more")
     rest = stage.where("tag = 1").select("doc_id", "th", "text", "spans")
