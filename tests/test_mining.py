@@ -32,7 +32,8 @@ def test_batch_and_judgement(spark):
     assert {r["factor"] for r in rows} == set(mining.BATCH)
     for r in rows:
         assert ("validation_directional_ic_too_weak" in r["reasons"].split(",")) == (r["valid_ic"] < 0.005)
-        assert r["capacity_score"] == 84.0 and r["bonferroni_p"] == 0.25
+        assert abs(r["capacity_score"] - max(0.0, 100 - min(r["turnover"], 500) / 5)) < 1e-9
+        assert abs(r["bonferroni_p"] - min(1.0, r["test_p"] * len(mining.BATCH))) < 1e-12
 
 
 def test_evolve_is_repeatable(spark):

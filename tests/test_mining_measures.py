@@ -15,15 +15,16 @@ LATE = {"late": "delay(close, 250)", "momentum": "pctchange(close, 4)"}
 
 def run_by_hand(rows, dates, cash=1_000_000.0, step=4):
     """Sells, then buys of the best tenth at the open of each fourth date; default rules."""
-    held, last, values, turn, trades = {}, {}, [], [], 0
+    held, last, values, turn, trades = {}, {"open": {}, "close": {}}, [], [], 0
     for i, day in enumerate(dates):
-        bars = {b.ts_code: b for b in rows[rows["trade_date"] == day].sort_values("ts_code").itertuples()}
-        worth = lambda f: cash + sum(n * (getattr(bars[c], f) if c in bars else last[c]) for c, n in held.items())  # noqa: E731,B023
-        scored = [b for b in bars.values() if not math.isnan(b.score)]
+        here = list(rows[rows["trade_date"] == day].sort_values("ts_code").itertuples())
+        bars = {b.ts_code: b for b in here if b.open > 0}
+        worth = lambda f: cash + sum(n * (getattr(bars[c], f) if c in bars else last[f][c]) for c, n in held.items())  # noqa: E731,B023
+        scored = [b for b in here if not math.isnan(b.score)]  # with or without a bar
         traded = 0.0
         if i % step == 0 and len(scored) >= 5:
             k = max(1, int(len(scored) * 0.1))
-            picks = [b.ts_code for b in sorted((b for b in scored if b.can_buy), key=lambda b: (-b.score, b.ts_code))][:k]
+            picks = [b.ts_code for b in sorted((b for b in scored if b.open > 0 and b.can_buy), key=lambda b: (-b.score, b.ts_code))][:k]
 
             def sell(c, n):
                 nonlocal cash, traded, trades
@@ -61,7 +62,8 @@ def run_by_hand(rows, dates, cash=1_000_000.0, step=4):
                         cash -= n * p + max(n * p * 0.0003, 5.0)
                         held[c] = held.get(c, 0) + n
                         traded, trades = traded + n * p, trades + 1
-        last.update({c: b.close for c, b in bars.items()})
+        for f in last:  # a security without a bar is valued at its last price of the kind
+            last[f].update({c: getattr(b, f) for c, b in bars.items()})
         values.append(round(worth("close"), 2))
         turn.append(traded / values[-1] * 100)
     v = pd.Series([1_000_000.0, *values])
@@ -79,7 +81,11 @@ def test_measures(spark):
     wide = evaluate(p, LATE).toPandas()
     stats = {(r["factor"], r["fold"], r["part"]): r for r in mining.batch_metrics(p, LATE).collect()}
     close = p.groupBy("trade_date").avg("close").toPandas().set_index("trade_date").iloc[:, 0]
-    rows = simulate.prepare(prices, mining._stacked(p, LATE).where("value IS NOT NULL")).toPandas()
+    bars = simulate.quotes(prices).toPandas()
+    bars["can_buy"], bars["can_sell"] = bars["no_buy"].isna(), bars["no_sell"].isna()
+    scores = mining._stacked(p, LATE).where("value IS NOT NULL").toPandas().rename(columns={"value": "score"})
+    scores["trade_date"] = scores["trade_date"].map(dict(zip(days, days[1:], strict=False)))
+    rows = pd.concat([bars.merge(scores[scores["factor"] == f].drop(columns="factor"), on=["ts_code", "trade_date"], how="outer").assign(factor=f) for f in LATE])
     for (factor, k), r in got.items():
         of = {part: days[a:b] for part, (a, b) in folds[k].items()}
         mine = wide[wide["trade_date"].isin(of["valid"])]

@@ -13,7 +13,6 @@ import math
 import random
 import re
 from collections.abc import Callable
-from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
@@ -69,29 +68,38 @@ def novelty_key(expression: str) -> str:
 # --- folds ----------------------------------------------------------------
 
 
+def fold_table(n: int, windows: int = 3, embargo: int = 5) -> pd.DataFrame:
+    """Folds over n dates, a row per fold: train is [0, train), then valid and test after an embargo each.
+
+    Cut-offs are columns of the fold's number: train grows from a first part by a step, and each part ends
+    where its own share of the dates does. A fold whose valid or test part is empty is left out; without
+    any, the dates are halved and the second half is halved again.
+    """
+    share = {k: max(3, n // (max(2, windows) + k)) for k in (2, 3, 4)}  # fixed values: shares of train's step, valid and test
+    t = pd.DataFrame({"fold": range(max(2, windows))})
+    t["train"] = (max(20, n // (max(2, windows) + 1)) + t["fold"] * share[2]).clip(upper=n - 3)
+    t["valid_from"] = (t["train"] + embargo).clip(upper=n)
+    t["valid_to"] = (t["valid_from"] + share[3]).clip(upper=n - 2)
+    t["test_from"] = (t["valid_to"] + embargo).clip(upper=n)
+    t["test_to"] = (t["test_from"] + share[4]).clip(upper=n)
+    t = t[(t["valid_from"] < t["valid_to"]) & (t["test_from"] < t["test_to"])]
+    if t.empty:
+        half = max(1, n // 2)
+        middle = max(half + 1, n * 3 // 4)
+        t = pd.DataFrame([(0, half, half, middle, middle, n)], columns=["fold", "train", "valid_from", "valid_to", "test_from", "test_to"])
+    return t.reset_index(drop=True)
+
+
 def walk_forward(n: int, windows: int = 3, embargo: int = 5) -> list[dict[str, tuple[int, int]]]:
-    """Folds over n dates as half-open index ranges: a growing train part, then
-    valid and test, each after an embargo; halves and quarters where none fits."""
-    windows = max(2, windows)
-    span = lambda k: max(3, n // (windows + k))
-    folds = []
-    for i in range(windows):
-        end = min(n - 3, max(20, n // (windows + 1)) + i * span(2))
-        v0 = min(n, end + embargo)
-        v1 = min(n - 2, v0 + span(3))
-        t0 = min(n, v1 + embargo)
-        t1 = min(n, t0 + span(4))
-        if v0 < v1 and t0 < t1:
-            folds.append({"train": (0, end), "valid": (v0, v1), "test": (t0, t1)})
-    half = max(1, n // 2)
-    return folds or [{"train": (0, half), "valid": (half, max(half + 1, n * 3 // 4)), "test": (max(half + 1, n * 3 // 4), n)}]
+    """The fold table as half-open index ranges by part."""
+    return [{"train": (0, int(r.train)), "valid": (int(r.valid_from), int(r.valid_to)), "test": (int(r.test_from), int(r.test_to))} for r in fold_table(n, windows, embargo).itertuples()]
 
 
 # --- batch evaluation -----------------------------------------------------
 
 
 def parts_by_date(panel: DataFrame, windows: int = 3, embargo: int = 5) -> DataFrame:
-    """(trade_date, fold, part): the dates of each fold's parts."""
+    """(trade_date, fold, part): the dates of each fold's parts, by a range join with the fold table."""
     days = panel.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1)
     rows = [(k, part, a, b) for k, f in enumerate(walk_forward(days.count(), windows, embargo)) for part, (a, b) in f.items()]
     folds = F.broadcast(panel.sparkSession.createDataFrame(rows, "fold int, part string, a int, b int"))  # a few rows
@@ -135,22 +143,15 @@ def backtests(panel: DataFrame, values: DataFrame, parts: DataFrame, s: simulate
     """(factor, fold, part, excess, drawdown, turnover, sharpe, trades): each factor's best names
     bought from full cash on the part's first date on. Excess over the mean close, drawdown and mean
     turnover by date are in percent."""
-    options = asdict(s)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = simulate.walk(pdf, "top", simulate.Settings(**options), warm=True)
-        value = np.array([r[1] for r in out])
-        before = np.concatenate(([s.cash], value[:-1]))
-        returns = value / before - 1
-        sd = float(returns.std(ddof=1)) if len(returns) > 2 else 0.0
-        peak = np.maximum.accumulate(value)
-        row = (float(value[-1] / s.cash - 1) * 100, float(((peak - value) / peak).max()) * 100, float(np.mean([r[4] / r[1] * 100 for r in out])), float(returns.mean()) / sd * math.sqrt(PERIODS) if sd > 0 else 0.0, sum(r[5] + r[6] for r in out))
-        return pd.DataFrame([(pdf["factor"].iloc[0], pdf["fold"].iloc[0], pdf["part"].iloc[0], *row)], columns=["factor", "fold", "part", "total", "drawdown", "turnover", "sharpe", "trades"])
-
-    rows = simulate.prepare(panel, values.where("value IS NOT NULL"), s).join(parts, "trade_date")
-    runs = rows.groupBy("factor", "fold", "part").applyInPandas(run, "factor string, fold int, part string, total double, drawdown double, turnover double, sharpe double, trades int")
-    market = panel.groupBy("trade_date").agg(F.avg("close").alias("m")).join(parts, "trade_date").groupBy("fold", "part").agg((100 * (F.max_by("m", "trade_date") / F.min_by("m", "trade_date") - 1)).alias("market"))
-    return runs.join(market, ["fold", "part"]).select("factor", "fold", "part", (F.col("total") - F.col("market")).alias("excess"), "drawdown", "turnover", "sharpe", "trades")
+    parts = parts.select("fold", "part", "trade_date", F.concat_ws("|", "fold", "part").alias("segment"))
+    days = simulate.daily(simulate.events(panel, values, ("top",), s, segments=parts))
+    w = Window.partitionBy("factor", "segment").orderBy("trade_date")
+    peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn("r", F.col("value") / F.coalesce(F.lag("value").over(w), F.lit(s.cash)) - 1).withColumn("dd", (peak - F.col("value")) / peak)
+    n, sd = F.count(F.lit(1)), F.stddev_samp("r")
+    runs = days.groupBy("factor", "segment").agg((100 * (F.max_by("value", "trade_date") / s.cash - 1)).alias("total"), (100 * F.max("dd")).alias("drawdown"), F.avg(100 * F.col("traded") / F.col("value")).alias("turnover"), F.when((n > 2) & (sd > 0), F.avg("r") / sd * math.sqrt(PERIODS)).otherwise(0.0).alias("sharpe"), F.sum(F.col("buys") + F.col("sells")).alias("trades"))
+    market = panel.groupBy("trade_date").agg(F.avg("close").alias("m")).join(parts, "trade_date").groupBy("fold", "part", "segment").agg((100 * (F.max_by("m", "trade_date") / F.min_by("m", "trade_date") - 1)).alias("market"))
+    return runs.join(market, "segment").select("factor", "fold", "part", (F.col("total") - F.col("market")).alias("excess"), "drawdown", "turnover", "sharpe", "trades")
 
 
 def p_value(t: pd.Series) -> pd.Series:

@@ -1,23 +1,25 @@
 """Execution-aware portfolio simulation of factor scores.
 
-Ranks, tradability and prices are columns computed in Spark; only the cash-dependent
-walk over dates is Python, one group per (factor, direction), so a batch of factors
-runs in parallel. What a group holds follows its candidates: rows that are held or
-may be bought, not the panel.
+Ranks, tradability and prices are columns computed in Spark; only what depends on
+cash walks over dates (see ``walk``), one run per factor, direction, segment and parameter
+set. Of the panel a run sees the bars of securities that it may hold: those it has picked
+before. What it reports are events (days, trades, rejections), and everything else
+follows from them in DataFrames.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
+from .walk import walk_dates
 
 
 @dataclass(frozen=True)
@@ -39,135 +41,243 @@ class Settings:
     limit_pct: float = 0.1
     growth_limit_pct: float = 0.2
     st_limit_pct: float = 0.05
+    skip_star: bool = True
+    skip_st: bool = True
 
 
-SCHEMA = "factor string, direction string, trade_date date, value double, cash double, positions int, traded double, buys int, sells int, rejected int"
+#: What identifies a run.
+RUN = ["factor", "direction", "segment", "select_pct", "rebalance"]
+RUN_SCHEMA = "factor string, direction string, segment string, select_pct double, rebalance int"
+EVENTS = f"{RUN_SCHEMA}, trade_date date, kind string, ts_code string, what string, price double, shares long, amount double, commission double, stamp_tax double, transfer_fee double, value double, cash double, positions int"
+#: Fixed value: scored securities without which a date does not rebalance.
+LEAST_SCORED = 5
 
 
-def prepare(panel: DataFrame, scores: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Bars with previous close, limits and tradability, joined with the previous
-    date's score: (factor, ts_code, trade_date, score, open .. vol, can_buy, can_sell)."""
+# --- rules as columns ------------------------------------------------------
+
+
+def limit_share(code: Column, name: Column, s: Settings) -> Column:
+    """How far a price may move in a day."""
+    return F.when(F.upper(F.coalesce(name, F.lit(""))).contains("ST"), s.st_limit_pct).when(code.rlike("^(300|688)"), s.growth_limit_pct).otherwise(s.limit_pct)
+
+
+def quotes(panel: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Bars with ``no_buy`` and ``no_sell``: the reason why a security cannot be traded on the date, or
+    null. The panel may have a ``name`` (ST is told by it)."""
     w = Window.partitionBy("ts_code").orderBy("trade_date")
-    star = F.col("ts_code").startswith("688")
-    pct = F.when(F.col("ts_code").rlike("^(300|688)"), s.growth_limit_pct).otherwise(s.limit_pct)
-    bars = panel.select("ts_code", "trade_date", "open", "high", "low", "close", F.col("volume").alias("vol"), F.lag("close").over(w).alias("prev"))
-    quoted = (F.col("open") > 0) & (F.col("close") > 0) & (F.col("vol") > 0) & ~star
+    name = F.col("name") if "name" in panel.columns else F.lit(None).cast("string")
+    bars = panel.select("ts_code", "trade_date", "open", "high", "low", "close", F.col("volume").alias("vol"), name.alias("name"), F.lag("close").over(w).alias("prev"))
+    pct = limit_share(F.col("ts_code"), F.col("name"), s)
+    shut = F.when(F.lit(s.skip_star) & F.col("ts_code").startswith("688"), "star_market_filtered")
+    shut = shut.when(F.lit(s.skip_st) & F.upper(F.coalesce("name", F.lit(""))).contains("ST"), "st_filtered")
+    live = (F.col("open") > 0) & (F.col("close") > 0) & (F.col("vol") > 0)
+    shut = shut.when(~F.coalesce(live, F.lit(False)), "paused_or_missing_price")
     up, down = F.bround(F.col("prev") * (1 + pct), 2), F.bround(F.col("prev") * (1 - pct), 2)
-    bars = bars.withColumn("can_buy", quoted & F.coalesce(F.col("open") < up, F.lit(True))).withColumn("can_sell", quoted & F.coalesce(F.col("open") > down, F.lit(True)))
-    days = panel.select("trade_date").distinct().withColumn("_n", F.row_number().over(Window.orderBy("trade_date")))
-    nxt = days.select((F.col("_n") - 1).alias("_n"), F.col("trade_date").alias("_next"))
-    moved = scores.join(days.join(nxt, "_n").drop("_n"), "trade_date").select("factor", "ts_code", F.col("_next").alias("trade_date"), F.col("value").alias("score"))
-    names = scores.select("factor").distinct()
-    return bars.join(names).join(moved, ["factor", "ts_code", "trade_date"], "left")
+    known = F.col("prev") > 0
+    return bars.select("ts_code", "trade_date", "open", "high", "low", "close", "vol", shut.when(known & (F.col("open") >= up), "limit_up_buy_blocked").alias("no_buy"), shut.when(known & (F.col("open") <= down), "limit_down_sell_blocked").alias("no_sell"))
 
 
-class _Book:
-    """Cash and positions of one run."""
+def schedule(panel: DataFrame, segments: DataFrame | None, sets: list[tuple[float, int]], directions: tuple[str, ...]) -> DataFrame:
+    """(direction, segment, select_pct, rebalance, trade_date, signal, due): the dates of each run; ``signal`` is
+    the panel's date before, in the segment or not, and every ``rebalance``-th date of
+    the segment is due. segments: (segment, trade_date), or None for all dates. A row per date of a
+    calendar: windows over it are small."""
+    days = panel.select("trade_date").distinct().withColumn("signal", F.lag("trade_date").over(Window.orderBy("trade_date")))
+    own = days.withColumn("segment", F.lit("")) if segments is None else days.join(segments.select("segment", "trade_date").distinct(), "trade_date")
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy("segment").orderBy("trade_date")) - 1)
+    runs = F.array(*[F.struct(F.lit(d).alias("direction"), F.lit(float(p)).alias("select_pct"), F.lit(int(k)).alias("rebalance")) for d in directions for p, k in sets])
+    own = own.withColumn("r", F.explode(runs)).select("r.*", "segment", "trade_date", "signal", "i")
+    return own.select("direction", "segment", "select_pct", "rebalance", "trade_date", "signal", (F.col("signal").isNotNull() & (F.col("i") % F.col("rebalance") == 0)).alias("due"))
 
-    def __init__(self, s: Settings):
-        self.s, self.cash, self.held, self.last = s, s.cash, {}, {}
-        self.rejected: Counter = Counter()
-        self.buys = self.sells = 0
-
-    def value(self, bars: dict, field: str) -> float:
-        return self.cash + sum(n * (getattr(bars[c], field) if c in bars and getattr(bars[c], field) > 0 else self.last.get(c, 0.0)) for c, n in self.held.items())
-
-    def lots(self, shares: float) -> int:
-        return max(0, int(shares)) // self.s.lot * self.s.lot
-
-    def price(self, bar, side: int) -> float:
-        p = round(max(0.0, bar.open + side * self.s.slippage), 2)
-        return max(bar.low, min(bar.high, p)) if bar.high > 0 and bar.low > 0 else p
-
-    def fee(self, amount: float) -> float:
-        return max(amount * self.s.commission, self.s.min_commission) if amount > 0 and self.s.commission > 0 else 0.0
-
-    def extra(self, code: str, amount: float) -> float:
-        return amount * self.s.transfer_fee if ".SH" in code.upper() else 0.0
-
-    def sell(self, code: str, bar, shares: int) -> float:
-        if bar is None or not bar.can_sell:
-            self.rejected["sell blocked"] += 1
-            return 0.0
-        n = min(shares, self.held[code], self.lots(min(self.lots(shares), bar.vol * 100 * self.s.volume_limit)))
-        if n <= 0:
-            self.rejected["below lot or volume cap"] += 1
-            return 0.0
-        amount = n * self.price(bar, -1)
-        self.cash += amount - self.fee(amount) - amount * self.s.stamp_tax - self.extra(code, amount)
-        self.held[code] -= n
-        if not self.held[code]:
-            del self.held[code]
-        self.sells += 1
-        return amount
-
-    def buy(self, code: str, bar, shares: int, total: float) -> float:
-        p, s = self.price(bar, 1), self.s
-        cap = self.lots(bar.vol * 100 * s.volume_limit)
-        n = min(self.lots(shares), cap)
-        have = self.held.get(code, 0) * bar.open
-        if n >= s.lot and s.max_position > 0 and have + n * p > total * s.max_position:
-            n = min(self.lots((total * s.max_position - have) / p), cap)
-        cost = n * p + self.fee(n * p) + self.extra(code, n * p)
-        if n >= s.lot and cost > self.cash:
-            n = min(n, self.lots(self.cash / (p * (1 + s.commission + s.transfer_fee))))
-            cost = n * p + self.fee(n * p) + self.extra(code, n * p)
-        if n < s.lot:
-            self.rejected["below lot, cap or cash"] += 1
-            return 0.0
-        self.cash -= cost
-        self.held[code] = self.held.get(code, 0) + n
-        self.buys += 1
-        return n * p
-
-
-def walk(rows: pd.DataFrame, direction: str, s: Settings, warm: bool = False) -> list[tuple]:
-    """(date, value, cash, positions, traded, buys, sells, rejected) by date: sells first, then buys
-    in order of score, at the next open after the signal; ties by code. ``warm``: the rows
-    are a segment with dates before it, so that its first date trades as well."""
-    book, out = _Book(s), []
-    down = direction != "bottom"
-    for i, (day, group) in enumerate(rows.sort_values(["trade_date", "ts_code"]).groupby("trade_date", sort=True)):
-        bars = {b.ts_code: b for b in group.itertuples(index=False)}
-        traded = 0.0
-        book.buys = book.sells = 0
-        before = sum(book.rejected.values())
-        scored = group[group["score"].notna()]
-        if (i > 0 or warm) and i % s.rebalance == 0 and len(scored) >= 5:
-            k = max(1, int(len(scored) * max(0.001, min(s.select_pct, 1.0))))
-            free = scored[scored["can_buy"]]
-            book.rejected["buy blocked"] += len(scored) - len(free)
-            picks = free.sort_values(["score", "ts_code"], ascending=[not down, True], kind="stable")["ts_code"].tolist()[:k]
-            for c in [c for c in book.held if c not in set(picks)]:
-                traded += book.sell(c, bars.get(c), book.held[c])
-            if picks:
-                total = book.value(bars, "open")
-                goal = min(total * min(s.exposure, 1.0) / len(picks), total * s.max_position)
-                for c in picks:
-                    want = book.lots(goal / max(round(bars[c].open + s.slippage, 2), 1e-12)) - book.held.get(c, 0)
-                    if want > 0:
-                        traded += book.buy(c, bars[c], want, book.value(bars, "open"))
-                    elif want < 0:
-                        traded += book.sell(c, bars[c], -want)
-        for c, b in bars.items():
-            if b.close > 0:
-                book.last[c] = b.close
-        out.append((day, round(book.value(bars, "close"), 2), round(book.cash, 2), len(book.held), round(traded, 2), book.buys, book.sells, sum(book.rejected.values()) - before))
-    return out
 
+# --- sizes -----------------------------------------------------------------
 
-def simulate(panel: DataFrame, scores: DataFrame, directions: tuple[str, ...] = ("top", "bottom"), s: Settings = Settings()) -> DataFrame:
-    """Equity by date for each factor and direction. ``scores``: (ts_code, trade_date, factor, value)."""
-    rows = prepare(panel, scores, s)
-    rows = rows.crossJoin(panel.sparkSession.createDataFrame([(d,) for d in directions], "direction string").hint("broadcast"))
+
+def whole_lots(shares: float, lot: int) -> int:
+    return int(max(0.0, shares) // lot) * lot
+
+
+def fill_price(open_: float, low: float, high: float, side: int, slip: float) -> float:
+    """The open moved against the trader by ``slip``, within the bar."""
+    p = round(max(0.0, open_ + side * slip), 2)
+    return max(low, min(high, p)) if high > 0 and low > 0 else p
+
+
+def broker_fee(amount: float, rate: float, least: float) -> float:
+    return max(amount * rate, least) if amount > 0 and rate > 0 else 0.0
+
+
+def affordable_lots(cash: float, price: float, rate: float, least: float, other: float, lot: int) -> int:
+    """Most shares in whole lots whose amount, commission (at least ``least``) and other rates fit into cash."""
+    if price <= 0:
+        return 0
+    by_rate = cash / (price * (1 + rate + other))
+    by_least = (cash - (least if rate > 0 else 0.0)) / (price * (1 + other))
+    return whole_lots(min(by_rate, by_least) + 1e-9, lot)
+
+
+class Account:
+    """Cash, shares and the last prices of one run."""
+
+    def __init__(self, s: Settings):
+        self.s, self.cash, self.shares = s, s.cash, {}
+        self.opens: dict[str, float] = {}
+        self.closes: dict[str, float] = {}
+
+    def worth(self, opening: bool) -> float:
+        """Cash and shares at the last opens (closes where none is known) or closes."""
+        price = lambda c: (self.opens.get(c) if opening else None) or self.closes.get(c, 0.0)
+        return self.cash + sum(n * price(c) for c, n in self.shares.items())
+
+    def trade(self, code: str, bar, wanted: int) -> tuple:
+        """Buys (wanted > 0) or sells what all limits allow. The event: a trade, or the first limit
+        that leaves less than can be traded."""
+        s, side = self.s, 1 if wanted > 0 else -1
+        blocked = "paused_or_missing_price" if bar is None else bar.no_buy if side > 0 else bar.no_sell
+        if blocked:
+            return ("reject", code, blocked)
+        p, held = fill_price(bar.open, bar.low, bar.high, side, s.slippage), self.shares.get(code, 0)
+        transfer = s.transfer_fee if ".SH" in code.upper() else 0.0
+        limits = {"below_lot_or_volume_cap": min(abs(wanted) if side > 0 else min(-wanted, held), bar.vol * 100 * s.volume_limit)}
+        if side > 0:
+            if s.max_position > 0:
+                limits["max_position_pct"] = (self.worth(True) * s.max_position - held * bar.open) / max(p, 1e-12)
+            limits["insufficient_cash"] = affordable_lots(self.cash, p, s.commission, s.min_commission, transfer, s.lot)
+        for reason, most in limits.items():
+            if whole_lots(most, s.lot) <= 0:
+                return ("reject", code, reason)
+        n = whole_lots(min(limits.values()), s.lot)
+        amount = n * p
+        fees = (broker_fee(amount, s.commission, s.min_commission), amount * s.stamp_tax if side < 0 else 0.0, amount * transfer)
+        self.cash -= side * amount + sum(fees)
+        self.shares[code] = held + side * n
+        if not self.shares[code]:
+            del self.shares[code]
+        return ("trade", code, "buy" if side > 0 else "sell", round(p, 4), n, amount, *fees)
+
+    def day(self, bars: dict, targets: list[str] | None) -> list[tuple]:
+        """Events of a date: with ``targets`` (best first) others are sold, then all are brought to equal weight."""
+        s, events = self.s, []
+        self.opens.update({c: b.open for c, b in bars.items() if b.open > 0})
+        if targets is not None:
+            chosen = set(targets)
+            events += [self.trade(c, bars.get(c), -n) for c, n in list(self.shares.items()) if c not in chosen]
+            worth = self.worth(True)
+            each = min(worth * min(max(s.exposure, 0.0), 1.0) / max(1, len(targets)), worth * max(s.max_position, 0.0))
+            for c in targets:
+                goal = whole_lots(int(each / max(round(bars[c].open + s.slippage, 2), 1e-12)), s.lot)
+                if goal != self.shares.get(c, 0):
+                    events.append(self.trade(c, bars[c], goal - self.shares.get(c, 0)))
+        self.closes.update({c: b.close for c, b in bars.items() if b.close > 0})
+        traded = sum(e[5] for e in events if e[0] == "trade")
+        return [*events, ("day", None, None, None, None, traded, None, None, None, self.worth(False), self.cash, len(self.shares))]
+
+
+# --- runs ------------------------------------------------------------------
+
+
+def events(panel: DataFrame, scores: DataFrame, directions: tuple[str, ...] = ("top", "bottom"), s: Settings = Settings(), sets: list[tuple[float, int]] | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """All events of all runs (``EVENTS``): a day per date of the segment, trades and rejections.
+
+    scores: (ts_code, trade_date, factor, value). On due dates with at least ``LEAST_SCORED``
+    scores of the date before, the best ``select_pct`` of all scored are picked among those that can be bought;
+    ties go by code. Trades are made at the open, values at the close; a missing quote carries the last one.
+    """
+    sets = sets or [(s.select_pct, s.rebalance)]
+    bars = quotes(panel, s)
+    plan = schedule(panel, segments, sets, directions)
+    due = plan.where("due").select(*RUN[1:], "trade_date", "signal")
+    scored = scores.where("value IS NOT NULL").select("factor", "ts_code", F.col("trade_date").alias("signal"), "value").join(due, "signal")
+    scored = scored.join(bars.select("ts_code", "trade_date", "no_buy", F.lit(True).alias("quoted")), ["ts_code", "trade_date"], "left")
+    scored = scored.withColumn("no_buy", F.when(F.col("quoted"), F.col("no_buy")).otherwise("paused_or_missing_price"))
+    date = Window.partitionBy(*RUN, "trade_date")
+    sign = F.when(F.col("direction") == "bottom", F.col("value")).otherwise(-F.col("value"))
+    scored = scored.withColumn("n", F.count(F.lit(1)).over(date)).where(F.col("n") >= LEAST_SCORED)
+    scored = scored.withColumn("nth", F.row_number().over(date.orderBy(F.col("no_buy").isNotNull(), sign, "ts_code")))
+    goal = F.greatest(F.lit(1), F.floor(F.col("n") * F.greatest(F.lit(0.001), F.least(F.col("select_pct"), F.lit(1.0)))))
+    picks = scored.where(F.col("no_buy").isNull() & (F.col("nth") <= goal)).select(*RUN, "trade_date", "ts_code", "nth")
+    # bars from a security's first pick on
+    ever = picks.groupBy(*RUN, "ts_code").agg(F.min("trade_date").alias("first"))
+    last = plan.groupBy(*RUN[1:]).agg(F.max("trade_date").alias("last"))
+    rows = ever.join(F.broadcast(last), RUN[1:]).join(bars, "ts_code").where((F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last"))).drop("first", "last")
+    rows = rows.join(picks, [*RUN, "trade_date", "ts_code"], "left")
+    # one row per date for the run itself; as many as the curves have
+    active = scored.select(*RUN, "trade_date").distinct().withColumn("active", F.lit(True))
+    clock = scores.select("factor").distinct().crossJoin(F.broadcast(plan.select(*RUN[1:], "trade_date"))).join(active, [*RUN, "trade_date"], "left")
+    clock = clock.withColumn("ts_code", F.lit("")).withColumn("active", F.coalesce("active", F.lit(False)))
+    rows = rows.unionByName(clock, allowMissingColumns=True)
     options = asdict(s)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, d = pdf["factor"].iloc[0], pdf["direction"].iloc[0]
-        out = walk(pdf, d, Settings(**options))
-        return pd.DataFrame([(f, d, *r) for r in out], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def start(key: tuple):
+        account = Account(Settings(**options))
+        width = EVENTS.count(",") + 1 - len(RUN)
+
+        def step(day, frame: pd.DataFrame) -> list[tuple]:
+            first = frame["active"].iloc[0]  # the run's own row, or a date after a gap in the segment
+            own = frame[frame["ts_code"] != ""]
+            found = {b.ts_code: b for b in own.itertuples(index=False)}
+            targets = own[own["nth"].notna()].sort_values("nth")["ts_code"].tolist() if first is True or first == True else None  # noqa: E712
+            out = account.day(found, targets)
+            if frame["ts_code"].iloc[0] != "":
+                return []
+            return [(day, *e, *[None] * (width - 1 - len(e))) for e in out]
+
+        return step
+
+    walked = walk_dates(rows, RUN, "trade_date", ["ts_code"], start, EVENTS)
+    turned = scored.where("no_buy IS NOT NULL").select(*RUN, "trade_date", F.lit("reject").alias("kind"), "ts_code", F.col("no_buy").alias("what"))
+    return walked.unionByName(turned, allowMissingColumns=True)
+
+
+def daily(events_: DataFrame) -> DataFrame:
+    """Per run and date: value, cash, positions, traded, and how many buys, sells and rejections."""
+    is_ = lambda k, w=None: F.sum(((F.col("kind") == k) & (F.lit(True) if w is None else F.col("what") == w)).cast("int")).cast("int")
+    day = lambda c: F.max(F.when(F.col("kind") == "day", F.col(c)))
+    return events_.groupBy(*RUN, "trade_date").agg(F.round(day("value"), 2).alias("value"), F.round(day("cash"), 2).alias("cash"), day("positions").alias("positions"), F.round(day("amount"), 2).alias("traded"), is_("trade", "buy").alias("buys"), is_("trade", "sell").alias("sells"), is_("reject").alias("rejected"))
+
+
+def trades(events_: DataFrame) -> DataFrame:
+    """Trades with their amounts and fees to the cent."""
+    money = [F.round(c, 2).alias(n) for c, n in (("amount", "trade_value"), ("commission", "commission"), ("stamp_tax", "stamp_tax"), ("transfer_fee", "transfer_fee"))]
+    return events_.where("kind = 'trade'").select(*RUN, "trade_date", F.col("ts_code").alias("code"), F.col("what").alias("action"), "price", "shares", *money, F.round(F.col("commission") + F.col("stamp_tax") + F.col("transfer_fee"), 2).alias("fee"))
+
+
+def rejections(events_: DataFrame) -> DataFrame:
+    """How often each reason kept an order back, by run."""
+    return events_.where("kind = 'reject'").groupBy(*RUN, F.col("what").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def curves(days: DataFrame, benchmark: DataFrame, cash: float) -> DataFrame:
+    """Per run and date of ``daily``: value, normalized, benchmark, benchmark_normalized and excess (in percent of
+    the run's start). benchmark: (trade_date, close); gaps take the close before, or else
+    the first one."""
+    w = Window.partitionBy(*RUN).orderBy("trade_date")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = days.select(*RUN, "trade_date", "value").join(benchmark.select("trade_date", F.col("close").alias("b")), "trade_date", "left")
+    x = x.withColumn("b", F.coalesce(F.last("b", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("b", ignorenulls=True).over(whole)))
+    x = x.withColumn("b0", F.first("b").over(whole)).withColumn("v0", F.first("value").over(whole))
+    x = x.withColumn("benchmark", F.round(F.when(F.col("b0") > 0, F.col("b") / F.col("b0") * cash).otherwise(cash), 2))
+    x = x.withColumn("m0", F.first("benchmark").over(whole))
+    return x.select(*RUN, "trade_date", "value", F.round(F.col("value") / F.col("v0"), 6).alias("normalized"), "benchmark", F.round(F.col("benchmark") / F.col("m0"), 6).alias("benchmark_normalized"), F.round((F.col("value") / F.col("v0") - F.col("benchmark") / F.col("m0")) * 100, 4).alias("excess"))
+
+
+def summary(days: DataFrame, curve: DataFrame, cash: float, year: int = 252) -> DataFrame:
+    """Per run: total_return, annual_return, max_drawdown, turnover, benchmark_return and excess_return in percent,
+    sharpe_ratio (without a riskless rate, more than two returns), trade_count."""
+    w = Window.partitionBy(*RUN).orderBy("trade_date")
+    peak = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    prev = F.coalesce(F.lag("value").over(w), F.lit(cash))
+    x = days.withColumn("r", F.col("value") / prev - 1).withColumn("dd", (peak - F.col("value")) / peak).withColumn("turn", F.col("traded") / F.col("value") * 100)
+    n, sd = F.count(F.lit(1)), F.stddev_samp("r")
+    x = x.groupBy(*RUN).agg(n.alias("n"), ((F.max_by("value", "trade_date") / cash - 1) * 100).alias("total"), (F.max("dd") * 100).alias("dd"), F.when((n > 2) & (sd > 0), F.avg("r") / sd * math.sqrt(year)).otherwise(0.0).alias("sharpe"), F.avg("turn").alias("turn"), F.sum(F.col("buys") + F.col("sells")).alias("trades"))
+    b = curve.groupBy(*RUN).agg(((F.max_by("benchmark", "trade_date") / cash - 1) * 100).alias("bench"))
+    annual = (F.pow(F.greatest(F.lit(1e-6), 1 + F.col("total") / 100), year / F.col("n")) - 1) * 100
+    return x.join(b, RUN).select(*RUN, F.round("total", 2).alias("total_return"), F.round(annual, 2).alias("annual_return"), F.round("dd", 2).alias("max_drawdown"), F.round("sharpe", 3).alias("sharpe_ratio"), F.col("trades").alias("trade_count"), F.round("turn", 2).alias("turnover"), F.round("bench", 2).alias("benchmark_return"), F.round(F.round("total", 2) - F.round("bench", 2), 2).alias("excess_return"))
 
-    return rows.groupBy("factor", "direction").applyInPandas(run, SCHEMA)
+
+def simulate(panel: DataFrame, scores: DataFrame, directions: tuple[str, ...] = ("top", "bottom"), s: Settings = Settings()) -> DataFrame:
+    """Equity by date for each factor and direction. ``scores``: (ts_code, trade_date, factor, value)."""
+    return daily(events(panel, scores, directions, s)).drop("segment", "select_pct", "rebalance")
 
 
 def technical(panel: DataFrame, expression: str, enter: float, leave: float) -> DataFrame:
@@ -182,16 +292,18 @@ def technical(panel: DataFrame, expression: str, enter: float, leave: float) ->
 
 
 def grid(panel: DataFrame, scores: DataFrame, pcts: list[float], steps: list[int]) -> DataFrame:
-    """Final value for each (select_pct, rebalance): parameter sets are groups of one job."""
-    sets = panel.sparkSession.createDataFrame([(float(p), int(k)) for p in pcts for k in steps], "select_pct double, rebalance int")
-    rows = prepare(panel, scores).crossJoin(sets.hint("broadcast"))
+    """Final value for each (select_pct, rebalance): parameter sets are runs of one job, best first."""
+    s = Settings()
+    days = daily(events(panel, scores, ("top",), s, [(p, k) for p in pcts for k in steps]))
+    return days.groupBy("factor", "select_pct", "rebalance").agg(F.max_by("value", "trade_date").alias("final_value"), F.sum(F.col("buys") + F.col("sells")).cast("int").alias("trades")).orderBy(F.desc("final_value"), "factor", "select_pct", "rebalance")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Settings(select_pct=float(pdf["select_pct"].iloc[0]), rebalance=int(pdf["rebalance"].iloc[0]))
-        out = walk(pdf, "top", s)
-        return pd.DataFrame([(pdf["factor"].iloc[0], s.select_pct, s.rebalance, out[-1][1], sum(r[5] + r[6] for r in out))], columns=["factor", "select_pct", "rebalance", "final_value", "trades"])
 
-    return rows.groupBy("factor", "select_pct", "rebalance").applyInPandas(run, "factor string, select_pct double, rebalance int, final_value double, trades int")
+def market_mean(panel: DataFrame) -> DataFrame:
+    """(trade_date, close): the equal-weight benchmark, a cumulated mean of returns against each security's last
+    close."""
+    w = Window.partitionBy("ts_code").orderBy("trade_date")
+    r = panel.select("trade_date", (F.col("close") / F.lag("close").over(w) - 1).alias("r")).groupBy("trade_date").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("r"))
+    return r.select("trade_date", F.exp(F.sum(F.log1p("r")).over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0))).alias("close"))
 
 
 def _scores(panel: DataFrame) -> DataFrame:
@@ -208,6 +320,27 @@ def selection_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(_cents(p), _scores(p))
 
 
+def selection_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = market_panel(spark, sf_dir)
+    return curves(daily(events(_cents(p), _scores(p), ("top",))), market_mean(p), Settings().cash)
+
+
+def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = market_panel(spark, sf_dir)
+    days = daily(events(_cents(p), _scores(p)))
+    return summary(days, curves(days, market_mean(p), Settings().cash), Settings().cash)
+
+
+def selection_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = market_panel(spark, sf_dir)
+    return trades(events(_cents(p), _scores(p), ("top",)))
+
+
+def selection_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = market_panel(spark, sf_dir)
+    return rejections(events(_cents(p), _scores(p)))
+
+
 def technical_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return technical(market_panel(spark, sf_dir), "zscore(close, 10)", 0.5, -0.5)
 
@@ -218,7 +351,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (selection_backtest, technical_backtest, grid_search)}
+    return {f.__name__: f for f in (selection_backtest, selection_curves, selection_summary, selection_trades, selection_rejections, technical_backtest, grid_search)}
 
 
 def oracle_sql() -> dict[str, str]:
