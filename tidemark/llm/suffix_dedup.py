@@ -33,7 +33,7 @@ from .exchange import mark_repeated
 #: Bytes of an anchor gram.
 GRAM = 32
 #: Fragments of one batch of the column-wise construction.
-BATCH = 1500
+BATCH = 6000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
 
