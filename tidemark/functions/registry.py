@@ -272,22 +272,37 @@ def _memory(alpha: float) -> int:
     return max(2, math.ceil(-12 * math.log(10) / math.log(1 - alpha))) if alpha < 1 else 1
 
 
-def ema_of(d, x, alpha):
-    """The recursion y = a x + (1 - a) y over the rows that still have weight."""
-    return f"(CASE WHEN {x} IS NOT NULL THEN {d.fold(d.collect(x, frame(_memory(alpha))), f'a * CAST({1 - alpha!r} AS DOUBLE) + v * CAST({alpha!r} AS DOUBLE)')} END)"
+def _known(x: str) -> str:
+    """The rows of a security that have a value, in order."""
+    return f"(PARTITION BY {KEY}, ({x} IS NULL) ORDER BY {TIME})"
 
 
-def ewm_of(d, x, alpha):
-    """Exponentially weighted mean, weights normalised."""
-    q, w = 1 - alpha, frame(_memory(alpha))
-    top = d.fold(d.collect(x, w), f"a * CAST({q!r} AS DOUBLE) + v")
-    return f"(CASE WHEN {x} IS NOT NULL THEN {top} * CAST({alpha!r} AS DOUBLE) / (1 - power(CAST({q!r} AS DOUBLE), count({x}) OVER {w})) END)"
+@register("decayed_pair", "ts", 1, (1, 0.5))
+def _decayed_pair(d, x, k, w):
+    """A value plus w times the one k known rows before: doubling k from 1 on sums any number of weights q**j in
+    as many steps as that number has bits, without arrays."""
+    return f"({x} + CAST({float(w)!r} AS DOUBLE) * coalesce(lag({x}, {N(k)}) OVER {_known(x)}, CAST(0 AS DOUBLE)))"
 
 
-register("ema", "ts", 1, (20,))(lambda d, x, n: ema_of(d, x, 2.0 / (n + 1)))
-register("sma", "ts", 1, (20, 1))(lambda d, x, n, m: ema_of(d, x, float(m) / n))
-register("ewm", "ts", 1, (20,))(lambda d, x, n: ewm_of(d, x, 2.0 / (n + 1)))
-register("ic_ewm", "ts", 1, (20,))(lambda d, x, n: ewm_of(d, x, 1 - 0.5 ** (2.0 / n)))
+@register("decayed_ema", "ts", 2, (0.5,))
+def _decayed_ema(d, total, x, alpha):
+    """The recursion y = a x + (1 - a) y from its sum of weights; it starts at the first value."""
+    q = f"CAST({1 - alpha!r} AS DOUBLE)"
+    return f"({total} * CAST({alpha!r} AS DOUBLE) + {q} * power({q}, row_number() OVER {_known(x)} - 1) * first_value({x}) OVER {_known(x)})"
+
+
+@register("decayed_mean", "ts", 2, (0.5,))
+def _decayed_mean(d, total, x, alpha):
+    """Exponentially weighted mean from its sum of weights, normalised."""
+    return f"({total} * CAST({alpha!r} AS DOUBLE) / (1 - power(CAST({1 - alpha!r} AS DOUBLE), row_number() OVER {_known(x)})))"
+
+
+def _decayed(end: str, alpha: float) -> str:
+    out, k = "s", 1
+    while k < _memory(alpha):
+        out = f"decayed_pair({out}, {k}, {(1 - alpha) ** k!r})"
+        k *= 2
+    return f"{end}({out}, s, {alpha!r})"
 
 
 @register("rank cs_rank cs_percentile", "ts", 1)
@@ -335,15 +350,26 @@ def _xs_winsor(d, x, lo, hi):
     return f"(CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, {f.format(x, lo)} OVER {DATE}), {f.format(x, hi)} OVER {DATE}) END)"
 
 
-@register("xs_industry_residual", "xs", 2)
-def _residual(d, y, x):
-    """Residual of y on x and industry dummies, by demeaning within the industry and one slope a date."""
-    g = f"(PARTITION BY {TIME}, industry)"
-    return f"({y} - avg({y}) OVER {g})"
+@register("xs_industry_demean", "xs", 1)
+def _industry_demean(d, x):
+    return f"({x} - avg({x}) OVER (PARTITION BY {TIME}, industry))"
+
+
+@register("xs_slope_residual", "xs", 2)
+def _slope_residual(d, y, x):
+    """y less its slope on x in the date; both are demeaned already. A flat x explains nothing."""
+    y2, x2 = _both(y, x)
+    return f"({y} - {x} * coalesce(sum({x2} * {y2}) OVER {DATE} / nullif(round(sum({x2} * {x2}) OVER {DATE}, 12), CAST(0 AS DOUBLE)), CAST(0 AS DOUBLE)))"
 
 
 #: Functions that are written with others.
-MACROS: dict[str, tuple[tuple[str, ...], tuple, str]] = {
+MACROS: dict[str, tuple[tuple[str, ...], tuple, str | Callable[..., str]]] = {
+    "ema": (("s",), (20,), lambda n: _decayed("decayed_ema", 2.0 / (n + 1))),
+    "sma": (("s",), (20, 1), lambda n, m: _decayed("decayed_ema", float(m) / n)),
+    "ewm": (("s",), (20,), lambda n: _decayed("decayed_mean", 2.0 / (n + 1))),
+    "ic_ewm": (("s",), (20,), lambda n: _decayed("decayed_mean", 1 - 0.5 ** (2.0 / n))),
+    # residual of y on x and industry dummies: demeaned within the industry, one slope a date
+    "xs_industry_residual": (("y", "x"), (), "xs_slope_residual(xs_industry_demean(where(abs(x) >= 0, y, y / 0)), xs_industry_demean(where(abs(y) >= 0, x, x / 0)))"),
     "macd_dif": (("s",), (12, 26), "ema(s, {0}) - ema(s, {1})"),
     "macd_dea": (("s",), (12, 26, 9), "ema(ema(s, {0}) - ema(s, {1}), {2})"),
     "macd_hist": (("s",), (12, 26, 9), "(ema(s, {0}) - ema(s, {1})) - ema(ema(s, {0}) - ema(s, {1}), {2})"),

@@ -68,6 +68,7 @@ EXPRESSIONS: dict[str, dict[str, str]] = {
     "xs_scale": {"a": "xs_scale(close - open)"},
     "xs_demean": {"a": "xs_demean(close)"},
     "xs_winsor_zscore": {"a": "xs_zscore(xs_rank(xs_winsor(close, 0.01, 0.99)))"},
+    "xs_industry_residual": {"a": "xs_industry_residual(volume, log(total_mv))"},
     "dsl_nested": {"a": "xs_rank(corr(xs_rank(close), xs_rank(volume), 5)) - ts_pct_rank(xs_rank(delta(close, 2)), 5)"},
 }
 

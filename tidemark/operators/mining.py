@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import FUNCTIONS
+from ..functions.registry import FUNCTIONS, MACROS
 from ..plans.ast import Node, parse, walk
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
@@ -59,7 +59,7 @@ def novelty_key(expression: str) -> str:
     nodes = list(walk(parse(expression)))
     names = {n.op for n in nodes if n.op[0].isalpha() and n.op not in ("num", "var", "neg", "not")}
     variables = {str(n.value) for n in nodes if n.op == "var"}
-    windows = {int(n.args[-1].value) for n in nodes if n.op in FUNCTIONS and n.args and n.args[-1].op == "num" and FUNCTIONS[n.op].axis == "ts"}
+    windows = {int(n.args[-1].value) for n in nodes if n.args and n.args[-1].op == "num" and (n.op in MACROS or n.op in FUNCTIONS and FUNCTIONS[n.op].axis == "ts")}
     family = "shape" if names & SHAPE else "fundamental" if variables & BASICS else "event" if names & EVENTS else "volume" if variables & {"vol", "volume", "amount"} else "return" if "returns" in variables or "pctchange" in names else "price"
     sizes = {next(b for top, b in BUCKETS if w <= top) for w in windows}
     return "|".join([family, "+".join(sorted(names - PLAIN)) or "raw", "+".join(sorted(variables)) or "none", "+".join(sorted(sizes)) or "none", "event" if names & (EVENTS | {"where", "ternary"}) else "continuous"])

@@ -69,7 +69,9 @@ QUERIES: dict[str, str] = {
     "rank_ic": f"WITH {SIGNAL}, {RANKED} SELECT {DAY}, CAST(max(n) AS BIGINT) AS names, {_s(_corr('rf', 'rr'))} AS ic FROM ranked WHERE n >= {MIN_NAMES} GROUP BY trade_date",
     "board_ic": f"WITH {SIGNAL}, {RANKED} SELECT {DAY}, {_s(_corr('f', 'fwd'))} AS ic FROM ranked WHERE n >= 10 GROUP BY trade_date",
     "ic_summary": f"WITH {SIGNAL}, {RANKED}, ics AS (SELECT trade_date, {_corr('rf', 'rr')} AS ic FROM ranked WHERE n >= {MIN_NAMES} GROUP BY trade_date) SELECT count(ic) AS dates, {_s('avg(ic)')} AS ic_mean, {_s('stddev_samp(ic)')} AS ic_std, {_s('avg(ic) / nullif(stddev_samp(ic), 0.0D)')} AS ir, {_s('avg(CASE WHEN round(ic, 9) > 0 THEN 1.0D ELSE 0.0D END)')} AS positive, {_s('avg(ic) / nullif(stddev_samp(ic), 0.0D) * sqrt(count(ic))')} AS t_stat FROM ics",
-    "evaluate_groups": f"WITH {SIGNAL}, {RANKED}, {GROUPED}, {GROUP_RETURNS} SELECT {DAY}, g, names, {_s('ret')} AS ret FROM group_returns",
+    "evaluate_groups": f"""WITH {SIGNAL}, {RANKED}, bounds AS (SELECT *, CAST(floor((rn * {GROUPS} - 1) / n) AS INT) AS g0 FROM ranked WHERE n >= greatest({GROUPS}, 3)),
+      grouped AS (SELECT *, CASE WHEN rn > floor((g0 + 1) * n / CAST({GROUPS} AS DOUBLE)) THEN g0 + 1 WHEN rn <= floor(g0 * n / CAST({GROUPS} AS DOUBLE)) THEN g0 - 1 ELSE g0 END AS g FROM bounds)
+      SELECT {DAY}, g, count(1) AS names, {_s('avg(fwd)')} AS ret FROM grouped GROUP BY trade_date, g""",
     "group_summary": f"WITH {SIGNAL}, {RANKED}, {GROUPED}, {GROUP_RETURNS} SELECT g, count(1) AS dates, {_s('avg(ret)')} AS mean_ret, {_s('stddev_samp(ret)')} AS std_ret, {_s('exp(sum(ln(1 + ret)) / count(1)) - 1')} AS geometric FROM group_returns GROUP BY g",
     "monotonicity": f"WITH {SIGNAL}, {RANKED}, {GROUPED}, {GROUP_RETURNS}, m AS (SELECT g, avg(ret) AS ret FROM group_returns GROUP BY g) SELECT count(1) AS pairs, sum(CASE WHEN b.ret > a.ret THEN 1 ELSE 0 END) AS rising, {_s('sum(CASE WHEN b.ret > a.ret THEN 1.0D WHEN b.ret < a.ret THEN -1.0D ELSE 0.0D END) / count(1)')} AS score FROM m a JOIN m b ON a.g < b.g",
     "evaluate_turnover": f"""WITH {SIGNAL}, {RANKED}, {GROUPED}, {DATES},
@@ -138,8 +140,12 @@ QUERIES: dict[str, str] = {
       SELECT n, {_s('lg')} AS log_total, {_s('lg * 52 / n')} AS log_annual, {_s('sd * sqrt(52.0D)')} AS vol, {_s('(mu - 0.03D / 52) / sd * sqrt(52.0D)')} AS sharpe, {_s('(mu - 0.03D / 52) / down * sqrt(52.0D)')} AS sortino, {_s('dd')} AS max_drawdown, {_s('win')} AS win_rate FROM s""",
     "alpha_beta": f"""WITH {MARKET}, x AS (SELECT p.ts_code, p.r, m.r AS b FROM (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel) p JOIN market m ON m.trade_date = p.trade_date WHERE p.r IS NOT NULL)
       SELECT ts_code, {_s('covar_samp(r, b) / nullif(var_samp(b), 0.0D)')} AS beta, {_s('avg(r) - covar_samp(r, b) / nullif(var_samp(b), 0.0D) * avg(b)')} AS alpha, {_s('avg(r - b) / nullif(stddev_samp(r - b), 0.0D)')} AS ir FROM x GROUP BY ts_code""",
-    "drawdown_episodes": f"""WITH {MARKET}, {CURVE}, {DRAWN}, e AS (SELECT *, sum(CASE WHEN v >= peak THEN 1 ELSE 0 END) OVER (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM drawn)
-      SELECT CAST(min(trade_date) AS STRING) AS start_day, CAST(max(trade_date) AS STRING) AS last_day, count(1) AS days, {_s('min((v - peak) / peak)')} AS depth FROM e GROUP BY k HAVING min((v - peak) / peak) <= -0.02D""",
+    # the next peak of an episode's security is its recovery; it is read before shallow episodes leave
+    "drawdown_episodes": f"""WITH x AS (SELECT ts_code, trade_date, close, max(close) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM panel),
+      e AS (SELECT *, (close - peak) / peak AS dd, sum(CASE WHEN close >= peak THEN 1 ELSE 0 END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, row_number() OVER ({_W}) AS i FROM x),
+      g AS (SELECT ts_code, k, min(trade_date) AS peak_day, min(CASE WHEN dd < 0 THEN trade_date END) AS start_day, min_by(trade_date, dd) AS trough_day, min(dd) AS depth, count(1) - 1 AS days FROM e GROUP BY ts_code, k),
+      h AS (SELECT *, lead(peak_day) OVER (PARTITION BY ts_code ORDER BY k) AS recovery FROM g)
+      SELECT ts_code, CAST(start_day AS STRING) AS start_day, CAST(trough_day AS STRING) AS trough_day, CAST(recovery AS STRING) AS recovery_day, days, {_s('depth')} AS depth FROM h WHERE depth <= -0.02D""",
     "underwater": f"WITH {MARKET}, {CURVE}, {DRAWN} SELECT {DAY}, {_s('(v - peak) / peak')} AS underwater FROM drawn",
     "monthly_returns": f"WITH x AS (SELECT ts_code, substr(CAST(trade_date AS STRING), 1, 7) AS month, trade_date, close FROM panel) SELECT ts_code, month, {_s('max_by(close, trade_date) / min_by(close, trade_date) - 1')} AS ret FROM x GROUP BY ts_code, month",
     "var_cvar": f"WITH {MARKET}, o AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i, count(1) OVER () AS n FROM market) SELECT {_s('max(CASE WHEN i = floor(0.05D * n) THEN r END)')} AS var_5, {_s('avg(CASE WHEN i < greatest(floor(0.05D * n), 1) THEN r END)')} AS cvar_5 FROM o",
@@ -159,9 +165,13 @@ QUERIES: dict[str, str] = {
     "quality_missing": """WITH c AS (SELECT count(DISTINCT trade_date) AS days FROM panel) SELECT ts_code, CAST(max(days) - count(1) AS BIGINT) AS missing, CASE WHEN max(days) - count(1) > 0.3D * max(days) THEN 'error' WHEN max(days) - count(1) > 0.05D * max(days) THEN 'warning' ELSE 'clean' END AS status FROM panel CROSS JOIN c GROUP BY ts_code""",
     "quality_extremes": f"SELECT ts_code, count(1) AS days FROM (SELECT ts_code, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel) AS x WHERE abs(r) > 0.11D GROUP BY ts_code",
     "quality_suspension": "SELECT ts_code, sum(CASE WHEN open = close AND high = low AND open = high THEN 1 ELSE 0 END) AS flat, sum(CASE WHEN volume = 0 THEN 1 ELSE 0 END) AS no_volume FROM panel GROUP BY ts_code",
-    "quality_sticking": f"""WITH x AS (SELECT ts_code, trade_date, CASE WHEN floor(close / 400000) = floor(lag(close, 1) OVER ({_W}) / 400000) THEN 0 ELSE 1 END AS new FROM panel),
-      g AS (SELECT *, sum(new) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM x) SELECT ts_code, max(n) AS longest FROM (SELECT ts_code, k, count(1) AS n FROM g GROUP BY ts_code, k) AS y GROUP BY ts_code""",
-    "quality_freshness": "WITH e AS (SELECT max(trade_date) AS d FROM panel) SELECT ts_code, CAST(max(trade_date) AS STRING) AS last_day, CASE WHEN max(trade_date) < min(e.d) THEN 'stale' ELSE 'fresh' END AS status FROM panel CROSS JOIN e GROUP BY ts_code",
+    "quality_sticking": f"""WITH x AS (SELECT ts_code, trade_date, CASE WHEN close = lag(close, 1) OVER ({_W}) THEN 0 ELSE 1 END AS new FROM panel),
+      g AS (SELECT *, sum(new) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM x),
+      m AS (SELECT ts_code, max(n) AS longest FROM (SELECT ts_code, k, count(1) AS n FROM g GROUP BY ts_code, k) AS y GROUP BY ts_code)
+      SELECT ts_code, longest, CASE WHEN longest >= 5 THEN 'warning' ELSE 'clean' END AS status FROM m""",
+    "quality_freshness": """WITH e AS (SELECT max(trade_date) AS d FROM panel), l AS (SELECT ts_code, max(trade_date) AS last_ FROM panel GROUP BY ts_code),
+      g AS (SELECT ts_code, CAST(last_ AS STRING) AS last_day, CAST(replace(substr(CAST(d AS STRING), 1, 10), '-', '') AS INT) - CAST(replace(substr(CAST(last_ AS STRING), 1, 10), '-', '') AS INT) AS gap FROM l CROSS JOIN e)
+      SELECT ts_code, last_day, gap, CASE WHEN gap > 100 THEN 'error' WHEN gap > 10 THEN 'warning' ELSE 'clean' END AS status FROM g""",
     # top-k, screening, set operations
     "top_bottom_pct": f"WITH {SIGNAL}, {RANKED} SELECT {DAY}, ts_code, CASE WHEN rn <= greatest(1, floor(n * 0.1D)) THEN 'bottom' ELSE 'top' END AS side FROM ranked WHERE rn <= greatest(1, floor(n * 0.1D)) OR rn > n - greatest(1, floor(n * 0.1D))",
     "top_holdings": f"SELECT {DAY}, ts_code, CAST(k AS INT) AS k FROM (SELECT trade_date, ts_code, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, ts_code) AS k FROM panel) AS x WHERE k <= 10",
@@ -172,20 +182,69 @@ QUERIES: dict[str, str] = {
     "curve_downsample": f"WITH {MARKET}, {CURVE}, n AS (SELECT trade_date, v, row_number() OVER (ORDER BY trade_date) AS i, count(1) OVER () AS n FROM curve) SELECT {DAY}, {_s('v')} AS v FROM n WHERE (i - 1) % CAST(ceil(n / 260.0D) AS BIGINT) = 0 OR i = n",
     "universe_filter": "SELECT ts_code, count(1) AS days FROM panel WHERE ts_code NOT LIKE '00001%' AND industry IN ('N1', 'N2', 'N3', 'N4', 'N5') GROUP BY ts_code",
     "set_operations": "SELECT 'both' AS kind, count(1) AS n FROM (SELECT ts_code FROM panel WHERE volume > 60 INTERSECT SELECT ts_code FROM panel WHERE volume < 10) AS a UNION ALL SELECT 'first', count(1) FROM (SELECT ts_code FROM panel WHERE volume > 60 EXCEPT SELECT ts_code FROM panel WHERE volume < 10) AS b",
-    "piotroski": f"""WITH q AS (SELECT ts_code, substr(CAST(trade_date AS STRING), 1, 4) AS y, avg(pe) AS roe, sum(amount) AS sales, avg(pb) AS debt, avg(turnover_rate) AS turn, count(1) AS n FROM panel GROUP BY ts_code, substr(CAST(trade_date AS STRING), 1, 4)),
-      l AS (SELECT *, lag(roe) OVER (PARTITION BY ts_code ORDER BY y) AS roe0, lag(sales) OVER (PARTITION BY ts_code ORDER BY y) AS sales0, lag(debt) OVER (PARTITION BY ts_code ORDER BY y) AS debt0, lag(turn) OVER (PARTITION BY ts_code ORDER BY y) AS turn0, row_number() OVER (PARTITION BY ts_code ORDER BY y DESC) AS k FROM q)
-      SELECT ts_code, (CASE WHEN roe > 0 THEN 1 ELSE 0 END) + (CASE WHEN roe > roe0 THEN 1 ELSE 0 END) + (CASE WHEN sales > sales0 THEN 1 ELSE 0 END) + (CASE WHEN debt < debt0 THEN 1 ELSE 0 END) + (CASE WHEN turn > turn0 THEN 1 ELSE 0 END) AS score FROM l WHERE k = 1""",
+    "piotroski": f"""WITH q AS (SELECT ts_code, substr(CAST(trade_date AS STRING), 1, 4) AS y, round(avg(pe), 9) AS roe, round(avg(close - open) / avg(close), 9) AS roa, round(sum(CASE WHEN close > open THEN amount ELSE 0 END) / sum(amount), 9) AS ocf, round(avg(high - close) / avg(high), 9) AS npm, round(avg(pb), 9) AS debt, round(sum(volume) / count(1), 9) AS cur, round(avg(high - low) / avg(high), 9) AS gm, round(avg(turnover_rate), 9) AS turns FROM panel GROUP BY 1, 2),
+      l AS (SELECT *, lag(roa) OVER ({{w}}) AS roa0, lag(debt) OVER ({{w}}) AS debt0, lag(cur) OVER ({{w}}) AS cur0, lag(gm) OVER ({{w}}) AS gm0, lag(turns) OVER ({{w}}) AS turns0, row_number() OVER (PARTITION BY ts_code ORDER BY y DESC) AS k, count(1) OVER (PARTITION BY ts_code) AS reports FROM q),
+      p AS (SELECT ts_code, reports, (CASE WHEN roa > 0 THEN 1 ELSE 0 END) + (CASE WHEN ocf > 0 THEN 1 ELSE 0 END) + (CASE WHEN roa > roa0 THEN 1 ELSE 0 END) + (CASE WHEN ocf > npm THEN 1 ELSE 0 END) + (CASE WHEN debt < debt0 THEN 1 ELSE 0 END) + (CASE WHEN cur > cur0 THEN 1 ELSE 0 END) + (CASE WHEN gm > gm0 THEN 1 ELSE 0 END) + (CASE WHEN turns > turns0 THEN 1 ELSE 0 END) + (CASE WHEN roe > 8 THEN 1 ELSE 0 END) AS raw_score FROM l WHERE k = 1)
+      SELECT ts_code, raw_score, round(raw_score / 9.0D * 100, 1) AS score FROM p WHERE reports >= 2""".replace("{{w}}", "PARTITION BY ts_code ORDER BY y").replace("{w}", "PARTITION BY ts_code ORDER BY y"),
     # strategy signals
     "signal_ma_cross": f"WITH a AS (SELECT ts_code, trade_date, avg(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, avg(close) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l, count(1) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM panel), b AS (SELECT *, lag(s) OVER ({_W}) AS s0, lag(l) OVER ({_W}) AS l0 FROM a) SELECT ts_code, {DAY}, CASE WHEN s > l AND s0 <= l0 THEN 'buy' WHEN s < l AND s0 >= l0 THEN 'sell' END AS side FROM b WHERE n = 20 AND (s > l AND s0 <= l0 OR s < l AND s0 >= l0)",
     "signal_turtle": f"WITH a AS (SELECT ts_code, trade_date, close, max(high) OVER ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi, min(low) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS lo, count(1) OVER ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n FROM panel) SELECT ts_code, {DAY}, CASE WHEN close > hi THEN 'buy' ELSE 'sell' END AS side FROM a WHERE n = 20 AND (close > hi OR close < lo)",
     "signal_mean_reversion": f"WITH a AS (SELECT ts_code, trade_date, (close - avg(close) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) / stddev_samp(close) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS z, count(1) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM panel) SELECT ts_code, {DAY}, {_s('z')} AS z, CASE WHEN z < -1 THEN 'buy' WHEN z > 0 THEN 'sell' ELSE 'hold' END AS side FROM a WHERE n = 20",
     "signal_bollinger": f"WITH a AS (SELECT ts_code, trade_date, close, avg(close) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m, stddev_samp(close) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd, count(1) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM panel) SELECT ts_code, {DAY}, CASE WHEN close > m + 2 * sd THEN 'buy' ELSE 'sell' END AS side FROM a WHERE n = 20 AND (close > m + 2 * sd OR close < m)",
-    "price_limits": f"SELECT ts_code, {DAY}, round(floor(prev * 110 + 0.5D) / 100, 2) AS up_limit, round(floor(prev * 90 + 0.5D) / 100, 2) AS down_limit, close >= prev * 1.1D AS at_limit FROM (SELECT ts_code, trade_date, close, lag(close, 1) OVER ({_W}) AS prev FROM panel) AS x WHERE prev IS NOT NULL",
-    "trading_costs": f"SELECT ts_code, {DAY}, {_s('greatest(amount / 100 * 0.0003D, 5.0D)')} AS commission, {_s('amount / 100 * 0.001D')} AS stamp_tax FROM panel",
+    "price_limits": f"""WITH x AS (SELECT ts_code, trade_date, open, lag(close, 1) OVER ({_W}) AS prev, CASE WHEN CAST(substr(ts_code, 5, 2) AS INT) % 10 = 7 THEN 5 WHEN CAST(substr(ts_code, 5, 2) AS INT) % 10 = 3 THEN 20 ELSE 10 END AS pct FROM panel)
+      SELECT ts_code, {DAY}, pct, CAST(floor(prev * (100 + pct) / 100 + 0.5D) AS DOUBLE) AS up_limit, CAST(floor(prev * (100 - pct) / 100 + 0.5D) AS DOUBLE) AS down_limit, open >= floor(prev * (100 + pct) / 100 + 0.5D) AS buy_blocked, open <= floor(prev * (100 - pct) / 100 + 0.5D) AS sell_blocked FROM x WHERE prev IS NOT NULL""",
+    "trading_costs": f"SELECT ts_code, {DAY}, {_s('greatest(amount / 100 * 0.0003D, 5.0D)')} AS commission, {_s('amount / 100 * 0.001D')} AS stamp_tax, {_s('amount / 100 * 0.00002D')} AS transfer_fee, {_s('volume * 0.002D')} AS slippage FROM panel",
     # sentiment of texts, bars from ticks
     "sentiment_by_source": "WITH s AS (SELECT source, lang, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) - (CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'scum') THEN 2 ELSE 0 END) AS score FROM documents) SELECT source, lang, count(1) AS texts, CAST(sum(score) AS BIGINT) AS total, sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS positive, sum(CASE WHEN score < 0 THEN 1 ELSE 0 END) AS negative FROM s GROUP BY source, lang",
     "bars_hourly": "SELECT event_type, CAST(date_trunc('hour', ts) AS STRING) AS hour_, min_by(value, event_id) AS first_value_, max(value) AS high, min(value) AS low, count(1) AS ticks FROM events GROUP BY 1, 2",
-    "batch_summary": "SELECT industry, count(DISTINCT ts_code) AS codes, CAST(min(trade_date) AS STRING) AS first_day, CAST(max(trade_date) AS STRING) AS last_day, max(close) AS high FROM panel WHERE industry = (SELECT max(industry) FROM panel) OR industry < 'N2' GROUP BY industry",
+    "batch_summary": "SELECT industry, count(DISTINCT ts_code) AS codes, CAST(min(trade_date) AS STRING) AS first_day, CAST(max(trade_date) AS STRING) AS last_day, max(close) AS high FROM panel GROUP BY industry",
+    "board_groups": f"WITH {SIGNAL}, {RANKED}, {GROUPED}, {GROUP_RETURNS} SELECT {DAY}, g, names, {_s('ret')} AS ret FROM group_returns",
+    "evaluate_rank_ic": f"WITH {SIGNAL}, {RANKED} SELECT {DAY}, CAST(max(n) AS BIGINT) AS names, round({_s('coalesce(' + _corr('rf', 'rr') + ', 0.0D)')}, 4) AS ic FROM ranked WHERE n >= greatest({GROUPS}, 3) GROUP BY trade_date",
+    "quality_issues": f"""WITH p AS (SELECT *, lag(close, 1) OVER ({_W}) AS prev FROM panel), e AS (SELECT max(trade_date) AS d, count(DISTINCT trade_date) AS days FROM panel),
+      runs AS (SELECT ts_code, trade_date, sum(CASE WHEN close = prev THEN 0 ELSE 1 END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM p),
+      stick AS (SELECT ts_code, max(n) AS n FROM (SELECT ts_code, k, count(1) AS n FROM runs GROUP BY ts_code, k) AS y GROUP BY ts_code),
+      c AS (SELECT ts_code, max(e.days) - count(1) AS missing, max(e.days) AS days, sum(CASE WHEN open = high AND high = low AND low = close THEN 1 ELSE 0 END) AS flat, sum(CASE WHEN volume = 0 AND close <> prev THEN 1 ELSE 0 END) AS moved, sum(CASE WHEN abs(close / prev - 1) > 0.11D THEN 1 ELSE 0 END) AS extreme,
+            CAST(replace(substr(CAST(max(e.d) AS STRING), 1, 10), '-', '') AS INT) - CAST(replace(substr(CAST(max(p.trade_date) AS STRING), 1, 10), '-', '') AS INT) AS gap FROM p CROSS JOIN e GROUP BY ts_code),
+      issues AS (
+        SELECT ts_code, 'missing_dates' AS kind, CASE WHEN missing > 0.3D * days THEN 2 WHEN missing > 0.05D * days THEN 1 ELSE 0 END AS severity, missing AS n FROM c
+        UNION ALL SELECT ts_code, 'suspension', CASE WHEN flat >= 10 THEN 2 WHEN flat >= 1 THEN 1 ELSE 0 END, flat FROM c
+        UNION ALL SELECT ts_code, 'zero_volume', CASE WHEN moved > 0 THEN 1 ELSE 0 END, moved FROM c
+        UNION ALL SELECT ts_code, 'extreme_return', CASE WHEN extreme >= 5 THEN 2 WHEN extreme > 0 THEN 1 ELSE 0 END, extreme FROM c
+        UNION ALL SELECT ts_code, 'price_sticking', CASE WHEN n >= 5 THEN 1 ELSE 0 END, n FROM stick
+        UNION ALL SELECT ts_code, 'stale_data', CASE WHEN gap > 100 THEN 2 WHEN gap > 10 THEN 1 ELSE 0 END, gap FROM c)
+      SELECT ts_code, kind, CASE severity WHEN 2 THEN 'error' ELSE 'warning' END AS severity, CAST(n AS BIGINT) AS n FROM issues WHERE severity > 0""",
+    "quality_status": f"""WITH p AS (SELECT *, lag(close, 1) OVER ({_W}) AS prev FROM panel), e AS (SELECT max(trade_date) AS d, count(DISTINCT trade_date) AS days FROM panel),
+      runs AS (SELECT ts_code, trade_date, sum(CASE WHEN close = prev THEN 0 ELSE 1 END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM p),
+      stick AS (SELECT ts_code, max(n) AS n FROM (SELECT ts_code, k, count(1) AS n FROM runs GROUP BY ts_code, k) AS y GROUP BY ts_code),
+      c AS (SELECT ts_code, max(e.days) - count(1) AS missing, max(e.days) AS days, sum(CASE WHEN open = high AND high = low AND low = close THEN 1 ELSE 0 END) AS flat, sum(CASE WHEN volume = 0 AND close <> prev THEN 1 ELSE 0 END) AS moved, sum(CASE WHEN abs(close / prev - 1) > 0.11D THEN 1 ELSE 0 END) AS extreme,
+            CAST(replace(substr(CAST(max(e.d) AS STRING), 1, 10), '-', '') AS INT) - CAST(replace(substr(CAST(max(p.trade_date) AS STRING), 1, 10), '-', '') AS INT) AS gap FROM p CROSS JOIN e GROUP BY ts_code),
+      issues AS (
+        SELECT ts_code, 'missing_dates' AS kind, CASE WHEN missing > 0.3D * days THEN 2 WHEN missing > 0.05D * days THEN 1 ELSE 0 END AS severity, missing AS n FROM c
+        UNION ALL SELECT ts_code, 'suspension', CASE WHEN flat >= 10 THEN 2 WHEN flat >= 1 THEN 1 ELSE 0 END, flat FROM c
+        UNION ALL SELECT ts_code, 'zero_volume', CASE WHEN moved > 0 THEN 1 ELSE 0 END, moved FROM c
+        UNION ALL SELECT ts_code, 'extreme_return', CASE WHEN extreme >= 5 THEN 2 WHEN extreme > 0 THEN 1 ELSE 0 END, extreme FROM c
+        UNION ALL SELECT ts_code, 'price_sticking', CASE WHEN n >= 5 THEN 1 ELSE 0 END, n FROM stick
+        UNION ALL SELECT ts_code, 'stale_data', CASE WHEN gap > 100 THEN 2 WHEN gap > 10 THEN 1 ELSE 0 END, gap FROM c)
+      SELECT ts_code, CASE max(severity) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'clean' END AS status, CASE max(severity) WHEN 2 THEN 'remove' WHEN 1 THEN 'check before use' END AS recommendation FROM issues GROUP BY ts_code""",
+    "quality_zero_volume": f"SELECT ts_code, CAST(sum(CASE WHEN volume = 0 AND close <> prev THEN 1 ELSE 0 END) AS BIGINT) AS moved FROM (SELECT *, lag(close, 1) OVER ({_W}) AS prev FROM panel) AS x GROUP BY ts_code",
+    "drawdown_duration": f"""WITH x AS (SELECT ts_code, trade_date, CASE WHEN close >= max(close) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) THEN 1 ELSE 0 END AS top FROM panel),
+      g AS (SELECT ts_code, sum(top) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM x) SELECT ts_code, max(n) AS longest FROM (SELECT ts_code, k, count(1) - 1 AS n FROM g GROUP BY ts_code, k) AS y GROUP BY ts_code""",
+    "monthly_excess": f"""WITH {MARKET}, b AS (SELECT substr(CAST(trade_date AS STRING), 1, 7) AS month, exp(sum(ln(1 + r))) - 1 AS bench FROM market GROUP BY 1),
+      x AS (SELECT p.ts_code, substr(CAST(p.trade_date AS STRING), 1, 7) AS month, max_by(p.close, p.trade_date) / min_by(p.close, p.trade_date) - 1 AS ret FROM panel p GROUP BY 1, 2)
+      SELECT x.ts_code, x.month, {_s('x.ret')} AS ret, {_s('b.bench')} AS bench, {_s('x.ret - b.bench')} AS excess FROM x LEFT JOIN b ON b.month = x.month""",
+    "annual_returns": """SELECT ts_code, max(CASE WHEN y = 1995 THEN ret END) AS y1995, max(CASE WHEN y = 1996 THEN ret END) AS y1996, max(CASE WHEN y = 1997 THEN ret END) AS y1997, max(CASE WHEN y = 1998 THEN ret END) AS y1998, max(CASE WHEN y = 1999 THEN ret END) AS y1999, max(CASE WHEN y = 2000 THEN ret END) AS y2000, max(CASE WHEN y = 2001 THEN ret END) AS y2001
+      FROM (SELECT ts_code, CAST(substr(CAST(trade_date AS STRING), 1, 4) AS INT) AS y, round(max_by(close, trade_date) / min_by(close, trade_date) - 1, 6) AS ret FROM panel GROUP BY 1, 2) AS x GROUP BY ts_code""",
+    "rolling_market_corr": f"""WITH {MARKET}, x AS (SELECT p.ts_code, p.trade_date, p.r, m.r AS b FROM (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel) AS p JOIN market m ON m.trade_date = p.trade_date WHERE p.r IS NOT NULL),
+      w AS (SELECT *, count(1) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS n, covar_pop(r, b) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS c, stddev_pop(r) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS sr, stddev_pop(b) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS sb FROM x)
+      SELECT ts_code, {DAY}, {_s('CASE WHEN sr * sb > 1e-12 THEN c / (sr * sb) ELSE 0.0D END')} AS corr FROM w WHERE n = 60""",
+    "factor_decay_windows": f"""WITH {SIGNAL}, {RANKED}, ics AS (SELECT trade_date, {_corr('rf', 'rr')} AS ic FROM ranked WHERE n >= {MIN_NAMES} GROUP BY trade_date),
+      lo AS (SELECT min(trade_date) AS d FROM ics), x AS (SELECT ic, datediff(trade_date, lo.d) AS i FROM ics CROSS JOIN lo),
+      s AS (SELECT 0 AS k UNION ALL SELECT 1)
+      SELECT CAST(floor(i / 30.0D) - k AS INT) AS window_, count(ic) AS dates, {_s('avg(ic)')} AS ic, {_s('avg(ic) / nullif(stddev_samp(ic), 0.0D)')} AS ir FROM x CROSS JOIN s WHERE floor(i / 30.0D) - k >= 0 GROUP BY 1""",
+    "fundamentals_on_date": """WITH d AS (SELECT max(trade_date) AS d FROM panel WHERE trade_date <= CAST('1996-03-08' AS DATE) AND trade_date > CAST('1996-02-27' AS DATE)) SELECT ts_code, CAST(trade_date AS STRING) AS trade_date, round(pe, 6) AS pe, round(pb, 6) AS pb, turnover_rate FROM panel p JOIN d ON d.d = p.trade_date""",
+    "cross_section_topn": f"""WITH l AS (SELECT ts_code, max_by(close, trade_date) / min_by(close, trade_date) - 1 AS v, max(trade_date) AS last_ FROM panel WHERE trade_date <= CAST('1996-06-30' AS DATE) AND trade_date > CAST('1995-05-07' AS DATE) GROUP BY ts_code),
+      k AS (SELECT *, row_number() OVER (ORDER BY v DESC, ts_code) AS top, row_number() OVER (ORDER BY v, ts_code) AS low FROM l)
+      SELECT ts_code, CAST(last_ AS STRING) AS last_day, {_s('v')} AS v, CASE WHEN top <= 10 THEN 'top' ELSE 'bottom' END AS side, CAST(least(top, low) AS INT) AS k FROM k WHERE top <= 10 OR low <= 10""",
 }
 
 
@@ -208,6 +267,7 @@ def to_duck(text: str) -> str:
     import re
 
     text = re.sub(r"(\d)D\b", r"\1::DOUBLE", text)
+    text = re.sub(r"\bdatediff\((\S+), (\S+)\)", r"date_diff('day', \2, \1)", text)
     if re.search(r"\bpanel\b", text):
         text = re.sub(r"^\s*(WITH )?", lambda m: f"WITH panel AS ({PANEL_SQL}){', ' if m[1] else ' '}", text, count=1)
     return text

@@ -28,7 +28,7 @@ class Node:
 
     def __str__(self) -> str:
         if self.op == "num":
-            return f"{self.value:g}"
+            return repr(self.value) if self.value != int(self.value) or abs(self.value) >= 1e15 else str(int(self.value))
         if self.op == "var":
             return str(self.value)
         if self.op in _INFIX and len(self.args) == 2:

@@ -35,7 +35,7 @@ def expand(node: Node, columns: frozenset[str]) -> Node:
         params = [*map(_number, given), *defaults[len(given) :]]
         if len(node.args) < len(names) or len(given) > len(defaults):
             raise ExpressionError(f"{node.op} takes {len(names)} columns and {len(defaults)} numbers")
-        body = parse(text.format(*params))
+        body = parse(text(*params) if callable(text) else text.format(*params))
         return expand(_put(body, dict(zip(names, node.args, strict=False))), columns)
     if node.op not in R.FUNCTIONS:
         raise ExpressionError(f"unknown function {node.op!r}")
