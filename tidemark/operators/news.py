@@ -14,16 +14,14 @@ def sentiment(text: Column, weights: dict[str, float], negations: list[str], win
     """struct(score, label, hits): the sum of the weights of words that occur; a word
     whose first occurrence has a negation within the ``window`` characters before it counts
     minus half. Scores are clamped to [-1, 1]; labels change at 0.2 either way."""
-    hits = []
-    for word, weight in weights.items():
-        at = F.instr(text, word)
-        before = F.substring(text, F.greatest(at - window, F.lit(1)), F.least(at - 1, F.lit(window)))
-        negated = F.lit(False)
-        for n in negations:
-            negated = negated | before.contains(n)
-        negated = (at > 1) & negated
-        hits.append(F.when(at > 0, F.struct(F.when(negated, F.lit("not:" + word)).otherwise(F.lit(word)).alias("word"), F.when(negated, F.lit(-0.5 * weight)).otherwise(F.lit(float(weight))).alias("w"))))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    words = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(float(w)).alias("w")) for word, w in weights.items()])
+    there = F.filter(F.transform(words, lambda h: F.struct(h["word"].alias("word"), h["w"].alias("w"), F.instr(text, h["word"]).alias("at"))), lambda h: h["at"] > 0)
+
+    def negated(h: Column) -> Column:
+        before = F.substring(text, F.greatest(h["at"] - window, F.lit(1)), F.least(h["at"] - 1, F.lit(window)))
+        return (h["at"] > 1) & F.exists(F.array(*map(F.lit, negations)), lambda n: F.contains(before, n))
+
+    found = F.transform(there, lambda h: F.when(negated(h), F.struct(F.concat(F.lit("not:"), h["word"]).alias("word"), (h["w"] * -0.5).alias("w"))).otherwise(F.struct(h["word"].alias("word"), h["w"].alias("w"))))
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(found, F.lit(0.0), lambda a, h: a + h["w"])))
     label = F.when(score >= 0.2, "positive").when(score <= -0.2, "negative").otherwise("neutral")
     return F.struct(F.round(score, 3).alias("score"), label.alias("label"), F.transform(F.slice(found, 1, 10), lambda h: h["word"]).alias("hits"))
