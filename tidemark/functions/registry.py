@@ -157,16 +157,23 @@ register("cross_down", "ts", 2, boolean=True)(lambda d, a, b: f"coalesce({a} < {
 
 
 def _moment(fn: str):
+    """A constant side has no correlation and a covariance of zero. Both are free of rounding errors (nine decimals; forty
+    bits, and zero below 1e-12 of what they could be), so that ranks of equal ones tie."""
+
     def build(d, a, b, n):
         n = N(n)
         x, y = _both(a, b)
         w = frame(n)
+        moving = " AND ".join(f"stddev_pop({v}) OVER {w} > 1e-9 * (1e-9 + abs(avg({v}) OVER {w}))" for v in (x, y))
+        spread = f"stddev_pop({x}) OVER {w} * stddev_pop({y}) OVER {w}"
         if fn == "corr":
-            value = div(f"covar_pop({x}, {y}) OVER {w}", f"(CASE WHEN stddev_pop({x}) OVER {w} > 1e-9 * (1e-9 + abs(avg({x}) OVER {w})) AND stddev_pop({y}) OVER {w} > 1e-9 * (1e-9 + abs(avg({y}) OVER {w})) THEN stddev_pop({x}) OVER {w} * stddev_pop({y}) OVER {w} END)")
+            value = div(f"covar_pop({x}, {y}) OVER {w}", f"(CASE WHEN {moving} THEN {spread} END)")
             value = f"round(least(greatest({value}, CAST(-1 AS DOUBLE)), CAST(1 AS DOUBLE)), 9)"
-            value = f"(CASE WHEN stddev_pop({x}) OVER {w} > 1e-9 * (1e-9 + abs(avg({x}) OVER {w})) AND stddev_pop({y}) OVER {w} > 1e-9 * (1e-9 + abs(avg({y}) OVER {w})) THEN {value} END)"
+            value = f"(CASE WHEN {moving} THEN {value} END)"
         else:
-            value = f"covar_samp({x}, {y}) OVER {w}"
+            c = f"covar_samp({x}, {y}) OVER {w}"
+            cut = f"CAST({float(2**13 + 1)!r} AS DOUBLE)"
+            value = f"(CASE WHEN {moving} AND abs({c}) > 1e-12 * {spread} THEN {c} * {cut} - ({c} * {cut} - {c}) ELSE CAST(0 AS DOUBLE) END)"
         return f"(CASE WHEN count({x}) OVER {w} = {n} THEN {value} END)"
 
     return build
