@@ -55,3 +55,16 @@ SECTORS = {
 
 HIGH_IMPACT = ["重磅", "突发", "紧急", "历史性", "首次", "全面", "大幅", "暴涨", "暴跌", "涨停", "跌停", "爆雷", "退市"]
 MEDIUM_IMPACT = ["超预期", "不及预期", "调整", "变化", "新政", "改革", "增长", "下滑", "回升", "回调"]
+
+# Tags of formulas, by words in them.
+FORMULA_TAGS = {
+    "量价关系": ["correlation", "covariance"],
+    "横截面排序": ["rank(", "ts_rank"],
+    "动量反转": ["delta", "delay", "returns"],
+    "波动率": ["std", "variance"],
+    "流动性": ["volume", "adv"],
+    "成交均价偏离": ["vwap"],
+    "K线结构": ["open", "high", "low", "close"],
+    "趋势平滑": ["mean", "sma", "decaylinear"],
+}
+NO_TAG = "复合信号"
