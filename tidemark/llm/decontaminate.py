@@ -164,7 +164,8 @@ def _merge(parts: list[DataFrame], schema) -> DataFrame:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """docs without the contaminated rows; all columns stay. Each row is judged by its own
-    text, whatever its id."""
+    text, whatever its id. Null and empty texts have no words and stay; an empty benchmark removes nothing, an empty
+    table gives an empty result."""
     C.tune(docs.sparkSession)
     out = docs
     for table in blocks(benchmark, size):

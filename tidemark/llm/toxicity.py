@@ -186,10 +186,11 @@ class Model:
     def __init__(self, restore: Restorer, weights: dict[str, float]):
         self.restore, self.weights = restore, weights
         self.logit = np.zeros(4)
+        self.labelled = 0  # rows it was fitted on
         self.seen: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"restore": self.restore, "weights": self.weights, "logit": self.logit, "seen": {}}
+        return {"restore": self.restore, "weights": self.weights, "logit": self.logit, "labelled": self.labelled, "seen": {}}
 
     def weight(self, token: str) -> float:
         w = self.seen.get(token)
@@ -293,6 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(y), *[pa.array(x[:, i]) for i in range(4)]], schema=earrow)
 
     seen = np.array([tuple(r) for r in C.map_batches(rows, measure, eschema).collect()], float).reshape(-1, 5)  # at most `most` rows
+    model.labelled = len(seen)
     if len(seen):
         model.logit = fit_logistic(seen[:, 1:], seen[:, 0])
     return model
@@ -320,9 +322,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without rows scored at the threshold or above; all columns stay. Each row is
-    judged by its own text, whatever its id."""
+    judged by its own text, whatever its id; null and empty texts have no evidence. Without any label to learn from, no
+    row is rejected: a score of 0.5 for all says nothing. An empty table gives an empty result."""
     C.tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    model = train(docs, labels)
+    if not model.labelled:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def stays(texts):
