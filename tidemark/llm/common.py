@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,3 +154,14 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[
     same = [out["_route"] == cold["_route"], F.col("_hot").isNull()] + [out[k].eqNullSafe(F.col(f"_c_{k}")) for k in keys]
     out = out.join(cold, same, "left")
     return out.select(*[out[c] for c in left.columns], *[F.coalesce(F.col(f"_hv_{v}"), F.col(f"_cv_{v}")).alias(v) for v in values])
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``rank``, each row's number from 0 in ``order``, without a window over all rows: sorted rows are
+    written, and what each sorted partition holds is counted."""
+    held = staged(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    counts = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row per sorted partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    met = held.join(F.broadcast(before), F.shiftright("_at", 33) == before["_part"])
+    return met.select(*df.columns, (F.col("_before") + F.expr("_at & 8589934591")).alias("rank"))
