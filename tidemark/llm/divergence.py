@@ -80,7 +80,7 @@ def _share(n: Column, total: Column, kept: Column) -> Column:
     return F.lit(1) + F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + ADDED).cast("decimal(20,0)"), (total + F.lit(ADDED) * kept).cast("decimal(20,0)"))
 
 
-def _overlaps(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _overlaps(postings: DataFrame, groups: DataFrame, side: int) -> DataFrame:
     """(lang, a, b, value), a < b: what the one-sided prices say wrongly of the terms that both have, in parts to be summed."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,26 +88,26 @@ def _overlaps(postings: DataFrame, groups: DataFrame) -> DataFrame:
         term = pd.factorize(pdf["term"])[0]
         order = np.argsort(term, kind="stable")
         term, no, p, z = (x[order] for x in (term, pdf["no"].to_numpy(), pdf["p"].to_numpy(), pdf["z"].to_numpy()))
-        zero = np.zeros(2 * TILE, np.int64)  # z by place in the two tiles
-        side = np.where(no // TILE == one, no - one * TILE, TILE + no - two * TILE)
-        zero[side] = z
-        right = 0 if one == two else TILE
-        sums = np.zeros((TILE, TILE), np.int64)
+        zero = np.zeros(2 * side, np.int64)  # z by place in the two tiles
+        at = np.where(no // side == one, no - one * side, side + no - two * side)
+        zero[at] = z
+        right = 0 if one == two else side
+        sums = np.zeros((side, side), np.int64)
         for begin in range(0, int(term[-1]) + 1, LAID):
             some = slice(*np.searchsorted(term, (begin, begin + LAID)))
-            t, s, q = term[some] - begin, side[some], p[some]
-            table, there = np.zeros((LAID, TILE), np.int64), np.zeros((LAID, TILE), bool)
-            own = (s >= right) & (s < right + TILE)
-            table[t[own], s[own] - right], there[t[own], s[own] - right] = q[own], True
+            t, s, q = term[some] - begin, at[some], p[some]
+            own = (s >= right) & (s < right + side)
             wide = int((s[own] - right).max(initial=-1)) + 1
-            for a in np.unique(s[s < TILE]).tolist():
-                at = np.flatnonzero(s == a)
-                mine, other, both = q[at][:, None], table[t[at], :wide], there[t[at], :wide]
-                z_b = zero[None, right : right + wide]
-                wrong = np.abs(mine - other) - np.abs(mine - z_b) - np.abs(other - zero[a]) + np.abs(zero[a] - z_b)
-                sums[a, :wide] += np.where(both, wrong, 0).sum(0)
+            table, there = np.zeros((LAID, wide), np.int64), np.zeros((LAID, wide), bool)
+            table[t[own], s[own] - right], there[t[own], s[own] - right] = q[own], True
+            z_b = zero[None, right : right + wide]
+            for a in np.unique(s[s < side]).tolist():
+                mine = np.flatnonzero(s == a)
+                p_a, p_b = q[mine][:, None], table[t[mine]]
+                wrong = np.abs(p_a - p_b) - np.abs(p_a - z_b) - np.abs(p_b - zero[a]) + np.abs(zero[a] - z_b)
+                sums[a, :wide] += np.where(there[t[mine]], wrong, 0).sum(0)
         x, y = np.nonzero(np.triu(sums, 1) if one == two else sums)
-        return pd.DataFrame({"lang": lang, "a": x + one * TILE, "b": y + two * TILE, "value": sums[x, y]})
+        return pd.DataFrame({"lang": lang, "a": x + one * side, "b": y + two * side, "value": sums[x, y]})
 
     spark = postings.sparkSession
     sizes = groups.groupBy("lang").agg(F.sum("terms").alias("_rows"), F.max("no").alias("_last")).withColumnRenamed("lang", "_lang")
@@ -115,20 +115,20 @@ def _overlaps(postings: DataFrame, groups: DataFrame) -> DataFrame:
     fine = 4 * C.partitions(spark)
     rows = postings.join(sizes, postings["lang"] == sizes["_lang"])
     blocks = F.greatest(F.ceil(F.col("_rows") * fine / F.lit(max(1, total))), F.ceil(F.col("_rows") / BLOCK))
-    own = F.floor(F.col("no") / TILE).cast("int")
-    tiles = F.sequence(F.lit(0), F.floor(F.col("_last") / TILE).cast("int"))
+    own = F.floor(F.col("no") / side).cast("int")
+    tiles = F.sequence(F.lit(0), F.floor(F.col("_last") / side).cast("int"))
     rows = rows.select("lang", "term", "no", "p", "z", F.pmod(F.xxhash64("term"), blocks).alias("block"), own.alias("own"), F.explode(tiles).alias("tile"))
     rows = rows.select("lang", "term", "no", "p", "z", "block", F.least("own", "tile").alias("one"), F.greatest("own", "tile").alias("two"))
     return rows.groupBy("lang", "block", "one", "two").applyInPandas(meet, "lang string, a long, b long, value long")
 
 
-def _one_sided(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _one_sided(postings: DataFrame, groups: DataFrame, side: int) -> DataFrame:
     """(lang, a, b, value), a < b: each source's terms as if the other had none, and the terms that neither has, in parts."""
     counts = postings.groupBy("lang", "no", "p").agg(F.count(F.lit(1)).alias("n"))
     bars = counts.groupBy("lang", "no").agg(F.sort_array(F.collect_list(F.struct("p", "n"))).alias("bars"))
     # distinct counts of a source are as many as the root of twice its words at most
     left = groups.join(bars, ["lang", "no"], "left").select("lang", "no", "z", "terms", "kept", "last", "bars.p", "bars.n")
-    tile, tiles = F.floor(F.col("no") / TILE).cast("int"), F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / TILE).cast("int")))
+    tile, tiles = F.floor(F.col("no") / side).cast("int"), F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / side).cast("int")))
     left = left.select("*", tile.alias("one"), tiles.alias("two"))
     right = groups.select(F.col("lang").alias("to_lang"), F.col("no").alias("to"), F.col("z").alias("to_z"), F.col("terms").alias("to_terms"), tile.alias("to_two"), tiles.alias("to_one"))
 
@@ -151,13 +151,13 @@ def _one_sided(postings: DataFrame, groups: DataFrame) -> DataFrame:
     return left.groupBy("lang", "one", "two").cogroup(right.groupBy("to_lang", "to_one", "to_two")).applyInPandas(price, "lang string, a long, b long, value long")
 
 
-def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, tile: int = TILE, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Rows (lang, source, part, item, value, rank).
 
     A language keeps the terms that ``min_docs`` of its documents have. A share is 1 + floor(UNIT * (n + 5) / (N + 5V)) of a
     term's n among all N occurrences of the V kept terms. Part ``pair``: each other source of the language, with the sum over kept
     terms of the differences of shares (0 without kept terms). Part ``term``: the ``top`` terms of a source that stand out most
-    from the language's own shares. Ranks are by value, then by item.
+    from the language's own shares. Ranks are by value, then by item. ``tile`` bounds the sources that meet in a task.
 
     Null text, lang and source are ''. Rows are documents, repeated ones too. A group without terms takes part in pairs; a
     language with one source has none. An empty table gives an empty result. Other columns are ignored.
@@ -182,7 +182,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "t
     terms = rows.where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
-    pairs = _overlaps(rows, groups).unionByName(_one_sided(rows, groups)).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    pairs = _overlaps(rows, groups, tile).unionByName(_one_sided(rows, groups, tile)).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ways = pairs.select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("to")), F.struct(F.col("b").alias("no"), F.col("a").alias("to")))).alias("way"))
     ways = ways.select("lang", F.col("way.no").alias("no"), F.col("way.to").alias("to"), "value")
     names = groups.select("lang", "no", "source")

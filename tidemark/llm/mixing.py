@@ -12,6 +12,9 @@ others' excess lifts a source is found by aggregates over the table of sources.
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +133,15 @@ def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
         raise ValueError("ids must be present and differ")
     found, pieces = mix(docs, weights, budget, passes, id_col, text_col, source_col)
     named = pieces.join(found.select("row", "doc_id", "source", "size"), "row")
-    begin = F.regexp_extract("text", F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), (F.col("length") - 1).cast("string"), F.lit("}[^\\x20\\x09-\\x0D]+")), 0)
+
+    @F.pandas_udf("string")
+    def begin(texts, lengths):
+        def cut(t, n):
+            return t if t is None else t[: next(islice(re.finditer(r"[^\x20\x09-\x0D]+", t), n - 1, None)).end()]
+
+        return texts.__class__([cut(t, int(n)) for t, n in zip(texts, lengths, strict=True)], dtype=object)
+
+    C.tune(docs.sparkSession)
     met = named.join(rows.hint("shuffle_hash"), "doc_id")
-    return met.select("start", "finish", "pass", "doc_id", "source", F.when(F.col("length") < F.col("size"), begin).otherwise(F.col("text")).alias("text"))
+    partly = F.col("length") < F.col("size")
+    return met.select("start", "finish", "pass", "doc_id", "source", F.coalesce(begin(F.when(partly, F.col("text")), "length"), "text").alias("text"))
