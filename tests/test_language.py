@@ -44,7 +44,7 @@ PANDAS = {
     "cov(close, volume, 12)": lambda g: g.close.rolling(12).cov(g.volume),
     "skew(close, 20)": lambda g: g.close.rolling(20).skew(),
     "kurt(close, 20)": lambda g: g.close.rolling(20).kurt(),
-    "tsr(close, 9)": lambda g: g.close.rolling(9).rank(pct=True),
+    "ts_pct_rank(close, 9)": lambda g: g.close.rolling(9).rank(pct=True),
     "ts_rank(close, 9)": lambda g: g.close.rolling(9).apply(lambda x: (x <= x[-1]).mean(), raw=True),
     "ts_argmax(close, 7)": lambda g: g.close.rolling(7).apply(np.argmax, raw=True),
     "lowday(close, 7)": lambda g: 6 - g.close.rolling(7).apply(np.argmin, raw=True),

@@ -236,11 +236,14 @@ def _ts_rank(d, x, n):
     return full(n, x, f"({d.filter_size(d.collect(x, frame(n)), f'v <= {x}')} / CAST({n} AS DOUBLE))")
 
 
-@register("ts_pct_rank tsr", "ts", 1, (20,))
+@register("ts_pct_rank", "ts", 1, (20,))
 def _ts_pct_rank(d, x, n):
     """Rank of the last value in its window as a share, ties averaged."""
     n = N(n)
     a = d.collect(x, frame(n))
+    if d.name == "spark":  # one array, read once
+        below = f"aggregate({a}, CAST(0 AS DOUBLE), (a, v) -> a + CASE WHEN v < {x} THEN 1.0D WHEN v = {x} THEN 0.5D ELSE 0.0D END)"
+        return full(n, x, f"(({below} + 0.5D) / CAST({n} AS DOUBLE))")
     return full(n, x, f"(({d.filter_size(a, f'v < {x}')} + ({d.filter_size(a, f'v = {x}')} + 1) / CAST(2 AS DOUBLE)) / CAST({n} AS DOUBLE))")
 
 
@@ -314,11 +317,67 @@ def _decayed(end: str, alpha: float) -> str:
 
 @register("rank cs_rank cs_percentile", "ts", 1)
 def _so_far_rank(d, x):
-    """Rank among the rows up to now as a share, ties averaged: nothing is seen ahead."""
+    """Rank among the rows up to now as a share, ties averaged: nothing is seen ahead. Spark counts it by ``COUNTED``."""
     a = d.collect(x, SO_FAR)
     return f"(CASE WHEN {x} IS NOT NULL THEN ({d.filter_size(a, f'v < {x}')} + ({d.filter_size(a, f'v = {x}')} + 1) / CAST(2 AS DOUBLE)) / CAST(count({x}) OVER {SO_FAR} AS DOUBLE) END)"
 
 
+# Order statistics by counting along a tree over the ranks of values: a node's rows, by date, are a window, and how many of
+# them went to each smaller child so far is a running count. A row visits one node a level, so n rows take n log n steps.
+BITS, LEVELS = 4, 6  # children of a node: 16; a security may have 16**6 different values
+
+
+@register("value_no", "ts", 1)
+def _value_no(d, x):
+    """Number of a value among the different ones of its security, from 0."""
+    no = f"dense_rank() OVER (PARTITION BY {KEY} ORDER BY {x} NULLS LAST) - 1"
+    return f"(CASE WHEN {x} IS NOT NULL THEN CASE WHEN {no} >= {1 << BITS * LEVELS} THEN CAST(raise_error('a security has over {1 << BITS * LEVELS} different values') AS INT) ELSE {no} END END)"
+
+
+def _child(no: str, level: int) -> tuple[str, str]:
+    """A value's node at a level, and its child there."""
+    return f"shiftright({no}, {BITS * (level + 1)})", f"(shiftright({no}, {BITS * level}) & {(1 << BITS) - 1})"
+
+
+@register("fewer_at", "ts", 1, (0, 0))
+def _fewer_at(d, no, level, back):
+    """Rows of the same node so far (until ``back`` rows ago) that went to a smaller child than this row."""
+    node, child = _child(no, N(level))
+    end = f"{N(back)} PRECEDING" if back else "CURRENT ROW"
+    w = f"(PARTITION BY {KEY}, {node} ORDER BY bar_no RANGE BETWEEN UNBOUNDED PRECEDING AND {end})"
+    return "(" + " + ".join(f"CASE WHEN {child} > {k} THEN count(CASE WHEN {child} = {k} THEN 1 END) OVER {w} ELSE 0 END" for k in range((1 << BITS) - 1)) + ")"
+
+
+@register("equal_so_far", "ts", 1, (0,))
+def _equal_so_far(d, no, back):
+    end = f"{N(back)} PRECEDING" if back else "CURRENT ROW"
+    return f"(count({no}) OVER (PARTITION BY {KEY}, {no} ORDER BY bar_no RANGE BETWEEN UNBOUNDED PRECEDING AND {end}))"
+
+
+register("known_so_far", "ts", 1)(lambda d, x: f"(CASE WHEN {x} IS NOT NULL THEN count({x}) OVER {SO_FAR} END)")
+register("known_in", "ts", 1, (20,))(lambda d, x, n: full(N(n), x, f"CAST({N(n)} AS DOUBLE)"))
+
+
+def _fewer(back: int = 0) -> str:
+    return "(" + " + ".join(f"fewer_at(value_no(s), {k}, {back})" for k in range(LEVELS)) + ")"
+
+
+#: Rows beyond which a window's ranks are counted along the tree and not in the window.
+LONG = 60
+
+
+def _window_count(n: int, equal: float, more: float) -> str:
+    return f"({_fewer()} - {_fewer(n)} + {equal!r} * (equal_so_far(value_no(s)) - equal_so_far(value_no(s), {n})) + {more!r}) / known_in(s, {n})"
+
+
+#: What Spark counts instead: name, and from which window on.
+COUNTED: dict[str, tuple[tuple[str, ...], tuple, str | Callable[..., str]]] = {
+    **dict.fromkeys(("rank", "cs_rank", "cs_percentile"), (("s",), (), f"({_fewer()} + (equal_so_far(value_no(s)) + 1) / 2) / known_so_far(s)")),
+    "ts_rank": (("s",), (20,), lambda n: _window_count(N(n), 1.0, 0.0)),
+    "ts_pct_rank": (("s",), (20,), lambda n: _window_count(N(n), 0.5, 0.5)),
+}
+
+
 register("cs_zscore", "ts", 1)(lambda d, x: f"coalesce(CASE WHEN count({x}) OVER {SO_FAR} >= 2 THEN {div(f'{x} - avg({x}) OVER {SO_FAR}', f'stddev_samp({x}) OVER {SO_FAR}')} END, CAST(0 AS DOUBLE))")
 register("cs_demean indneutralize IndNeutralize", "ts", 1)(lambda d, x: f"({x} - avg({x}) OVER {SO_FAR})")
 register("scale", "ts", 1)(lambda d, x: div(x, f"sum(abs({x})) OVER {SO_FAR}"))
@@ -336,7 +395,7 @@ def _winsorize(d, x, lo, hi):
 
 
 # --- across a date's securities -------------------------------------------
-@register("xs_rank r", "xs", 1)
+@register("xs_rank", "xs", 1)
 def _xs_rank(d, x):
     """Rank within the date as a share, ties averaged; values that differ by less than
     1e-11 of their size are ties."""

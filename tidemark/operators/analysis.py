@@ -142,33 +142,28 @@ def warm_up_start(c: Column, days: int = 540) -> Column:
     return F.date_sub(c.cast("date"), days)
 
 
+# The signs of code page 1252 beyond Latin-1, and the code points of their bytes.
+_CP1252 = "\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+# Points for each match of a pattern.
+_POINTS = {"[\u4e00-\u9fff]": 3, "[\u00c0-\u00ff\u0192\u2018-\u203a\u20ac]": -2, "\ufffd": -4, "\\?": -1}
+
+
 def repair_text(c: Column) -> Column:
     """Texts whose UTF-8 was read as Latin-1 or CP1252 read anew, where that makes them better: three points for each
     CJK character, two off for each sign of the mistake, four for a replacement character, one for a question mark."""
 
-    @F.pandas_udf("string")
-    def mend(texts):
-        import re
-
-        cjk, odd = re.compile("[一-鿿]"), re.compile("[À-ÿƒ‘-›€]")
-
-        def points(t: str) -> int:
-            return 3 * len(cjk.findall(t)) - 2 * len(odd.findall(t)) - 4 * t.count("�") - t.count("?")
-
-        def one(t):
-            best = t
-            for name in ("latin1", "cp1252") if t else ():
-                try:
-                    again = t.encode(name).decode("utf-8")
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    continue
-                if points(again) > points(best):
-                    best = again
-            return best
+    def again(single: Column) -> Column:
+        """A text of one-byte characters as the UTF-8 that its bytes are; null where they are none."""
+        safe = F.when(single.rlike("^[\\x00-\\xFF]*$"), single)
+        return F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
 
-        return texts.map(one)
+    def worth(t: Column) -> Column:
+        return sum((F.regexp_count(t, F.lit(p)) * k for p, k in _POINTS.items()), F.lit(0))
 
-    return mend(c)
+    readings = [c, again(c), again(F.translate(F.when(~c.rlike("[\\x80-\\x9F]"), c), _CP1252, _BYTES))]
+    ranked = F.array(*[F.struct(worth(t).alias("points"), F.lit(-k).alias("earlier"), t.alias("t")) for k, t in enumerate(readings)])
+    return F.array_max(F.filter(ranked, lambda x: x["t"].isNotNull()))["t"]
 
 
 def broker_transactions(spark: SparkSession, path: str) -> DataFrame:

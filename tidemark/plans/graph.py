@@ -10,32 +10,88 @@ from __future__ import annotations
 from .ast import ExpressionError, Node, parse
 
 # Node type, expression function, input ports, parameters with defaults.
-_SERIES = (("series",), (("window", 20.0),))
 NODES: dict[str, tuple[str, tuple[str, ...], tuple[tuple[str, float], ...]]] = {
-    **{f"math_{n}": (op, ("a", "b"), ()) for n, op in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/"), ("max", "max"), ("min", "min"))},
-    **{f"math_{n}": (op, ("in",), ()) for n, op in (("abs", "abs"), ("log", "log"), ("sqrt", "sqrt"), ("neg", "neg"), ("sign", "sign"), ("floor", "floor"), ("ceil", "ceil"))},
+    "math_add": ("+", ("a", "b"), ()),
+    "math_sub": ("-", ("a", "b"), ()),
+    "math_mul": ("*", ("a", "b"), ()),
+    "math_div": ("/", ("a", "b"), ()),
+    "math_max": ("max", ("a", "b"), ()),
+    "math_min": ("min", ("a", "b"), ()),
+    "math_abs": ("abs", ("in",), ()),
+    "math_log": ("log", ("in",), ()),
+    "math_sqrt": ("sqrt", ("in",), ()),
+    "math_neg": ("neg", ("in",), ()),
+    "math_sign": ("sign", ("in",), ()),
+    "math_floor": ("floor", ("in",), ()),
+    "math_ceil": ("ceil", ("in",), ()),
     "math_power": ("power", ("in",), (("exp", 2.0),)),
     "math_signedpower": ("signedpower", ("in",), (("exp", 2.0),)),
     "math_clip": ("clip", ("in",), (("lower", -3.0), ("upper", 3.0))),
     "math_round": ("round_val", ("in",), (("decimals", 0.0),)),
-    **{f"ts_{n}": (n, *_SERIES) for n in ("mean", "std", "sum")},
-    **{f"ts_{n}": (f"ts_{n}", *_SERIES) for n in ("max", "min", "rank", "decay", "argmax", "argmin", "product")},
-    **{f"ts_{n}": (n, *_SERIES) for n in ("highday", "lowday", "wma", "decaylinear")},
-    **{f"ts_{n}": (n, ("series",), (("periods", 1.0),)) for n in ("delay", "delta", "pctchange")},
-    **{f"ts_{n}": (n, ("a", "b"), (("window", 20.0),)) for n in ("corr", "cov")},
+    "ts_mean": ("mean", ("series",), (("window", 20.0),)),
+    "ts_std": ("std", ("series",), (("window", 20.0),)),
+    "ts_sum": ("sum", ("series",), (("window", 20.0),)),
+    "ts_max": ("ts_max", ("series",), (("window", 20.0),)),
+    "ts_min": ("ts_min", ("series",), (("window", 20.0),)),
+    "ts_rank": ("ts_rank", ("series",), (("window", 20.0),)),
+    "ts_decay": ("ts_decay", ("series",), (("window", 20.0),)),
+    "ts_argmax": ("ts_argmax", ("series",), (("window", 20.0),)),
+    "ts_argmin": ("ts_argmin", ("series",), (("window", 20.0),)),
+    "ts_product": ("ts_product", ("series",), (("window", 20.0),)),
+    "ts_highday": ("highday", ("series",), (("window", 20.0),)),
+    "ts_lowday": ("lowday", ("series",), (("window", 20.0),)),
+    "ts_wma": ("wma", ("series",), (("window", 20.0),)),
+    "ts_decaylinear": ("decaylinear", ("series",), (("window", 20.0),)),
+    "ts_delay": ("delay", ("series",), (("periods", 1.0),)),
+    "ts_delta": ("delta", ("series",), (("periods", 1.0),)),
+    "ts_pctchange": ("pctchange", ("series",), (("periods", 1.0),)),
+    "ts_corr": ("corr", ("a", "b"), (("window", 20.0),)),
+    "ts_cov": ("cov", ("a", "b"), (("window", 20.0),)),
     "ts_ewm": ("ewm", ("series",), (("span", 20.0),)),
     "ts_sma": ("sma", ("series",), (("window", 20.0), ("weight", 1.0))),
-    **{f"stat_{n}": (n, ("x", "y"), (("window", 20.0),)) for n in ("regbeta", "regresi")},
+    "stat_regbeta": ("regbeta", ("x", "y"), (("window", 20.0),)),
+    "stat_regresi": ("regresi", ("x", "y"), (("window", 20.0),)),
     "stat_sumif": ("sumif", ("series", "condition"), (("window", 20.0),)),
-    **{n: (n, ("in",), ()) for n in ("cs_rank", "cs_zscore", "cs_percentile", "cs_demean")},
+    "cs_rank": ("cs_rank", ("in",), ()),
+    "cs_zscore": ("cs_zscore", ("in",), ()),
+    "cs_percentile": ("cs_percentile", ("in",), ()),
+    "cs_demean": ("cs_demean", ("in",), ()),
     "cs_scale": ("scale", ("in",), ()),
     "cs_indneutralize": ("indneutralize", ("in",), ()),
     "cs_advm": ("advm", ("in",), (("window", 20.0),)),
-    **{f"cond_{n}": (op, ("a", "b"), ()) for n, op in (("gt", ">"), ("lt", "<"), ("gte", ">="), ("lte", "<="), ("eq", "=="), ("and", "&"), ("or", "|"))},
+    "cond_gt": (">", ("a", "b"), ()),
+    "cond_lt": ("<", ("a", "b"), ()),
+    "cond_gte": (">=", ("a", "b"), ()),
+    "cond_lte": ("<=", ("a", "b"), ()),
+    "cond_eq": ("==", ("a", "b"), ()),
+    "cond_and": ("&", ("a", "b"), ()),
+    "cond_or": ("|", ("a", "b"), ()),
     "cond_not": ("not", ("in",), ()),
     "cond_ternary": ("where", ("cond", "true_val", "false_val"), ()),
 }
-INPUTS = {f"input_{n}": n for n in ("close", "open", "high", "low", "volume", "returns", "vwap", "amount", "dtm", "dbm", "tr", "hd", "ld", "pe", "pb", "ps", "total_mv", "circ_mv")} | {"input_turnover": "turnover_rate"}
+
+# Input node types and their variables.
+INPUTS = {
+    "input_close": "close",
+    "input_open": "open",
+    "input_high": "high",
+    "input_low": "low",
+    "input_volume": "volume",
+    "input_returns": "returns",
+    "input_vwap": "vwap",
+    "input_amount": "amount",
+    "input_dtm": "dtm",
+    "input_dbm": "dbm",
+    "input_tr": "tr",
+    "input_hd": "hd",
+    "input_ld": "ld",
+    "input_pe": "pe",
+    "input_pb": "pb",
+    "input_ps": "ps",
+    "input_total_mv": "total_mv",
+    "input_circ_mv": "circ_mv",
+    "input_turnover": "turnover_rate",
+}
 
 
 def _inputs(graph: dict) -> tuple[dict, dict]:
