@@ -130,11 +130,6 @@ QUERIES: dict[str, str] = {
     "parity_diff": """WITH a AS (SELECT ts_code, trade_date, volume FROM panel WHERE CAST(volume AS BIGINT) % 7 <> 0), b AS (SELECT ts_code, trade_date, volume FROM panel WHERE CAST(volume AS BIGINT) % 5 <> 0)
       SELECT CAST(coalesce(a.trade_date, b.trade_date) AS STRING) AS trade_date, sum(CASE WHEN b.ts_code IS NULL THEN 1 ELSE 0 END) AS only_left, sum(CASE WHEN a.ts_code IS NULL THEN 1 ELSE 0 END) AS only_right
       FROM a FULL OUTER JOIN b ON a.ts_code = b.ts_code AND a.trade_date = b.trade_date GROUP BY 1""",
-    "fifo_pnl": f"""WITH t AS (SELECT ts_code, trade_date, CAST(volume AS BIGINT) AS q, close, row_number() OVER ({_W}) AS i FROM panel),
-      buys AS (SELECT ts_code, i, q, close, sum(q) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM t WHERE i % 3 <> 0),
-      sells AS (SELECT ts_code, i, q, close, sum(q) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM t WHERE i % 3 = 0)
-      SELECT s.ts_code, CAST(sum(least(s.hi, b.hi) - greatest(s.hi - s.q, b.hi - b.q)) AS BIGINT) AS matched, sum((least(s.hi, b.hi) - greatest(s.hi - s.q, b.hi - b.q)) * (s.close - b.close)) AS pnl
-      FROM sells s JOIN buys b ON b.ts_code = s.ts_code AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi GROUP BY s.ts_code""".replace("trade_date ROWS", "i ROWS"),
     # risk, metrics, attribution, portfolio
     "metrics": f"""WITH {MARKET}, {CURVE}, {DRAWN}, s AS (SELECT count(1) AS n, sum(ln(1 + r)) AS lg, avg(r) AS mu, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < 0.03D / 52 THEN r - 0.03D / 52 END) AS down, min((v - peak) / peak) AS dd, avg(CASE WHEN r > 0 THEN 1.0D ELSE 0.0D END) AS win FROM drawn)
       SELECT n, {_s('lg')} AS log_total, {_s('lg * 52 / n')} AS log_annual, {_s('sd * sqrt(52.0D)')} AS vol, {_s('(mu - 0.03D / 52) / sd * sqrt(52.0D)')} AS sharpe, {_s('(mu - 0.03D / 52) / down * sqrt(52.0D)')} AS sortino, {_s('dd')} AS max_drawdown, {_s('win')} AS win_rate FROM s""",
@@ -158,7 +153,7 @@ QUERIES: dict[str, str] = {
       SELECT industry, {_s('avg((wp - wb) * (rb - total))')} AS allocation, {_s('avg(wb * (rp - rb))')} AS selection, {_s('avg((wp - wb) * (rp - rb))')} AS interaction FROM t GROUP BY industry""",
     "corr_matrix": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel)
       SELECT a.ts_code AS x, b.ts_code AS y, count(1) AS days, {_s(_corr('a.r', 'b.r'))} AS c FROM r a JOIN r b ON a.trade_date = b.trade_date AND a.ts_code < b.ts_code WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING count(1) >= 20""",
-    "portfolio_sim": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel), v AS (SELECT ts_code, 1 / var_samp(r) AS iv FROM r GROUP BY ts_code), w AS (SELECT ts_code, iv / sum(iv) OVER () AS w FROM v),
+    "portfolio_sim": f"""WITH r AS (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel), v AS (SELECT ts_code, 1 / var_samp(r) AS iv FROM r GROUP BY ts_code), w AS (SELECT ts_code, iv / total AS w FROM v CROSS JOIN (SELECT sum(iv) AS total FROM v) AS t),
       d AS (SELECT r.trade_date, sum(w.w * r.r) AS r FROM r JOIN w ON w.ts_code = r.ts_code WHERE r.r IS NOT NULL GROUP BY r.trade_date)
       SELECT {DAY}, {_s('r')} AS r, {_s('sum(ln(1 + r)) OVER (ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS log_value FROM d""",
     # data quality
@@ -175,9 +170,6 @@ QUERIES: dict[str, str] = {
     # top-k, screening, set operations
     "top_bottom_pct": f"WITH {SIGNAL}, {RANKED} SELECT {DAY}, ts_code, CASE WHEN rn <= greatest(1, floor(n * 0.1D)) THEN 'bottom' ELSE 'top' END AS side FROM ranked WHERE rn <= greatest(1, floor(n * 0.1D)) OR rn > n - greatest(1, floor(n * 0.1D))",
     "top_holdings": f"SELECT {DAY}, ts_code, CAST(k AS INT) AS k FROM (SELECT trade_date, ts_code, row_number() OVER (PARTITION BY trade_date ORDER BY amount DESC, ts_code) AS k FROM panel) AS x WHERE k <= 10",
-    "screener_topn": f"""WITH last_ AS (SELECT ts_code, max_by(pe, trade_date) AS pe, max_by(pb, trade_date) AS pb, max_by(close, trade_date) / min_by(close, trade_date) - 1 AS mom FROM panel GROUP BY ts_code),
-      s AS (SELECT ts_code, 100 - ((rank() OVER (ORDER BY pe)) + (count(1) OVER (PARTITION BY pe) - 1) / 2.0D) / count(1) OVER () * 100 AS a, 100 - ((rank() OVER (ORDER BY pb)) + (count(1) OVER (PARTITION BY pb) - 1) / 2.0D) / count(1) OVER () * 100 AS b, ((rank() OVER (ORDER BY mom)) + (count(1) OVER (PARTITION BY mom) - 1) / 2.0D) / count(1) OVER () * 100 AS c FROM last_)
-      SELECT ts_code, {_s('0.6D * (a + b) / 2 + 0.4D * c')} AS score, CAST(row_number() OVER (ORDER BY round(0.6D * (a + b) / 2 + 0.4D * c, 9) DESC, ts_code) AS INT) AS k FROM s ORDER BY k LIMIT 20""",
     "last_rows": f"SELECT ts_code, {DAY}, close FROM (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY trade_date DESC) AS k FROM panel) AS x WHERE k <= 5",
     "curve_downsample": f"WITH {MARKET}, {CURVE}, n AS (SELECT trade_date, v, row_number() OVER (ORDER BY trade_date) AS i, count(1) OVER () AS n FROM curve) SELECT {DAY}, {_s('v')} AS v FROM n WHERE (i - 1) % CAST(ceil(n / 260.0D) AS BIGINT) = 0 OR i = n",
     "universe_filter": "SELECT ts_code, count(1) AS days FROM panel WHERE ts_code NOT LIKE '00001%' AND industry IN ('N1', 'N2', 'N3', 'N4', 'N5') GROUP BY ts_code",
@@ -232,8 +224,7 @@ QUERIES: dict[str, str] = {
     "monthly_excess": f"""WITH {MARKET}, b AS (SELECT substr(CAST(trade_date AS STRING), 1, 7) AS month, exp(sum(ln(1 + r))) - 1 AS bench FROM market GROUP BY 1),
       x AS (SELECT p.ts_code, substr(CAST(p.trade_date AS STRING), 1, 7) AS month, max_by(p.close, p.trade_date) / min_by(p.close, p.trade_date) - 1 AS ret FROM panel p GROUP BY 1, 2)
       SELECT x.ts_code, x.month, {_s('x.ret')} AS ret, {_s('b.bench')} AS bench, {_s('x.ret - b.bench')} AS excess FROM x LEFT JOIN b ON b.month = x.month""",
-    "annual_returns": """SELECT ts_code, max(CASE WHEN y = 1995 THEN ret END) AS y1995, max(CASE WHEN y = 1996 THEN ret END) AS y1996, max(CASE WHEN y = 1997 THEN ret END) AS y1997, max(CASE WHEN y = 1998 THEN ret END) AS y1998, max(CASE WHEN y = 1999 THEN ret END) AS y1999, max(CASE WHEN y = 2000 THEN ret END) AS y2000, max(CASE WHEN y = 2001 THEN ret END) AS y2001
-      FROM (SELECT ts_code, CAST(substr(CAST(trade_date AS STRING), 1, 4) AS INT) AS y, round(max_by(close, trade_date) / min_by(close, trade_date) - 1, 6) AS ret FROM panel GROUP BY 1, 2) AS x GROUP BY ts_code""",
+    "annual_returns": "SELECT ts_code, CAST(substr(CAST(trade_date AS STRING), 1, 4) AS INT) AS y, round(max_by(close, trade_date) / min_by(close, trade_date) - 1, 6) AS ret FROM panel GROUP BY 1, 2",
     "rolling_market_corr": f"""WITH {MARKET}, x AS (SELECT p.ts_code, p.trade_date, p.r, m.r AS b FROM (SELECT ts_code, trade_date, close / lag(close, 1) OVER ({_W}) - 1 AS r FROM panel) AS p JOIN market m ON m.trade_date = p.trade_date WHERE p.r IS NOT NULL),
       w AS (SELECT *, count(1) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS n, covar_pop(r, b) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS c, stddev_pop(r) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS sr, stddev_pop(b) OVER ({_W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS sb FROM x)
       SELECT ts_code, {DAY}, {_s('CASE WHEN sr * sb > 1e-12 THEN c / (sr * sb) ELSE 0.0D END')} AS corr FROM w WHERE n = 60""",
