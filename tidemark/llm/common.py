@@ -132,17 +132,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_limit(total: int, most: int = 1000, least: int = 500) -> int:
-    """A key with more rows than this is hot. At most ``most`` keys can be, as
-    each has over total / most rows: what is broadcast for them is bounded."""
-    return max(least, total // most)
+#: Hot keys at most, or as many as the session has shuffle partitions.
+HOT_KEYS = 1000
+
+
+def hot_limit(total: int, least: int = 500) -> int:
+    """A key with more rows than this is hot: more than a task's fair share of ``total``, or a thousandth of it. No more
+    than ``HOT_KEYS`` keys, or than there are partitions, can be: what is broadcast for them is bounded."""
+    spark = SparkSession.getActiveSession()
+    return max(least, total // max(HOT_KEYS, partitions(spark) if spark else 0))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], rows: str, total: int, salt: list[str]) -> DataFrame:
     """left LEFT JOIN right on keys, where right is unique on keys and its
     column ``rows`` has how many left rows carry the key.
 
-    Hot keys (``hot_limit``: at most 1000 of them) are broadcast; the rest is a
+    Hot keys (``hot_limit``) are broadcast, of which there are few as long as ``total`` is the number of left rows; the rest is a
     shuffled join in which a hot row travels under a hash of its ``salt``
     columns, so no task gets a hot key's rows.
     """

@@ -21,8 +21,8 @@ from . import common as C
 
 #: Words: runs of 0-9, a-z (A-Z lowered) and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Windows in one broadcast set (about 100 bytes each).
-MAX_WINDOWS = 1_000_000
+#: Windows in one broadcast set (several hundred bytes each, on the driver and in each Python worker).
+MAX_WINDOWS = 500_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,16 +86,22 @@ class Windows:
 
 
 def blocks(benchmark: DataFrame, size: int, most: int = MAX_WINDOWS, item_col: str = "item_id", text_col: str = "text") -> Iterator[Windows]:
-    """The benchmark's windows in blocks of at most ``most`` (one item at least)."""
+    """The benchmark's windows in blocks of at most ``most``. Items are (number, name), rows of one id being one item; one of more
+    windows goes on in the next block, from the words that no window before has begun with."""
     held: list[tuple[object, list[bytes]]] = []
+    numbers: dict[object, int] = {}
     n = 0
     for item, text in benchmark.select(F.col(item_col), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
         ws = words(text.encode())
-        if held and n + len(ws) > most:
-            yield Windows(held, size)
-            held, n = [], 0
-        held.append((item, ws))
-        n += len(ws)
+        name = (numbers.setdefault(item, len(numbers)), "" if item is None else str(item))
+        k = min(size, len(ws))
+        for begin in range(0, len(ws) - k + 1 if ws else 0, most):
+            part = ws[begin : begin + most + k - 1]
+            if held and n + len(part) - k + 1 > most:
+                yield Windows(held, size)
+                held, n = [], 0
+            held.append((name, part))
+            n += len(part) - k + 1
     yield Windows(held, size)
 
 
@@ -106,12 +112,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
 
     A window is ``size`` consecutive words of an item; an item of fewer words, but
     not none, is one window. Null and wordless texts have no words and are clean;
-    repeated rows are judged one by one; an empty benchmark leaves all clean; a null item id
-    counts as the item "". Other columns are ignored.
+    repeated rows are judged one by one; an empty benchmark leaves all clean; rows that repeat an item id are one item;
+    a null item id is an item of its own, called "". Other columns are ignored. The number of blocks changes nothing.
     """
     src = C.id_text(docs, id_col, text_col)
     spark = docs.sparkSession
-    schema = C.struct(C.id_field(src), ("key", "binary"), ("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<array<int>>"))
+    schema = C.struct(C.id_field(src), ("key", "binary"), ("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<struct<no:int,item:string>>"), ("spans", "array<array<int>>"))
     arrow = C.arrow_schema(schema)
     parts = []
     for table in blocks(benchmark, size, most):
@@ -128,14 +134,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int
                     edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
                     n.append(len(ws))
                     hits.append(int(hit.sum()))
-                    items.append(sorted("" if x is None else str(x) for x in found))
+                    items.append([{"no": k, "item": x} for k, x in sorted(found)])
                     spans.append(edges.reshape(-1, 2).tolist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, arrow.field("items").type), pa.array(spans, pa.list_(pa.list_(pa.int32())))], schema=arrow)
 
         parts.append(C.map_batches(src, run, schema))
     out = parts[0]
     if len(parts) > 1:
         out = _merge(parts, schema)
+    out = out.withColumn("items", F.sort_array(F.transform("items", lambda x: x["item"])))
     items = F.array_join("items", ",")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans", "key")
 
@@ -150,7 +157,7 @@ def _merge(parts: list[DataFrame], schema) -> DataFrame:
     def join(pdf):
         import pandas as pd
 
-        items = sorted({x for row in pdf["items"] for x in row})
+        items = [{"no": k, "item": x} for k, x in sorted({(int(x["no"]), x["item"]) for row in pdf["items"] for x in row})]
         hit = np.zeros(int(pdf["n_words"].iloc[0]), bool)
         for row in pdf["spans"]:
             for a, b in row:

@@ -5,7 +5,7 @@ range-partitioned and sorted by document and position within each range; a
 window streams over each hash, finds the first occurrence (the largest document)
 and marks the others. What comes back per document is a bitmap of dropped
 positions in 64-bit words, no text. Lines so common that one range would be
-overfull are settled by a broadcast of at most 1000 hashes instead.
+overfull are settled by a broadcast of a bounded number of hashes instead.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
 
     counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"))
     limit = C.hot_limit(lines.count())
-    hot = C.staged(counts.where(F.col("rows") > limit).select("h1", "h2"), "hot_lines")  # at most 1000, see hot_limit
+    hot = C.staged(counts.where(F.col("rows") > limit).select("h1", "h2"), "hot_lines")  # few, see hot_limit
 
     # common lines: documents are counted after a map-side distinct, and the verdict is broadcast
     common = lines.join(F.broadcast(hot), ["h1", "h2"])

@@ -265,7 +265,8 @@ def _cluster_links(member: DataFrame, id_type: T.DataType, spread: int, num: int
     part = components(links.join(names.hint("shuffle_hash"), links["a"] == names["id"], "left_semi"), names).where("id = comp").select("id")
     lead = large.join(part, "id").select("id", "comp", "n", "grams")
     many = lead.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    lead = C.keyed_join(lead, C.staged(many, "leaders"), ["comp"], ["blocks"], "rows", 1, ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = C.staged(many, "leaders")
+    lead = C.keyed_join(lead, many, ["comp"], ["blocks"], "rows", many.agg(F.sum("rows")).first()[0] or 0, ["id"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     lead = lead.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     lead = lead.select(F.xxhash64("comp", lo, hi).alias("task"), (lo != hi).alias("across"), F.col("own").alias("side"), "id", "n", "grams")
@@ -279,7 +280,7 @@ def _cluster_links(member: DataFrame, id_type: T.DataType, spread: int, num: int
     main = C.staged(main.withColumn("stray_blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")), "divided")
     if main.isEmpty():
         return links
-    state = C.keyed_join(state, main, ["comp"], ["main", "stray_blocks"], "all", 1, ["id"]).where("main is not null")
+    state = C.keyed_join(state, main, ["comp"], ["main", "stray_blocks"], "all", large.count(), ["id"]).where("main is not null")
     state = state.join(large.select("id", "n", "grams"), "id")
     stray = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("stray_blocks")).cast("int")
     one = state.where("part <> main").withColumn("i", stray).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.lit(0))
@@ -352,7 +353,7 @@ def similar_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     head = F.expr(f"transform(slice(own, 1, int(greatest(1, size(own) - ceil(n * {num} / {den}) + 1))), x -> x.g)")
     posts = C.staged(ordered.select("id", F.explode(head).alias("g")), "postings")
     pivots = C.staged(posts.groupBy("g").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "pivots")
-    stars = C.keyed_join(posts, pivots, ["g"], ["b"], "rows", max(1, total), ["id"]).where("b < id").select(F.col("id").alias("a"), "b")
+    stars = C.keyed_join(posts, pivots, ["g"], ["b"], "rows", posts.count(), ["id"]).where("b < id").select(F.col("id").alias("a"), "b")
     clusters = components(stars, core.select("id"))
 
     sized = clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
