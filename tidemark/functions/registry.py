@@ -324,14 +324,15 @@ def _so_far_rank(d, x):
 
 # Order statistics by counting along a tree over the ranks of values: a node's rows, by date, are a window, and how many of
 # them went to each smaller child so far is a running count. A row visits one node a level, so n rows take n log n steps.
-BITS, LEVELS = 4, 6  # children of a node: 16; a security may have 16**6 different values
+BITS, LEVELS = 4, 4  # children of a node: 16; levels unless the caller says how long histories are
 
 
-@register("value_no", "ts", 1)
-def _value_no(d, x):
+@register("value_no", "ts", 1, (LEVELS,))
+def _value_no(d, x, levels):
     """Number of a value among the different ones of its security, from 0."""
+    most = 1 << BITS * N(levels)
     no = f"dense_rank() OVER (PARTITION BY {KEY} ORDER BY {x} NULLS LAST) - 1"
-    return f"(CASE WHEN {x} IS NOT NULL THEN CASE WHEN {no} >= {1 << BITS * LEVELS} THEN CAST(raise_error('a security has over {1 << BITS * LEVELS} different values') AS INT) ELSE {no} END END)"
+    return f"(CASE WHEN {x} IS NOT NULL THEN CASE WHEN {no} >= {most} THEN CAST(raise_error('a security has over {most} different values: give a longer history') AS INT) ELSE {no} END END)"
 
 
 def _child(no: str, level: int) -> tuple[str, str]:
@@ -358,24 +359,31 @@ register("known_so_far", "ts", 1)(lambda d, x: f"(CASE WHEN {x} IS NOT NULL THEN
 register("known_in", "ts", 1, (20,))(lambda d, x, n: full(N(n), x, f"CAST({N(n)} AS DOUBLE)"))
 
 
-def _fewer(back: int = 0) -> str:
-    return "(" + " + ".join(f"fewer_at(value_no(s), {k}, {back})" for k in range(LEVELS)) + ")"
-
-
 #: Rows beyond which a window's ranks are counted along the tree and not in the window.
 LONG = 60
 
 
-def _window_count(n: int, equal: float, more: float) -> str:
-    return f"({_fewer()} - {_fewer(n)} + {equal!r} * (equal_so_far(value_no(s)) - equal_so_far(value_no(s), {n})) + {more!r}) / known_in(s, {n})"
+def counted(levels: int) -> dict[str, tuple[tuple[str, ...], tuple, Callable[..., str]]]:
+    """How Spark counts ranks with a tree of so many levels, in the form of ``MACROS``."""
+    no = f"value_no(s, {levels})"
 
+    def fewer(back: int = 0) -> str:
+        return "(" + " + ".join(f"fewer_at({no}, {k}, {back})" for k in range(levels)) + ")"
 
-#: What Spark counts instead: name, and from which window on.
-COUNTED: dict[str, tuple[tuple[str, ...], tuple, str | Callable[..., str]]] = {
-    **dict.fromkeys(("rank", "cs_rank", "cs_percentile"), (("s",), (), f"({_fewer()} + (equal_so_far(value_no(s)) + 1) / 2) / known_so_far(s)")),
-    "ts_rank": (("s",), (20,), lambda n: _window_count(N(n), 1.0, 0.0)),
-    "ts_pct_rank": (("s",), (20,), lambda n: _window_count(N(n), 0.5, 0.5)),
-}
+    def window(n: int, equal: float, more: float) -> str:
+        return f"({fewer()} - {fewer(n)} + {equal!r} * (equal_so_far({no}) - equal_so_far({no}, {n})) + {more!r}) / known_in(s, {n})"
+
+    so_far = (("s",), (), lambda: f"({fewer()} + (equal_so_far({no}) + 1) / 2) / known_so_far(s)")
+    return {
+        "rank": so_far, "cs_rank": so_far, "cs_percentile": so_far,
+        "ts_rank": (("s",), (20,), lambda n: window(N(n), 1.0, 0.0)),
+        "ts_pct_rank": (("s",), (20,), lambda n: window(N(n), 0.5, 0.5)),
+    }
+
+
+def levels_for(history: int) -> int:
+    """Levels that tell so many values apart."""
+    return max(1, -(-max(1, history - 1).bit_length() // BITS))
 
 
 register("cs_zscore", "ts", 1)(lambda d, x: f"coalesce(CASE WHEN count({x}) OVER {SO_FAR} >= 2 THEN {div(f'{x} - avg({x}) OVER {SO_FAR}', f'stddev_samp({x}) OVER {SO_FAR}')} END, CAST(0 AS DOUBLE))")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.compile import evaluate, to_sql
-from ..sources.panel import COLUMNS, PANEL_SQL, market_panel
+from ..sources.panel import COLUMNS, HISTORY, PANEL_SQL, market_panel
 from .dsl_queries import KEEP
 
 # Category of each factor and the expression that defines it.
@@ -78,7 +78,7 @@ def factors(panel: DataFrame, names: list[str], bits: int | None = None) -> Data
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"builtin_{c}": (lambda spark, sf_dir, c=c: evaluate(market_panel(spark, sf_dir), _of(c), KEEP, 20)) for c in categories()}
+    return {f"builtin_{c}": (lambda spark, sf_dir, c=c: evaluate(market_panel(spark, sf_dir), _of(c), KEEP, 20, HISTORY)) for c in categories()}
 
 
 def oracle_sql() -> dict[str, str]:

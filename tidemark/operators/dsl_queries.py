@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.compile import evaluate, to_sql
-from ..sources.panel import COLUMNS, PANEL_SQL, market_panel
+from ..sources.panel import COLUMNS, HISTORY, PANEL_SQL, market_panel
 
 #: Query name: columns and their expressions.
 EXPRESSIONS: dict[str, dict[str, str]] = {
@@ -78,7 +78,7 @@ KEEP = ("ts_code", "CAST(trade_date AS STRING) AS trade_date")
 
 
 def query(expressions: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: evaluate(market_panel(spark, sf_dir), expressions, KEEP, bits=20)
+    return lambda spark, sf_dir: evaluate(market_panel(spark, sf_dir), expressions, KEEP, bits=20, history=HISTORY)
 
 
 def sql(expressions: dict[str, str]) -> str:

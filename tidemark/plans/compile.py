@@ -16,16 +16,16 @@ from ..functions import registry as R
 from .ast import ExpressionError, Node, parse, walk
 
 
-def _macro(node: Node, counted: bool):
-    """How the node is written with other functions, if it is; ``counted``: ranks of long windows as well."""
-    if counted and node.op in R.COUNTED:
-        names, defaults, _ = R.COUNTED[node.op]
+def _macro(node: Node, levels: int):
+    """How the node is written with other functions, if it is; with ``levels``, ranks of long windows as well."""
+    if levels and node.op in ("rank", "cs_rank", "cs_percentile", "ts_rank", "ts_pct_rank"):
+        names, defaults, _ = macro = R.counted(levels)[node.op]
         window = [*map(_number, node.args[len(names) :]), *defaults]
-        return R.COUNTED[node.op] if not defaults or window[0] > R.LONG else None
+        return macro if not window or window[0] > R.LONG else None
     return R.MACROS.get(node.op)
 
 
-def expand(node: Node, columns: frozenset[str], counted: bool = False) -> Node:
+def expand(node: Node, columns: frozenset[str], levels: int = 0) -> Node:
     """Macros and derived variables written out; names checked."""
     if node.op == "num":
         return node
@@ -34,24 +34,24 @@ def expand(node: Node, columns: frozenset[str], counted: bool = False) -> Node:
         if name in columns:
             return node
         if name in R.VARIABLES:
-            return expand(parse(R.VARIABLES[name]), columns, counted)
+            return expand(parse(R.VARIABLES[name]), columns, levels)
         if name in R.FUNDAMENTALS:
             return Node("num", value=0.0)
         raise ExpressionError(f"unknown variable {name!r}")
-    if macro := _macro(node, counted):
+    if macro := _macro(node, levels):
         names, defaults, text = macro
         given = node.args[len(names) :]
         params = [*map(_number, given), *defaults[len(given) :]]
         if len(node.args) < len(names) or len(given) > len(defaults):
             raise ExpressionError(f"{node.op} takes {len(names)} columns and {len(defaults)} numbers")
         body = parse(text(*params) if callable(text) else text.format(*params))
-        return expand(_put(body, dict(zip(names, node.args, strict=False))), columns, counted)
+        return expand(_put(body, dict(zip(names, node.args, strict=False))), columns, levels)
     if node.op not in R.FUNCTIONS:
         raise ExpressionError(f"unknown function {node.op!r}")
     f = R.FUNCTIONS[node.op]
     if not f.columns <= len(node.args) <= f.columns + len(f.params):
         raise ExpressionError(f"{node.op} takes {f.columns} columns and up to {len(f.params)} numbers")
-    cols = tuple(expand(a, columns, counted) for a in node.args[: f.columns])
+    cols = tuple(expand(a, columns, levels) for a in node.args[: f.columns])
     nums = tuple(Node("num", value=v) for v in [*map(_number, node.args[f.columns :]), *f.params[len(node.args) - f.columns :]])
     return Node(node.op, cols + nums)
 
@@ -91,8 +91,8 @@ class Plan:
         return sum(a != b for a, b in zip(["", *axes], axes, strict=False))
 
 
-def schedule(expressions: dict[str, str | Node], columns: frozenset[str], counted: bool = False) -> Plan:
-    trees = {k: expand(parse(e) if isinstance(e, str) else e, columns, counted) for k, e in expressions.items()}
+def schedule(expressions: dict[str, str | Node], columns: frozenset[str], levels: int = 0) -> Plan:
+    trees = {k: expand(parse(e) if isinstance(e, str) else e, columns, levels) for k, e in expressions.items()}
     nodes: dict[Node, str] = {}
     for t in trees.values():
         for n in walk(t):
@@ -160,10 +160,11 @@ def _final(plan: Plan, keep: tuple[str, ...], d: R.Dialect, bits: int | None) ->
 BASE = ("bar_no",)
 
 
-def evaluate(panel: DataFrame, expressions: dict[str, str | Node], keep: tuple[str, ...] = (R.KEY, R.TIME), bits: int | None = None) -> DataFrame:
-    """panel with one column per expression. ``bits`` rounds results to so many
+def evaluate(panel: DataFrame, expressions: dict[str, str | Node], keep: tuple[str, ...] = (R.KEY, R.TIME), bits: int | None = None, history: int = 1 << 16) -> DataFrame:
+    """panel with one column per expression. ``history`` is the most rows of a security (ranks of longer ones fail, and
+    are counted the faster the shorter it is). ``bits`` rounds results to so many
     significant bits (less than 1e-9 is 0), which makes them equal across engines."""
-    plan = schedule(expressions, frozenset(panel.columns), counted=True)
+    plan = schedule(expressions, frozenset(panel.columns), R.levels_for(history))
     df = panel.selectExpr("*", f"row_number() OVER {R.ROWS} AS bar_no") if _needs_bar_no(plan) else panel
     for layer in plan.layers:
         df = df.selectExpr("*", *[f"{_sql(n, plan.names, R.SPARK)} AS {name}" for name, n in layer.columns])

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of a security in ``market_panel``: its bars are weekly.
+HISTORY = 4096
+
 #: Names under which bars may come.
 ALIASES = {"vol": "volume", "code": "ts_code", "symbol": "ts_code", "date": "trade_date"}
 
