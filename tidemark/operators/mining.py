@@ -23,6 +23,8 @@ from ..functions.registry import FUNCTIONS, MACROS
 from ..plans.ast import Node, parse, walk
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
+from ..sources.work import staged
+from .choice import leaders
 from . import simulate
 
 # --- identity of candidates -----------------------------------------------
@@ -183,16 +185,23 @@ def judged(metrics: DataFrame) -> DataFrame:
     return metrics.selectExpr("*", *[f"{e} AS {n}" for n, e in SCORES.items()], f"filter(array({gates}), x -> x IS NOT NULL) AS reasons")
 
 
+def leader_clusters(curves: DataFrame, scores: DataFrame, least: float = 0.85, days: int = 20) -> DataFrame:
+    """(factor, leader): in order of score (ties by name), a factor joins the first leader whose curve correlates by ``least`` with its
+    own, either way, over ``days`` common dates. curves: (factor, trade_date, value); scores: (factor, score), a row per factor."""
+    nodes = scores.select(F.col("factor").alias("id"), F.struct((-F.col("score")).alias("less"), F.col("factor")).alias("place"))
+    c = curves.join(nodes.select(F.col("id").alias("factor"), "place"), "factor")
+    a = c.select("trade_date", F.col("factor").alias("earlier"), F.col("place").alias("p"), F.col("value").alias("u"))
+    b = c.select("trade_date", F.col("factor").alias("later"), F.col("place").alias("q"), F.col("value").alias("v"))
+    corr = F.abs(F.try_divide(F.covar_pop("u", "v"), F.stddev_pop("u") * F.stddev_pop("v")))
+    met = a.join(b, "trade_date").where("p < q").groupBy("earlier", "later").agg(F.count(F.lit(1)).alias("n"), corr.alias("corr"))
+    edges = staged(met.where((F.col("n") >= days) & (F.col("corr") >= least)).select("earlier", "later"), "alike_curves")
+    return leaders(nodes, edges).select(F.col("id").alias("factor"), "leader")
+
+
 def clusters(curves: DataFrame, scores: list[tuple[str, float]], least: float = 0.85, days: int = 20) -> dict[str, str]:
-    """Leader clustering: in order of score, a factor joins the first leader whose curve
-    correlates by ``least`` with its own over ``days`` common dates. curves: (factor, trade_date, value)."""
-    a, b = curves.select("trade_date", F.col("factor").alias("x"), F.col("value").alias("u")), curves.select("trade_date", F.col("factor").alias("y"), F.col("value").alias("v"))
-    c = a.join(b, "trade_date").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.abs(F.try_divide(F.covar_pop("u", "v"), F.stddev_pop("u") * F.stddev_pop("v"))).alias("c"))
-    near = {frozenset((r["x"], r["y"])) for r in c.where((F.col("n") >= days) & (F.col("c") >= least)).collect()}  # pairs of candidates
-    out: dict[str, str] = {}
-    for name, _ in sorted(scores, key=lambda s: (-s[1], s[0])):
-        out[name] = next((k for k in out if out[k] == k and frozenset((k, name)) in near), name)
-    return out
+    """``leader_clusters`` of the few candidates that the driver holds."""
+    table = curves.sparkSession.createDataFrame([(n, float(x)) for n, x in scores], "factor string, score double")
+    return {r["factor"]: r["leader"] for r in leader_clusters(curves, table, least, days).collect()}
 
 
 # --- genetic loop ---------------------------------------------------------

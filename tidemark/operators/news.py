@@ -6,9 +6,12 @@ import difflib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import staged
+from .choice import kept_in_order
+
 
 def sentiment(text: Column, weights: dict[str, float], negations: list[str], window: int = 3) -> Column:
     """struct(score, label, hits): the sum of the weights of words that occur; a word
@@ -27,20 +30,61 @@ def sentiment(text: Column, weights: dict[str, float], negations: list[str], win
     return F.struct(F.round(score, 3).alias("score"), label.alias("label"), F.transform(F.slice(found, 1, 10), lambda h: h["word"]).alias("hits"))
 
 
-def fuzzy_titles(news: DataFrame, block: str, order: str, title: str = "title", most: float = 0.75) -> DataFrame:
-    """News without titles too similar (Ratcliff-Obershelp ratio above ``most``) to one kept
-    earlier in the same block; the walk needs an order, blocks bound its groups."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        pdf = pdf.sort_values(order)
-        titles = pdf[title].tolist()
-        for i, t in enumerate(titles):
-            if all(difflib.SequenceMatcher(None, t, titles[k]).ratio() <= most for k in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
-
-    return news.groupBy(block).applyInPandas(run, news.schema)
+def _length_of_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit per sign of ``a``: matching blocks hold no more."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = 0
+    for c in b:
+        x = row | at.get(c, 0)
+        row = x & (x ^ (x - (row << 1 | 1)))
+    return row.bit_count()
+
+
+def alike_titles(titles: DataFrame, most: float = 0.75) -> DataFrame:
+    """(earlier, later): pairs of ``titles`` (id, place, block, title; titles of a block differ) with a Ratcliff-Obershelp ratio
+    above ``most``, the later one by place being compared with the earlier one.
+
+    A ratio is twice the matching signs over both lengths, and no more signs can match than both have. So a title is the set of its
+    signs (the second e is another than the first), and pairs above ``most`` share one of each other's rarest: as many as they may
+    lack, and one more. Pairs that have enough signs in common, and enough in the same order, are compared in full.
+    """
+    order = F.row_number().over(Window.partitionBy("id", "sign").orderBy("at"))
+    signs = titles.select("id", "block", F.length("title").alias("n"), F.posexplode(F.split("title", "")).alias("at", "sign"))
+    signs = signs.where("sign <> ''").withColumn("sign", F.concat("sign", order.cast("string")))
+    often = signs.groupBy(F.col("block").alias("_block"), F.col("sign").alias("_sign")).agg(F.count(F.lit(1)).alias("df"))
+    own = signs.join(often, F.col("block").eqNullSafe(F.col("_block")) & (F.col("sign") == F.col("_sign"))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sign"))).alias("own"))
+    least = F.ceil(F.col("n") * (most / (2 - most)) - 1e-9)
+    heads = titles.withColumn("n", F.length("title")).join(own, "id").select("id", "place", "block", "n", F.explode(F.transform(F.slice("own", F.lit(1), (F.col("n") - least + 1).cast("int")), lambda x: x["sign"])).alias("sign"))
+    a = heads.select(F.col("id").alias("earlier"), F.col("place").alias("p"), F.col("block").alias("u"), F.col("n").alias("n_a"), F.col("sign").alias("s"))
+    b = heads.select(F.col("id").alias("later"), F.col("place").alias("q"), F.col("block").alias("v"), F.col("n").alias("n_b"), F.col("sign").alias("t"))
+    sized = (F.least("n_a", "n_b") * 2 > most * (F.col("n_a") + F.col("n_b"))) & (F.col("p") < F.col("q"))
+    pairs = a.join(b, (F.col("s") == F.col("t")) & F.col("u").eqNullSafe(F.col("v")) & sized).select("earlier", "later").distinct()
+    named = pairs.join(titles.select(F.col("id").alias("earlier"), F.col("title").alias("x")), "earlier").join(titles.select(F.col("id").alias("later"), F.col("title").alias("y")), "later")
+
+    @F.pandas_udf("boolean")
+    def above(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        def test(t: str, k: str) -> bool:
+            need, m = most * (len(t) + len(k)) / 2, difflib.SequenceMatcher(None, t, k)
+            return m.quick_ratio() > most and _length_of_common(t, k) > need and m.ratio() > most
+
+        return pd.Series([test(t, k) for t, k in zip(later, earlier, strict=True)], dtype=bool)
+
+    # pairs are few beside the titles' texts: they are dealt evenly again before they are compared
+    return named.repartition("earlier", "later").where(above("y", "x")).select("earlier", "later")
+
+
+def fuzzy_titles(news: DataFrame, block: str | None, order: str, title: str = "title", most: float = 0.75) -> DataFrame:
+    """News without titles too similar (Ratcliff-Obershelp ratio above ``most``) to one kept earlier in the same
+    block (without ``block``: anywhere), in ``order``; equal places go by title. Null titles are empty. Of equal titles the first
+    alone is compared: whatever becomes of it, the others are like it or like what drops it."""
+    rows = staged(news.withColumn("_id", F.monotonically_increasing_id()).withColumn("_title", F.coalesce(title, F.lit(""))), "news")
+    place = F.struct(F.col(order), F.col("_title"), F.col("_id"))
+    titles = rows.groupBy((F.col(block) if block else F.lit(0)).alias("block"), "_title").agg(F.min(place).alias("place"))
+    titles = staged(titles.select(F.col("place._id").alias("id"), "place", "block", F.col("_title").alias("title")), "titles")
+    kept = kept_in_order(titles.select("id"), alike_titles(titles, most))
+    return rows.join(kept, rows["_id"] == kept["id"], "left_semi").select(*news.columns)
 
 
 #: A small lexicon for the test texts.
@@ -64,8 +108,14 @@ def _sentiment_sql() -> str:
     return f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, greatest(-1::DOUBLE, least(1::DOUBLE, {' + '.join(parts)})) AS x, {' + '.join(hits)} AS n FROM d) SELECT doc_id, round(x, 3) AS score, CASE WHEN x >= 0.2::DOUBLE THEN 'positive' WHEN x <= -0.2::DOUBLE THEN 'negative' ELSE 'neutral' END AS label, CAST(n AS INT) AS n_hits FROM s"
 
 
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title is not too like that of a page kept before."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1).alias("title"))
+    return fuzzy_titles(pages, None, "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"sentiment_scores": sentiment_scores}
+    return {"sentiment_scores": sentiment_scores, "page_titles": page_titles}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -169,10 +169,9 @@ def curve_homogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Industries by the leader of their cluster; the score is the number of the industry, negated."""
-    curves = _industry_curves(spark, sf_dir).withColumnRenamed("name", "factor")
-    names = sorted(r["factor"] for r in curves.select("factor").distinct().collect())  # industries are few
-    leader = mining.clusters(curves, [(n, -float(n[1:])) for n in names], 0.05)
-    return spark.createDataFrame(sorted(leader.items()), "factor string, leader string")
+    curves = _industry_curves(spark, sf_dir)
+    names = curves.select("name").distinct().select("name", F.substring("name", 2, 9).cast("int").alias("place"))
+    return mining.leader_clusters(curves.withColumnRenamed("name", "factor"), names.select(F.col("name").alias("factor"), (-F.col("place")).cast("double").alias("score")), 0.05)
 
 
 def elite_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
