@@ -1,17 +1,22 @@
 """The market panel: one row per security and trading date.
 
-``market_panel`` derives a deterministic panel from order lines (security: supplier,
+``weekly_bars`` derives a deterministic panel from order lines (security: supplier,
 date: ship week, price: cents per unit), so that every operator can be checked on
-the test tables; ``normalize`` brings any bars to the same columns. ``PANEL_SQL`` is the same
+the test tables; ``market_panel`` keeps it as a table, built once; ``normalize`` brings any bars to the same columns. ``PANEL_SQL`` is the same
 panel for an ANSI engine. Prices and amounts are whole cents: sums are exact in any
 order.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import FIRST, LAST, PanelStore, fingerprint
+from .work import work_dir
+
 #: Most rows of a security in ``market_panel``: its bars are weekly.
 HISTORY = 4096
 
@@ -19,8 +24,30 @@ HISTORY = 4096
 ALIASES = {"vol": "volume", "code": "ts_code", "symbol": "ts_code", "date": "trade_date"}
 
 
-def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+_STORES: dict[tuple[str, str], PanelStore] = {}
+
+
+def market_panel(spark: SparkSession, sf_dir: str, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """The bars of ``weekly_bars`` from first to last, or all, from a table bucketed by security; days that it does not cover yet are
+    built. The table is the input files': others, or changed ones, have another. Without a shared folder bars are built anew."""
+    try:
+        folder = work_dir(spark)
+    except ValueError:
+        return weekly_bars(spark, sf_dir, first, last)
+    key = fingerprint(spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/supplier.parquet"])
+    app = spark.sparkContext.applicationId
+    if (app, key) not in _STORES:
+        _STORES[app, key] = PanelStore(spark, f"{folder}/panel-{app}-{key}", lambda a, b: weekly_bars(spark, sf_dir, a, b))
+    return _STORES[app, key].read(first, last)
+
+
+def weekly_bars(spark: SparkSession, sf_dir: str, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """Bars of the weeks that begin from first to last: only their order lines are read."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    if first and first > FIRST:
+        li = li.where(F.col("l_shipdate") >= F.lit(first))
+    if last and last < LAST - dt.timedelta(7):
+        li = li.where(F.col("l_shipdate") < F.lit(last + dt.timedelta(7)))
     price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("double")
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     bars = li.groupBy("l_suppkey", F.date_trunc("week", "l_shipdate").cast("date").alias("trade_date")).agg(
@@ -30,6 +57,10 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     # securities are a dimension that follows the scale: the join is left to the planner
     b = bars.join(sup, bars["l_suppkey"] == sup["s_suppkey"])
     key = F.col("s_suppkey")
+    if last and last < LAST:
+        b = b.where(F.col("trade_date") <= F.lit(last))
+    if first and first > FIRST:
+        b = b.where(F.col("trade_date") >= F.lit(first))
     return b.select(
         F.concat(F.lpad(key.cast("string"), 6, "0"), F.lit(".SZ")).alias("ts_code"), "trade_date", "open", "high", "low", "close", "volume", "amount",
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("industry"), (F.abs("s_acctbal") + 1000).alias("total_mv"), ((F.abs("s_acctbal") + 1000) * 0.8).alias("circ_mv"),
