@@ -359,8 +359,10 @@ register("known_so_far", "ts", 1)(lambda d, x: f"(CASE WHEN {x} IS NOT NULL THEN
 register("known_in", "ts", 1, (20,))(lambda d, x, n: full(N(n), x, f"CAST({N(n)} AS DOUBLE)"))
 
 
-#: Rows beyond which a window's ranks are counted along the tree and not in the window.
+#: Rows beyond which ranks are counted along the tree and moments made by doubling, not in the window.
 LONG = 60
+#: Functions that ``counted`` writes.
+RANKS = frozenset(("rank", "cs_rank", "cs_percentile", "ts_rank", "ts_pct_rank"))
 
 
 def counted(levels: int) -> dict[str, tuple[tuple[str, ...], tuple, Callable[..., str]]]:
@@ -386,6 +388,117 @@ def levels_for(history: int) -> int:
     return max(1, -(-max(1, history - 1).bit_length() // BITS))
 
 
+# Moments of long windows by doubling: what two neighbouring blocks of k rows hold makes a block of 2k rows, so a window takes as
+# many steps as its length has bits, each a lag. Means and squares of blocks are merged so that a constant block has none.
+def _lag(x: str, k: float) -> str:
+    return f"lag({x}, {N(k)}) OVER {ROWS}"
+
+
+def _f(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+register("pair_sum", "ts", 1, (1,))(lambda d, x, k: f"({x} + {_lag(x, k)})")
+register("pair_max", "ts", 1, (1,))(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN greatest({x}, {_lag(x, k)}) END)")
+register("pair_min", "ts", 1, (1,))(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN least({x}, {_lag(x, k)}) END)")
+register("pair_mean", "ts", 1, (1,))(lambda d, m, k: f"(({m} + {_lag(m, k)}) / 2)")
+register("pair_moment", "ts", 3, (1,))(lambda d, q, m, w, k: f"({q} + {_lag(q, k)} + ({_lag(m, k)} - {m}) * ({_lag(w, k)} - {w}) * {_f(k / 2)})")
+register("join_sum", "ts", 2, (1,))(lambda d, x, y, a: f"({x} + {_lag(y, a)})")
+register("join_mean", "ts", 2, (1, 1))(lambda d, x, y, a, b: f"({x} + ({_lag(y, a)} - {x}) * {_f(b / (a + b))})")
+register("join_moment", "ts", 6, (1, 1))(lambda d, q, m, w, p, n, v, a, b: f"({q} + {_lag(p, a)} + ({_lag(n, a)} - {m}) * ({_lag(v, a)} - {w}) * {_f(a * b / (a + b))})")
+register("beside", "el", 2)(lambda d, x, y: f"(CASE WHEN {y} IS NOT NULL THEN {x} END)")
+register("as_std", "el", 1, (20,))(lambda d, q, n: f"sqrt({q} / {_f(n - 1)})")
+
+
+def _as_moment(fn: str):
+    def build(d, c, p, q, x, y, n):
+        """The same as ``_moment`` makes of it."""
+        sx, sy = f"sqrt({p} / {_f(n)})", f"sqrt({q} / {_f(n)})"
+        moving = f"{sx} > 1e-9 * (1e-9 + abs({x})) AND {sy} > 1e-9 * (1e-9 + abs({y}))"
+        if fn == "corr":
+            return f"(CASE WHEN {moving} THEN round(least(greatest({div(f'{c} / {_f(n)}', f'{sx} * {sy}')}, CAST(-1 AS DOUBLE)), CAST(1 AS DOUBLE)), 9) END)"
+        v, cut = f"({c} / {_f(n - 1)})", _f(2**13 + 1)
+        return f"(CASE WHEN {c} IS NULL THEN NULL WHEN {moving} AND abs({v}) > 1e-12 * {sx} * {sy} THEN {v} * {cut} - ({v} * {cut} - {v}) ELSE CAST(0 AS DOUBLE) END)"
+
+    return build
+
+
+register("as_corr", "el", 5, (20,))(_as_moment("corr"))
+register("as_cov", "el", 5, (20,))(_as_moment("cov"))
+
+
+def _blocks(n: int) -> list[int]:
+    """Sizes of the blocks that make up a window, from its last row back."""
+    return [1 << k for k in range(n.bit_length()) if n >> k & 1]
+
+
+def _doubled(op: str, x: str, size: int) -> str:
+    out, k = x, 1
+    while k < size:
+        out, k = f"{op}({out}, {k})", 2 * k
+    return out
+
+
+def _long_sum(x: str, n: int) -> str:
+    first, *rest = _blocks(n)
+    out, held = _doubled("pair_sum", x, first), first
+    for b in rest:
+        out, held = f"join_sum({out}, {_doubled('pair_sum', x, b)}, {held})", held + b
+    return out
+
+
+def _long_best(op: str, x: str, n: int) -> str:
+    """Greatest or least: two blocks that may overlap."""
+    size = 1 << n.bit_length() - 1
+    block = _doubled(f"pair_{op}", x, size)
+    return block if size == n else f"{op}({block}, delay({block}, {n - size}))"
+
+
+def _long_mean(x: str, n: int) -> str:
+    first, *rest = _blocks(n)
+    out, held = _doubled("pair_mean", x, first), first
+    for b in rest:
+        out, held = f"join_mean({out}, {_doubled('pair_mean', x, b)}, {held}, {b})", held + b
+    return out
+
+
+def _long_moment(x: str, y: str, n: int) -> str:
+    """Sum of products of what x and y differ from their means."""
+
+    def block(size: int) -> str:
+        out, k = f"({x} * 0)", 1
+        while k < size:
+            out, k = f"pair_moment({out}, {_doubled('pair_mean', x, k)}, {_doubled('pair_mean', y, k)}, {k})", 2 * k
+        return out
+
+    first, *rest = _blocks(n)
+    out, held = block(first), first
+    for b in rest:
+        means = f"{_long_mean(x, held)}, {_long_mean(y, held)}", f"{_doubled('pair_mean', x, b)}, {_doubled('pair_mean', y, b)}"
+        out, held = f"join_moment({out}, {means[0]}, {block(b)}, {means[1]}, {held}, {b})", held + b
+    return out
+
+
+def _long_pair(end: str, n: int) -> str:
+    x, y = "beside(s, t)", "beside(t, s)"
+    return f"{end}({_long_moment(x, y, n)}, {_long_moment(x, x, n)}, {_long_moment(y, y, n)}, {_long_mean(x, n)}, {_long_mean(y, n)}, {n})"
+
+
+_S, _ST = ("s",), ("s", "t")
+#: How Spark computes windows of over ``LONG`` rows, in the form of ``MACROS``.
+LONG_WINDOWS: dict[str, tuple[tuple[str, ...], tuple, Callable[..., str]]] = {
+    "sum": (_S, (20,), lambda n: _long_sum("s", N(n))),
+    "mean": (_S, (20,), lambda n: f"{_long_sum('s', N(n))} / {N(n)}"),
+    "advm": (_S, (20,), lambda n: f"{_long_sum('s', N(n))} / {N(n)}"),
+    "std": (_S, (20,), lambda n: f"as_std({_long_moment('s', 's', N(n))}, {N(n)})"),
+    "ts_max": (_S, (20,), lambda n: _long_best("max", "s", N(n))),
+    "ts_min": (_S, (20,), lambda n: _long_best("min", "s", N(n))),
+    "corr": (_ST, (20,), lambda n: _long_pair("as_corr", N(n))),
+    "ts_corr_signed": (_ST, (20,), lambda n: _long_pair("as_corr", N(n))),
+    "cov": (_ST, (20,), lambda n: _long_pair("as_cov", N(n))),
+}
+
+
 register("cs_zscore", "ts", 1)(lambda d, x: f"coalesce(CASE WHEN count({x}) OVER {SO_FAR} >= 2 THEN {div(f'{x} - avg({x}) OVER {SO_FAR}', f'stddev_samp({x}) OVER {SO_FAR}')} END, CAST(0 AS DOUBLE))")
 register("cs_demean indneutralize IndNeutralize", "ts", 1)(lambda d, x: f"({x} - avg({x}) OVER {SO_FAR})")
 register("scale", "ts", 1)(lambda d, x: div(x, f"sum(abs({x})) OVER {SO_FAR}"))

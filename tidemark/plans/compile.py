@@ -17,9 +17,9 @@ from .ast import ExpressionError, Node, parse, walk
 
 
 def _macro(node: Node, levels: int):
-    """How the node is written with other functions, if it is; with ``levels``, ranks of long windows as well."""
-    if levels and node.op in ("rank", "cs_rank", "cs_percentile", "ts_rank", "ts_pct_rank"):
-        names, defaults, _ = macro = R.counted(levels)[node.op]
+    """How the node is written with other functions, if it is; with ``levels``, ranks and long windows as well."""
+    if levels and (node.op in R.RANKS or node.op in R.LONG_WINDOWS):
+        names, defaults, _ = macro = R.LONG_WINDOWS.get(node.op) or R.counted(levels)[node.op]
         window = [*map(_number, node.args[len(names) :]), *defaults]
         return macro if not window or window[0] > R.LONG else None
     return R.MACROS.get(node.op)
