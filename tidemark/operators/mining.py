@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import FUNCTIONS, MACROS
 from ..plans.ast import Node, parse, walk
-from ..plans.compile import evaluate
+from ..plans.compile import evaluate, significant
 from ..sources.panel import market_panel
 from ..sources.work import staged
 from .choice import leaders
-from . import simulate
+from . import handmade, simulate
 
 # --- identity of candidates -----------------------------------------------
 
@@ -262,8 +262,13 @@ def evolve(panel: DataFrame, population: int = 12, generations: int = 3, top: in
 BATCH = {"momentum": "pctchange(close, 4)", "reversal": "-pctchange(close, 2)", "activity": "volume / mean(volume, 8)", "shape": "skew(close, 13)", "trend": "efficiency_ratio(close, 8)"}
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles with nine decimals and twenty significant bits: equal in all engines."""
+    return df.selectExpr(*[f"{significant(f'round({c}, 9) + 0.0D')} AS {c}" if t == "double" else c for c, t in df.dtypes])
+
+
 def mining_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_metrics(market_panel(spark, sf_dir), BATCH)
+    return rounded(batch_metrics(market_panel(spark, sf_dir), BATCH))
 
 
 def candidates(panel: DataFrame, prices: DataFrame, expressions: dict[str, str], forward: int = 4, windows: int = 3, embargo: int = 5) -> DataFrame:
@@ -298,4 +303,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"mining_batch": handmade.MINING_BATCH}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..plans.compile import evaluate, significant
 from ..sources.panel import PANEL_SQL, market_panel
-from . import mining
+from . import handmade, mining
 
 # The first test that holds names the reason. Columns: valid_dates, coverage, valid_ic, valid_ir, spread; coverage and spread in percent.
 SCREEN = {
@@ -146,7 +146,7 @@ def mining_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = mining.parts_by_date(p).where("part = 'valid'")
     keys = ["factor", "fold", "part"]
     m = mining.coverage(mining._stacked(p, mining.BATCH), parts).join(mining.batch_metrics(p, mining.BATCH), keys, "left")
-    return screened(m.select("factor", "fold", "coverage", F.col("dates").alias("valid_dates"), F.col("ic_mean").alias("valid_ic"), F.col("ic_ir").alias("valid_ir"), (F.col("spread") * 100).alias("spread")))
+    return mining.rounded(screened(m.select("factor", "fold", "coverage", F.col("dates").alias("valid_dates"), F.col("ic_mean").alias("valid_ic"), F.col("ic_ir").alias("valid_ir"), (F.col("spread") * 100).alias("spread"))))
 
 
 def _industry_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,4 +231,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"mining_screen": handmade.MINING_SCREEN}
