@@ -361,6 +361,8 @@ register("known_in", "ts", 1, (20,))(lambda d, x, n: full(N(n), x, f"CAST({N(n)}
 
 #: Rows beyond which ranks are counted along the tree and moments made by doubling, not in the window.
 LONG = 60
+#: One sum or extreme costs a sliding frame little: such windows are doubled from so many times that length on.
+CHEAP, SIMPLE = 7, frozenset(("sum", "mean", "advm", "ts_max", "ts_min"))
 #: Functions that ``counted`` writes.
 RANKS = frozenset(("rank", "cs_rank", "cs_percentile", "ts_rank", "ts_pct_rank"))
 
