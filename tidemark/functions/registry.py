@@ -10,6 +10,7 @@ the ANSI/DuckDB form of a query differ.
 from __future__ import annotations
 
 import math
+from collections import ChainMap
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -80,12 +81,15 @@ class Function:
 
 
 FUNCTIONS: dict[str, Function] = {}
+#: Functions that only ``counted`` and ``LONG_WINDOWS`` write, and both kinds together.
+STEPS: dict[str, Function] = {}
+ALL = ChainMap(FUNCTIONS, STEPS)
 
 
-def register(names: str, axis: str, columns: int, params: tuple = (), **kw):
+def register(names: str, axis: str, columns: int, params: tuple = (), into: dict[str, Function] = FUNCTIONS, **kw):
     def put(build: Callable) -> Callable:
         for n in names.split():
-            FUNCTIONS[n] = Function(n, axis, columns, params, build, **kw)
+            into[n] = Function(n, axis, columns, params, build, **kw)
         return build
 
     return put
@@ -327,7 +331,7 @@ def _so_far_rank(d, x):
 BITS, LEVELS = 4, 4  # children of a node: 16; levels unless the caller says how long histories are
 
 
-@register("value_no", "ts", 1, (LEVELS,))
+@register("value_no", "ts", 1, (LEVELS,), into=STEPS)
 def _value_no(d, x, levels):
     """Number of a value among the different ones of its security, from 0."""
     most = 1 << BITS * N(levels)
@@ -340,7 +344,7 @@ def _child(no: str, level: int) -> tuple[str, str]:
     return f"shiftright({no}, {BITS * (level + 1)})", f"(shiftright({no}, {BITS * level}) & {(1 << BITS) - 1})"
 
 
-@register("fewer_at", "ts", 1, (0, 0))
+@register("fewer_at", "ts", 1, (0, 0), into=STEPS)
 def _fewer_at(d, no, level, back):
     """Rows of the same node so far (until ``back`` rows ago) that went to a smaller child than this row."""
     node, child = _child(no, N(level))
@@ -349,14 +353,14 @@ def _fewer_at(d, no, level, back):
     return "(" + " + ".join(f"CASE WHEN {child} > {k} THEN count(CASE WHEN {child} = {k} THEN 1 END) OVER {w} ELSE 0 END" for k in range((1 << BITS) - 1)) + ")"
 
 
-@register("equal_so_far", "ts", 1, (0,))
+@register("equal_so_far", "ts", 1, (0,), into=STEPS)
 def _equal_so_far(d, no, back):
     end = f"{N(back)} PRECEDING" if back else "CURRENT ROW"
     return f"(count({no}) OVER (PARTITION BY {KEY}, {no} ORDER BY bar_no RANGE BETWEEN UNBOUNDED PRECEDING AND {end}))"
 
 
-register("known_so_far", "ts", 1)(lambda d, x: f"(CASE WHEN {x} IS NOT NULL THEN count({x}) OVER {SO_FAR} END)")
-register("known_in", "ts", 1, (20,))(lambda d, x, n: full(N(n), x, f"CAST({N(n)} AS DOUBLE)"))
+register("known_so_far", "ts", 1, into=STEPS)(lambda d, x: f"(CASE WHEN {x} IS NOT NULL THEN count({x}) OVER {SO_FAR} END)")
+register("known_in", "ts", 1, (20,), into=STEPS)(lambda d, x, n: full(N(n), x, f"CAST({N(n)} AS DOUBLE)"))
 
 
 #: Rows beyond which ranks are counted along the tree and moments made by doubling, not in the window.
@@ -400,16 +404,16 @@ def _f(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-register("pair_sum", "ts", 1, (1,))(lambda d, x, k: f"({x} + {_lag(x, k)})")
-register("pair_max", "ts", 1, (1,))(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN greatest({x}, {_lag(x, k)}) END)")
-register("pair_min", "ts", 1, (1,))(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN least({x}, {_lag(x, k)}) END)")
-register("pair_mean", "ts", 1, (1,))(lambda d, m, k: f"(({m} + {_lag(m, k)}) / 2)")
-register("pair_moment", "ts", 3, (1,))(lambda d, q, m, w, k: f"({q} + {_lag(q, k)} + ({_lag(m, k)} - {m}) * ({_lag(w, k)} - {w}) * {_f(k / 2)})")
-register("join_sum", "ts", 2, (1,))(lambda d, x, y, a: f"({x} + {_lag(y, a)})")
-register("join_mean", "ts", 2, (1, 1))(lambda d, x, y, a, b: f"({x} + ({_lag(y, a)} - {x}) * {_f(b / (a + b))})")
-register("join_moment", "ts", 6, (1, 1))(lambda d, q, m, w, p, n, v, a, b: f"({q} + {_lag(p, a)} + ({_lag(n, a)} - {m}) * ({_lag(v, a)} - {w}) * {_f(a * b / (a + b))})")
-register("beside", "el", 2)(lambda d, x, y: f"(CASE WHEN {y} IS NOT NULL THEN {x} END)")
-register("as_std", "el", 1, (20,))(lambda d, q, n: f"sqrt({q} / {_f(n - 1)})")
+register("pair_sum", "ts", 1, (1,), into=STEPS)(lambda d, x, k: f"({x} + {_lag(x, k)})")
+register("pair_max", "ts", 1, (1,), into=STEPS)(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN greatest({x}, {_lag(x, k)}) END)")
+register("pair_min", "ts", 1, (1,), into=STEPS)(lambda d, x, k: f"(CASE WHEN {_lag(x, k)} IS NOT NULL AND {x} IS NOT NULL THEN least({x}, {_lag(x, k)}) END)")
+register("pair_mean", "ts", 1, (1,), into=STEPS)(lambda d, m, k: f"(({m} + {_lag(m, k)}) / 2)")
+register("pair_moment", "ts", 3, (1,), into=STEPS)(lambda d, q, m, w, k: f"({q} + {_lag(q, k)} + ({_lag(m, k)} - {m}) * ({_lag(w, k)} - {w}) * {_f(k / 2)})")
+register("join_sum", "ts", 2, (1,), into=STEPS)(lambda d, x, y, a: f"({x} + {_lag(y, a)})")
+register("join_mean", "ts", 2, (1, 1), into=STEPS)(lambda d, x, y, a, b: f"({x} + ({_lag(y, a)} - {x}) * {_f(b / (a + b))})")
+register("join_moment", "ts", 6, (1, 1), into=STEPS)(lambda d, q, m, w, p, n, v, a, b: f"({q} + {_lag(p, a)} + ({_lag(n, a)} - {m}) * ({_lag(v, a)} - {w}) * {_f(a * b / (a + b))})")
+register("beside", "el", 2, into=STEPS)(lambda d, x, y: f"(CASE WHEN {y} IS NOT NULL THEN {x} END)")
+register("as_std", "el", 1, (20,), into=STEPS)(lambda d, q, n: f"sqrt({q} / {_f(n - 1)})")
 
 
 def _as_moment(fn: str):
@@ -425,8 +429,8 @@ def _as_moment(fn: str):
     return build
 
 
-register("as_corr", "el", 5, (20,))(_as_moment("corr"))
-register("as_cov", "el", 5, (20,))(_as_moment("cov"))
+register("as_corr", "el", 5, (20,), into=STEPS)(_as_moment("corr"))
+register("as_cov", "el", 5, (20,), into=STEPS)(_as_moment("cov"))
 
 
 def _blocks(n: int) -> list[int]:

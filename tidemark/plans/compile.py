@@ -46,9 +46,9 @@ def expand(node: Node, columns: frozenset[str], levels: int = 0) -> Node:
             raise ExpressionError(f"{node.op} takes {len(names)} columns and {len(defaults)} numbers")
         body = parse(text(*params) if callable(text) else text.format(*params))
         return expand(_put(body, dict(zip(names, node.args, strict=False))), columns, levels)
-    if node.op not in R.FUNCTIONS:
+    if node.op not in R.ALL:
         raise ExpressionError(f"unknown function {node.op!r}")
-    f = R.FUNCTIONS[node.op]
+    f = R.ALL[node.op]
     if not f.columns <= len(node.args) <= f.columns + len(f.params):
         raise ExpressionError(f"{node.op} takes {f.columns} columns and up to {len(f.params)} numbers")
     cols = tuple(expand(a, columns, levels) for a in node.args[: f.columns])
@@ -101,12 +101,12 @@ def schedule(expressions: dict[str, str | Node], columns: frozenset[str], levels
     todo, done, layers, axis = dict(nodes), set(), [], "ts"
 
     def ready(n: Node) -> bool:
-        return all(a.op in ("num", "var") or a in done for a in n.args[: R.FUNCTIONS[n.op].columns])
+        return all(a.op in ("num", "var") or a in done for a in n.args[: R.ALL[n.op].columns])
 
     while todo:
         # whatever needs no shuffle first, then the axis at hand as far as it goes
         for kind in ("el", axis, "xs" if axis == "ts" else "ts"):
-            now = [(name, n) for n, name in todo.items() if R.FUNCTIONS[n.op].axis == kind and ready(n)]
+            now = [(name, n) for n, name in todo.items() if R.ALL[n.op].axis == kind and ready(n)]
             if now:
                 break
         else:
@@ -121,11 +121,11 @@ def schedule(expressions: dict[str, str | Node], columns: frozenset[str], levels
 
 
 def _sql(node: Node, names: dict[Node, str], d: R.Dialect) -> str:
-    f = R.FUNCTIONS[node.op]
+    f = R.ALL[node.op]
     cols = [_ref(a, names) for a in node.args[: f.columns]]
     # a condition used as a number, a number used as a condition
     for i, a in enumerate(node.args[: f.columns]):
-        truth = a.op in R.FUNCTIONS and R.FUNCTIONS[a.op].boolean
+        truth = a.op in R.ALL and R.ALL[a.op].boolean
         wants = node.op in ("&", "|", "not", "num_of", "bars_since", "count_true", "count") or node.op in ("where", "ternary") and i == 0 or node.op == "sumif" and i == 1
         if truth and not wants:
             cols[i] = f"CAST(CASE WHEN {cols[i]} THEN 1 WHEN NOT {cols[i]} THEN 0 END AS DOUBLE)"
@@ -151,7 +151,7 @@ def _final(plan: Plan, keep: tuple[str, ...], d: R.Dialect, bits: int | None) ->
     out = list(keep)
     for name, tree in plan.outputs.items():
         x = _ref(tree, plan.names)
-        if tree.op in R.FUNCTIONS and R.FUNCTIONS[tree.op].boolean:
+        if tree.op in R.ALL and R.ALL[tree.op].boolean:
             x = f"CAST(CASE WHEN {x} THEN 1 WHEN NOT {x} THEN 0 END AS DOUBLE)"
         out.append(f"{significant(f'(CASE WHEN abs({x}) < 1e-9 THEN CAST(0 AS DOUBLE) ELSE {x} END)', bits) if bits else x} AS {name}")
     return out
@@ -188,7 +188,7 @@ def looks_ahead(expression: str | Node) -> bool:
     """Whether a value may depend on later rows: whole-sample functions or negative delays."""
     tree = parse(expression) if isinstance(expression, str) else expression
     for n in walk(tree):
-        f = R.FUNCTIONS.get(n.op)
+        f = R.ALL.get(n.op)
         if f and f.full_sample:
             return True
         if n.op in ("delay", "delta", "pctchange") and len(n.args) > 1 and _number(n.args[1]) < 0:
