@@ -268,7 +268,7 @@ def test_held_out_labels(spark):
     got = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     toxic = [r["predicted"] for r in got if r["toxic"]]
     clean = [r["predicted"] for r in got if not r["toxic"]]
-    assert len(toxic) > 50 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 # --- html -----------------------------------------------------------------
