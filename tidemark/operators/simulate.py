@@ -2,8 +2,9 @@
 
 Ranks, tradability and prices are columns computed in Spark; only what depends on
 cash walks over dates (see ``walk``), one run per factor, direction, segment and parameter
-set. Of the panel a run sees the bars of securities that it may hold: those it has picked
-before. What it reports are events (days, trades, rejections), and everything else
+set. Of the panel a run sees the bars of securities that it may hold: from a date on which its
+worth pays for a lot of them until they are sold for certain, so what a run reads follows its cash and not the
+number of securities. What it reports are events (days, trades, rejections), and everything else
 follows from them in DataFrames.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
+from ..sources.work import staged
 from .walk import walk_dates
 
 
@@ -51,6 +53,8 @@ RUN_SCHEMA = "factor string, direction string, segment string, select_pct double
 EVENTS = f"{RUN_SCHEMA}, trade_date date, kind string, ts_code string, what string, price double, shares long, amount double, commission double, stamp_tax double, transfer_fee double, value double, cash double, positions int"
 #: Fixed value: scored securities without which a date does not rebalance.
 LEAST_SCORED = 5
+#: How many times its cash a run is first thought to be worth at most; one that is worth more is walked again, with four times the most that it came to.
+WORTH = 2.0
 
 
 # --- rules as columns ------------------------------------------------------
@@ -116,11 +120,16 @@ def affordable_lots(cash: float, price: float, rate: float, least: float, other:
     return whole_lots(min(by_rate, by_least) + 1e-9, lot)
 
 
+def weight(s: Settings, targets: int) -> float:
+    """The share of an account's worth that each of so many targets gets."""
+    return min(min(max(s.exposure, 0.0), 1.0) / max(1, targets), max(s.max_position, 0.0))
+
+
 class Account:
     """Cash, shares and the last prices of one run."""
 
     def __init__(self, s: Settings):
-        self.s, self.cash, self.shares = s, s.cash, {}
+        self.s, self.cash, self.shares, self.most = s, s.cash, {}, s.cash  # most: the greatest worth that targets were sized by
         self.opens: dict[str, float] = {}
         self.closes: dict[str, float] = {}
 
@@ -155,15 +164,17 @@ class Account:
             del self.shares[code]
         return ("trade", code, "buy" if side > 0 else "sell", round(p, 4), n, amount, *fees)
 
-    def day(self, bars: dict, targets: list[str] | None) -> list[tuple]:
-        """Events of a date: with ``targets`` (best first) others are sold, then all are brought to equal weight."""
+    def day(self, bars: dict, targets: list[str] | None, of: int | None = None) -> list[tuple]:
+        """Events of a date: with ``targets`` (best first) others are sold, then all are brought to equal weight. ``of``: how many
+        targets there are, where those that are neither held nor paid for by a lot's share are left out."""
         s, events = self.s, []
         self.opens.update({c: b.open for c, b in bars.items() if b.open > 0})
         if targets is not None:
             chosen = set(targets)
             events += [self.trade(c, bars.get(c), -n) for c, n in list(self.shares.items()) if c not in chosen]
             worth = self.worth(True)
-            each = min(worth * min(max(s.exposure, 0.0), 1.0) / max(1, len(targets)), worth * max(s.max_position, 0.0))
+            self.most = max(self.most, worth)
+            each = worth * weight(s, len(targets) if of is None else of)
             for c in targets:
                 goal = whole_lots(int(each / max(round(bars[c].open + s.slippage, 2), 1e-12)), s.lot)
                 if goal != self.shares.get(c, 0):
@@ -187,46 +198,77 @@ def events(panel: DataFrame, scores: DataFrame, directions: tuple[str, ...] = ("
     bars = quotes(panel, s)
     plan = schedule(panel, segments, sets, directions)
     due = plan.where("due").select(*RUN[1:], "trade_date", "signal")
-    scored = scores.where("value IS NOT NULL").select("factor", "ts_code", F.col("trade_date").alias("signal"), "value").join(due, "signal")
-    scored = scored.join(bars.select("ts_code", "trade_date", "no_buy", F.lit(True).alias("quoted")), ["ts_code", "trade_date"], "left")
+    scored = scores.where("value IS NOT NULL").select("factor", "ts_code", F.col("trade_date").alias("signal"), "value").join(F.broadcast(due), "signal")
+    scored = scored.join(bars.select("ts_code", "trade_date", "open", "no_buy", F.lit(True).alias("quoted")), ["ts_code", "trade_date"], "left")
     scored = scored.withColumn("no_buy", F.when(F.col("quoted"), F.col("no_buy")).otherwise("paused_or_missing_price"))
     date = Window.partitionBy(*RUN, "trade_date")
     sign = F.when(F.col("direction") == "bottom", F.col("value")).otherwise(-F.col("value"))
-    scored = scored.withColumn("n", F.count(F.lit(1)).over(date)).where(F.col("n") >= LEAST_SCORED)
+    scored = scored.withColumn("n", F.count(F.lit(1)).over(date)).withColumn("free", F.count(F.when(F.col("no_buy").isNull(), 1)).over(date)).where(F.col("n") >= LEAST_SCORED)
     scored = scored.withColumn("nth", F.row_number().over(date.orderBy(F.col("no_buy").isNotNull(), sign, "ts_code")))
     goal = F.greatest(F.lit(1), F.floor(F.col("n") * F.greatest(F.lit(0.001), F.least(F.col("select_pct"), F.lit(1.0)))))
-    picks = scored.where(F.col("no_buy").isNull() & (F.col("nth") <= goal)).select(*RUN, "trade_date", "ts_code", "nth")
-    # bars from a security's first pick on
-    ever = picks.groupBy(*RUN, "ts_code").agg(F.min("trade_date").alias("first"))
-    last = plan.groupBy(*RUN[1:]).agg(F.max("trade_date").alias("last"))
-    rows = ever.join(F.broadcast(last), RUN[1:]).join(bars, "ts_code").where((F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last"))).drop("first", "last")
-    rows = rows.join(picks, [*RUN, "trade_date", "ts_code"], "left")
+    picked = F.col("no_buy").isNull() & (F.col("nth") <= goal)
+    # what is told of scored rows further on: picks, refusals, and that the date has scores
+    told = scored.where(picked | F.col("no_buy").isNotNull() | (F.col("nth") == 1))
+    told = staged(told.select(*RUN, "trade_date", "ts_code", "nth", "no_buy", "open", picked.alias("picked"), F.least("free", goal).cast("int").alias("targets")), "told")
+    picks = told.where("picked")
     # one row per date for the run itself; as many as the curves have
-    active = scored.select(*RUN, "trade_date").distinct().withColumn("active", F.lit(True))
+    active = told.where("nth = 1").select(*RUN, "trade_date", F.lit(True).alias("active"), "targets")
     clock = scores.select("factor").distinct().crossJoin(F.broadcast(plan.select(*RUN[1:], "trade_date"))).join(active, [*RUN, "trade_date"], "left")
-    clock = clock.withColumn("ts_code", F.lit("")).withColumn("active", F.coalesce("active", F.lit(False)))
-    rows = rows.unionByName(clock, allowMissingColumns=True)
+    clock = staged(clock.withColumn("ts_code", F.lit("")).withColumn("active", F.coalesce("active", F.lit(False))), "clock")
+    last = plan.groupBy(*RUN[1:]).agg(F.max("trade_date").alias("last"))
     options = asdict(s)
 
-    def start(key: tuple):
-        account = Account(Settings(**options))
-        width = EVENTS.count(",") + 1 - len(RUN)
-
-        def step(day, frame: pd.DataFrame) -> list[tuple]:
-            first = frame["active"].iloc[0]  # the run's own row, or a date after a gap in the segment
-            own = frame[frame["ts_code"] != ""]
-            found = {b.ts_code: b for b in own.itertuples(index=False)}
-            targets = own[own["nth"].notna()].sort_values("nth")["ts_code"].tolist() if first is True or first == True else None  # noqa: E712
-            out = account.day(found, targets)
-            if frame["ts_code"].iloc[0] != "":
-                return []
-            return [(day, *e, *[None] * (width - 1 - len(e))) for e in out]
-
-        return step
-
-    walked = walk_dates(rows, RUN, "trade_date", ["ts_code"], start, EVENTS)
-    turned = scored.where("no_buy IS NOT NULL").select(*RUN, "trade_date", F.lit("reject").alias("kind"), "ts_code", F.col("no_buy").alias("what"))
-    return walked.unionByName(turned, allowMissingColumns=True)
+    def walked(worth: float, runs: DataFrame | None) -> DataFrame:
+        """Events of runs that are worth so much at most when they buy; ``over`` where one is worth more."""
+        of = (lambda df: df) if runs is None else (lambda df: df.join(runs, RUN, "left_semi"))
+        rows = _holdable(of(picks), of(active), bars, last, s, worth)
+        rows = rows.unionByName(of(clock), allowMissingColumns=True)
+
+        def start(key: tuple):
+            account = Account(Settings(**options))
+            width = EVENTS.count(",") + 1 - len(RUN)
+
+            def step(day, frame: pd.DataFrame) -> list[tuple]:
+                first = frame["active"].iloc[0]  # the run's own row, or a date after a gap in the segment
+                own = frame[frame["ts_code"] != ""]
+                found = {b.ts_code: b for b in own.itertuples(index=False)}
+                rebalances = first is True or first == True  # noqa: E712
+                targets = own[own["nth"].notna()].sort_values("nth")["ts_code"].tolist() if rebalances else None
+                out = account.day(found, targets, int(frame["targets"].iloc[0]) if rebalances else None)
+                if account.most > worth:
+                    out = [("over", None, None, None, None, account.most)]
+                elif frame["ts_code"].iloc[0] != "":
+                    return []
+                return [(day, *e, *[None] * (width - 1 - len(e))) for e in out]
+
+            return step
+
+        return staged(walk_dates(rows, RUN, "trade_date", ["ts_code"], start, EVENTS), "events")
+
+    worth = WORTH * s.cash
+    out = walked(worth, None)
+    while (most := (over := out.where("kind = 'over'")).agg(F.max("amount")).first()[0]) is not None:
+        worth, runs = 4 * most, staged(over.select(*RUN).distinct(), "over")
+        out = out.join(runs, RUN, "left_anti").select(*out.columns).unionByName(walked(worth, runs))
+    turned = told.where("no_buy IS NOT NULL").select(*RUN, "trade_date", F.lit("reject").alias("kind"), "ts_code", F.col("no_buy").alias("what"))
+    return out.unionByName(turned, allowMissingColumns=True)
+
+
+def _holdable(picks: DataFrame, active: DataFrame, bars: DataFrame, last: DataFrame, s: Settings, worth: float) -> DataFrame:
+    """Bars (with ``nth`` where picked) on the dates on which a run may hold a security: from a pick for which an account of
+    ``worth`` would size a lot or more, to a rebalancing date that surely sells all of it: not picked, not blocked, and with enough volume."""
+    each = F.least(F.lit(min(max(s.exposure, 0.0), 1.0)) / F.greatest("targets", F.lit(1)), F.lit(max(s.max_position, 0.0))) * (worth * (1 + 1e-9))
+    shares = each / F.greatest(F.col("open") + s.slippage - 0.01, F.lit(1e-12))
+    sized = picks.withColumn("shares", shares).withColumn("sized", F.col("shares") >= s.lot)
+    ever = sized.where("sized").groupBy(*RUN, "ts_code").agg(F.min("trade_date").alias("first"), F.max("shares").alias("most"))
+    rows = ever.join(F.broadcast(last), RUN[1:]).join(bars, "ts_code").where((F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last")))
+    rows = rows.join(sized.select(*RUN, "trade_date", "ts_code", "nth", "sized"), [*RUN, "trade_date", "ts_code"], "left").join(F.broadcast(active.select(*RUN, "trade_date", "active")), [*RUN, "trade_date"], "left")
+    sold = F.col("active") & F.col("nth").isNull() & F.col("no_sell").isNull() & (F.col("vol") * 100 * s.volume_limit >= F.col("most"))
+    w = Window.partitionBy(*RUN, "ts_code").orderBy("trade_date")
+    bought = F.max(F.when(F.col("sized"), F.col("trade_date"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    gone = F.max(F.when(sold, F.col("trade_date"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("bought", bought).withColumn("gone", gone).where(F.col("gone").isNull() | (F.col("gone") < F.col("bought")))
+    return rows.drop("first", "last", "most", "sized", "active", "bought", "gone")
 
 
 def daily(events_: DataFrame) -> DataFrame:
