@@ -34,3 +34,14 @@ def test_walk_forward_folds_are_all_that_fit(spark):
                     want.add((k, part, b - a, str(days[k * 50 + a]), str(days[k * 50 + b - 1])))
         text = relational.QUERIES["walk_forward_folds"].replace("FROM panel", "FROM {panel}")
         assert {tuple(r) for r in spark.sql(text, panel=panel).collect()} == want
+
+
+def test_trough_of_equal_depths_is_the_first_day(spark, monkeypatch):
+    import datetime as dt
+
+    closes = [10.0, 8.0, 9.0, 8.0, 8.0, 9.0, 10.0]
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(i), c) for i, c in enumerate(closes)]
+    panel = spark.createDataFrame(rows, "ts_code string, trade_date date, close double").coalesce(1)
+    monkeypatch.setattr(relational, "market_panel", lambda *a: panel)
+    got = relational.run(spark, SF, relational.QUERIES["drawdown_episodes"]).collect()
+    assert [(r["trough_day"], r["recovery_day"]) for r in got] == [("2024-01-02", "2024-01-07")]
