@@ -94,3 +94,19 @@ def test_clusters_by_score(spark):
     for n, _ in sorted(scores, key=lambda s: (-s[1], s[0])):
         want[n] = next((k for k in want if want[k] == k and abs(np.corrcoef(curve[k], curve[n])[0, 1]) >= 0.85), n)
     assert mining.clusters(table, scores) == want
+
+
+@pytest.mark.parametrize("most", [0.75, 0.4])
+def test_titles_in_tiles(spark, monkeypatch, most):
+    """Many small tiles and tables, titles of several words of bits, signs beyond the first plane: the same pairs."""
+    monkeypatch.setattr(news, "SMALL", 9)
+    monkeypatch.setattr(news, "CELLS", 3000)
+    rng = random.Random(8)
+    titles = sorted(set(some_titles(rng, 60) + [t * 9 for t in some_titles(rng, 12)] + ["\U0001f600 oil", "\U0001f600 oil up", "x" * 250, "x" * 249 + "y"]))
+    df = spark.createDataFrame([(i, i, None, t) for i, t in enumerate(titles)], "id bigint, place bigint, block string, title string")
+    pairs = news.alike_titles(df, most)
+    # no pairs are joined to be compared: what is joined is titles with their block's tiles
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "FlatMapGroupsInPandas" in plan
+    want = sorted((i, k) for k, t in enumerate(titles) for i in range(k) if difflib.SequenceMatcher(None, t, titles[i]).ratio() > most)
+    assert sorted(map(tuple, pairs.collect())) == want

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,48 +33,107 @@ def sentiment(text: Column, weights: dict[str, float], negations: list[str], win
 
 
 def _length_of_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit per sign of ``a``: matching blocks hold no more."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    row = 0
-    for c in b:
-        x = row | at.get(c, 0)
-        row = x & (x ^ (x - (row << 1 | 1)))
-    return row.bit_count()
+    """Length of the longest common subsequence: matching blocks hold no more."""
+    return int(_Signs([a]).common(b, np.arange(1))[0])
+
+
+#: Titles of a block are dealt into tiles of about as many, up to so many tiles; beyond, tiles grow to so many titles.
+SMALL, TILES, LARGE = 2_000, 24, 40_000
+#: Numbers in a table of signs.
+CELLS = 1 << 24
+
+
+class _Signs:
+    """Titles as columns: how often each sign occurs in each, and where (a bit per place, 64 to a word)."""
+
+    def __init__(self, titles: list[str]):
+        self.n = np.array([len(t) for t in titles], np.int64)
+        signs, code = np.unique(np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32), return_inverse=True)
+        self.words, self.place = max(1, -(-int(self.n.max()) // 64)), {chr(c): k for k, c in enumerate(signs.tolist())}
+        self.cells = len(signs) * self.words * len(titles)
+        if len(titles) > 1 and self.cells > CELLS:
+            return  # to be cut
+        row = np.repeat(np.arange(len(titles)), self.n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.count = np.zeros((len(signs), len(titles)), np.int16 if self.n.max() < 1 << 15 else np.int64)
+        np.add.at(self.count, (code, row), 1)
+        self.bits = np.zeros((len(signs), self.words, len(titles)), np.uint64)
+        np.bitwise_or.at(self.bits, (code, at // 64, row), np.uint64(1) << (at % 64).astype(np.uint64))
+
+    def shared(self, title: str) -> np.ndarray:
+        """How many signs each has in common with ``title``, in any order."""
+        own = [(self.place[c], k) for c, k in Counter(title).items() if c in self.place]
+        if not own:
+            return np.zeros(len(self.n), np.int64)
+        most = np.minimum(np.array([k for _, k in own]), np.iinfo(self.count.dtype).max).astype(self.count.dtype)
+        return np.minimum(self.count[[k for k, _ in own]], most[:, None]).sum(axis=0, dtype=self.count.dtype)
+
+    def common(self, title: str, rows: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of ``title`` and each title at ``rows``: a zero bit for each of its signs."""
+        known = {c: k for k, c in enumerate(c for c in dict.fromkeys(title) if c in self.place)}
+        bits = self.bits[[self.place[c] for c in known]][:, :, rows]
+        v = np.full((self.words, len(rows)), ~np.uint64(0))
+        for c in title:
+            if c not in known:
+                continue
+            u = v & bits[known[c]]
+            total = v + u
+            for w in range(1, self.words):  # what the word before carries
+                carry = (total[w - 1] < v[w - 1]) if w == 1 else (total[w - 1] < v[w - 1]) | (carry & (total[w - 1] == v[w - 1]))
+                total[w] += carry
+            v = total | (v ^ u)
+        return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
+def _tables(titles: np.ndarray, at: np.ndarray) -> Iterator[tuple[_Signs, np.ndarray]]:
+    """Tables of the titles at ``at`` (by length), cut until each is small."""
+    table = _Signs([titles[k] for k in at])
+    if len(at) > 1 and (table.cells > CELLS or len(at) > 4096):
+        for half in np.array_split(at, 2):
+            yield from _tables(titles, half)
+    else:
+        yield table, at
 
 
 def alike_titles(titles: DataFrame, most: float = 0.75) -> DataFrame:
     """(earlier, later): pairs of ``titles`` (id, place, block, title; titles of a block differ) with a Ratcliff-Obershelp ratio
     above ``most``, the later one by place being compared with the earlier one.
 
-    A ratio is twice the matching signs over both lengths, and no more signs can match than both have. So a title is the set of its
-    signs (the second e is another than the first), and pairs above ``most`` share one of each other's rarest: as many as they may
-    lack, and one more. Pairs that have enough signs in common, and enough in the same order, are compared in full.
+    A ratio is twice the matching signs over both lengths, and no more signs can match than both have, or have in the same order. Random
+    titles have most signs in common, so no index tells them apart: titles of a block meet in pairs of tiles, and a task counts for a title
+    and all of a tile at once what they have in common. Nothing is shuffled but titles, each as often as there are tiles, and only
+    pairs above ``most`` are written.
     """
-    order = F.row_number().over(Window.partitionBy("id", "sign").orderBy("at"))
-    signs = titles.select("id", "block", F.length("title").alias("n"), F.posexplode(F.split("title", "")).alias("at", "sign"))
-    signs = signs.where("sign <> ''").withColumn("sign", F.concat("sign", order.cast("string")))
-    often = signs.groupBy(F.col("block").alias("_block"), F.col("sign").alias("_sign")).agg(F.count(F.lit(1)).alias("df"))
-    own = signs.join(often, F.col("block").eqNullSafe(F.col("_block")) & (F.col("sign") == F.col("_sign"))).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "sign"))).alias("own"))
-    least = F.ceil(F.col("n") * (most / (2 - most)) - 1e-9)
-    heads = titles.withColumn("n", F.length("title")).join(own, "id").select("id", "place", "block", "n", F.explode(F.transform(F.slice("own", F.lit(1), (F.col("n") - least + 1).cast("int")), lambda x: x["sign"])).alias("sign"))
-    a = heads.select(F.col("id").alias("earlier"), F.col("place").alias("p"), F.col("block").alias("u"), F.col("n").alias("n_a"), F.col("sign").alias("s"))
-    b = heads.select(F.col("id").alias("later"), F.col("place").alias("q"), F.col("block").alias("v"), F.col("n").alias("n_b"), F.col("sign").alias("t"))
-    sized = (F.least("n_a", "n_b") * 2 > most * (F.col("n_a") + F.col("n_b"))) & (F.col("p") < F.col("q"))
-    pairs = a.join(b, (F.col("s") == F.col("t")) & F.col("u").eqNullSafe(F.col("v")) & sized).select("earlier", "later").distinct()
-    named = pairs.join(titles.select(F.col("id").alias("earlier"), F.col("title").alias("x")), "earlier").join(titles.select(F.col("id").alias("later"), F.col("title").alias("y")), "later")
-
-    @F.pandas_udf("boolean")
-    def above(later: pd.Series, earlier: pd.Series) -> pd.Series:
-        def test(t: str, k: str) -> bool:
-            need, m = most * (len(t) + len(k)) / 2, difflib.SequenceMatcher(None, t, k)
-            return m.quick_ratio() > most and _length_of_common(t, k) > need and m.ratio() > most
-
-        return pd.Series([test(t, k) for t, k in zip(later, earlier, strict=True)], dtype=bool)
-
-    # pairs are few beside the titles' texts: they are dealt evenly again before they are compared
-    return named.repartition("earlier", "later").where(above("y", "x")).select("earlier", "later")
+    placed = staged(titles.sort("place").select("id", "block", "title", F.monotonically_increasing_id().alias("number")), "placed")
+    tiles = F.greatest(F.ceil(F.col("many") / LARGE), F.least(F.lit(TILES), F.ceil(F.col("many") / SMALL))).cast("int")
+    blocks = staged(placed.groupBy(F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("_block", tiles.alias("tiles")), "blocks")
+    tasks = blocks.agg(F.sum(F.expr("tiles * (tiles + 1L) DIV 2"))).first()[0] or 1
+    rows = placed.join(blocks, placed["block"].eqNullSafe(blocks["_block"])).withColumn("own", F.pmod(F.xxhash64("number"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("id", "block", "title", "number", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    kind = titles.schema["id"].dataType.simpleString()
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        title, number, own, ids = (pdf[c].to_numpy() for c in ("title", "number", "own", "id"))
+        size = np.array([len(t) for t in title])
+        left, right = (np.flatnonzero(own == side) for side in key[-2:])
+        right = right[np.argsort(size[right], kind="stable")]
+        earlier, later = [], []
+        for table, at in _tables(title, right) if len(right) else ():
+            for i in left:
+                t = title[i]
+                need = most * (table.n + len(t)) / 2 - 1e-6
+                near = np.flatnonzero((table.shared(t) > need) & (number[at] < number[i] if key[-2] == key[-1] else True))
+                if len(near):
+                    near = near[table.common(t, near) > need[near]]
+                for k in at[near]:
+                    x, y = (k, i) if number[k] < number[i] else (i, k)
+                    if difflib.SequenceMatcher(None, title[y], title[x]).ratio() > most:
+                        earlier.append(ids[x])
+                        later.append(ids[y])
+        return pd.DataFrame({"earlier": earlier, "later": later})
+
+    return rows.repartition(min(2 * tasks, 4000), "block", "a", "b").groupBy("block", "a", "b").applyInPandas(compare, f"earlier {kind}, later {kind}")
 
 
 def fuzzy_titles(news: DataFrame, block: str | None, order: str, title: str = "title", most: float = 0.75) -> DataFrame:
