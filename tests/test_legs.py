@@ -70,3 +70,38 @@ def test_legs(spark, monkeypatch):
     assert walk.legs_of([(1, 8), (2, 8), (3, 9), (4, 30), (5, 1)], 24) == [(1, 2), (3, 3), (4, 4), (5, 5)]
     assert sorted(map(str, strategies.run(panel, {"a": sig, "b": sig.where("ts_code > '000003.SZ'")}).collect())) == whole
     assert any("'trade'" in r for r in whole)
+
+
+@pytest.mark.parametrize("rules", [strategies.Rules(), MARKET])
+def test_orders_are_filled_at_once(rules, monkeypatch):
+    """Against the same walk with every order tried by itself; with cash for all few are."""
+    rules = strategies.Rules(**(strategies.asdict(rules) | {"cash": 1e9}))
+    rng = random.Random(4)
+    codes = [f"{i:06d}.{'SH' if i % 3 else 'SZ'}" for i in range(600)]
+    days = []
+    for _ in range(10):
+        own = sorted(rng.sample(codes, 560))
+        t = {c: [rng.choice([9.995, 10.005, 7.5, 12.345, 11.11] * 30 + [float("nan")]) * rng.uniform(0.9, 1.1) for _ in own] for c in ("open", "close")}
+        t["high"], t["low"] = ([f(a, b) for a, b in zip(t["open"], t["close"], strict=True)] for f in (max, min))
+        t["close"] = [10.0 if c != c else c for c in t["close"]]
+        t |= {"ts_code": own, "vol": [rng.choice([0.0, 2.0, 50.0, 300.0]) for _ in own], "unit": [1e-6] * len(own), "entry": [rng.random() < 0.5 for _ in own], "leave": [rng.random() < 0.5 for _ in own]}
+        t["open"] = [10.0 if x != x and rng.random() < 0.9 else x for x in t["open"]]
+        t |= {k: pa.array([rng.choice([None, None, None, w]) for _ in own], pa.string()) for k, w in (("no_buy", "limit_up_buy_blocked"), ("no_sell", "limit_down_sell_blocked"))}
+        days.append(pa.table(t))
+    tried, fill = [], strategies.Desk.fill
+    monkeypatch.setattr(strategies.Desk, "fill", lambda self, *a: tried.append(a) or fill(self, *a))
+
+    def walked():
+        desk, out = strategies.Desk(rules), []
+        for d, t in zip(DAYS, days, strict=False):
+            cancelled, events = desk.day(d, t)
+            turned = list(zip(cancelled["ts_code"].to_pylist(), cancelled["what"].to_pylist(), cancelled["wanted"].tolist(), strict=True)) + [r[1:4] for r in zip(*events.values(), strict=True) if r[0] == "cancelled"]
+            out.append((sorted(turned), repr([r for r in zip(*events.values(), strict=True) if r[0] != "cancelled"]), repr(desk.held), desk.cash, desk.about))
+        return out
+
+    got, few = walked(), len(tried)
+    monkeypatch.setattr(strategies, "FEW", 10**9)
+    monkeypatch.setattr(strategies._Stretch, "fill", lambda self, a, b, events: 0)
+    assert got == walked()
+    trades = sum(day[1].count("'trade'") for day in got)
+    assert trades > 500 and few < 0.75 * (len(tried) - few)

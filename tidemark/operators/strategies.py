@@ -32,10 +32,16 @@ def _frame(n: int, end: int = 0) -> str:
     return f"OVER ({_W} ROWS BETWEEN {n - 1 + end} PRECEDING AND {f'{end} PRECEDING' if end else 'CURRENT ROW'})"
 
 
-def _ema(a: str, n: int) -> str:
-    """Recursive mean over an array, from its first element on."""
-    k = 2.0 / (n + 1)
-    return f"aggregate(slice({a}, 2, size({a}) - 1), array(element_at({a}, 1)), (s, v) -> concat(s, array(v * {k!r}D + element_at(s, -1) * {1 - k!r}D)))"
+def _macd(a: str, fast: int, slow: int, signal: int) -> str:
+    """Last two bars (now, before) of an array's histogram: recursive means from its first element on, in one pass that keeps no arrays."""
+    mean = lambda n, x, s: f"{x} * {2.0 / (n + 1)!r}D + {s} * {1 - 2.0 / (n + 1)!r}D"
+    first = f"named_struct('f', element_at({a}, 1), 's', element_at({a}, 1), 'e', element_at({a}, 1) - element_at({a}, 1), 'now', 0D, 'before', 0D)"
+    means = f"named_struct('f', {mean(fast, 'v', 's.f')}, 's', {mean(slow, 'v', 's.s')}, 'e', s.e, 'now', s.now)"
+    signals = f"named_struct('f', m.f, 's', m.s, 'e', {mean(signal, '(m.f - m.s)', 'm.e')}, 'now', 0D, 'before', m.now)"
+    last = "named_struct('f', m.f, 's', m.s, 'e', m.e, 'now', (m.f - m.s) - m.e, 'before', m.before)"
+    # each step names what the one before has made
+    step = f"transform(array(transform(array({means}), m -> {signals})[0]), m -> {last})[0]"
+    return f"aggregate(slice({a}, 2, size({a}) - 1), {first}, (s, v) -> {step})"
 
 
 def _wilder(a: str, n: int) -> str:
@@ -71,10 +77,9 @@ STRATEGIES: dict[str, dict] = {
         "params": {"fast": 12, "slow": 26, "signal": 9},
         "steps": [
             lambda p: {"a": f"collect_list(close) {_frame(p['slow'] + p['signal'] + 10)}"},
-            lambda p: {"dif": f"CASE WHEN size(a) >= {p['slow'] + p['signal']} THEN zip_with({_ema('a', p['fast'])}, {_ema('a', p['slow'])}, (x, y) -> x - y) END"},
-            lambda p: {"h": f"zip_with(dif, {_ema('dif', p['signal'])}, (x, y) -> x - y)"},
+            lambda p: {"h": f"CASE WHEN size(a) >= {p['slow'] + p['signal']} THEN {_macd('a', p['fast'], p['slow'], p['signal'])} END"},
         ],
-        "entry": lambda p: "element_at(h, -1) > 0 AND element_at(h, -2) <= 0", "exit": lambda p: "element_at(h, -1) < 0 AND element_at(h, -2) >= 0",
+        "entry": lambda p: "h.now > 0 AND h.before <= 0", "exit": lambda p: "h.now < 0 AND h.before >= 0",
     },
     "rsi": {
         "params": {"period": 14, "low": 35.0, "high": 65.0},
@@ -175,6 +180,8 @@ SCHEMA = "strategy string, trade_date date, kind string, ts_code string, what st
 REASONS = ("", "no_data_on_date", "star_market_filtered", "st_filtered", "drawdown_breaker", "limit_up_buy_blocked", "limit_down_sell_blocked", "volume_too_small", "position_limit", "insufficient_cash")
 #: Fixed value: orders that are looked at first for one that can be filled.
 LOOK = 256
+#: Fixed value: fewer orders than these are not worth being filled at once.
+FEW = 16
 #: What rounding may move a limit by, as a share of it.
 SLACK = 1e-6
 
@@ -193,7 +200,7 @@ class Desk:
         return pickle.dumps(self)
 
     def worth(self) -> float:
-        return self.cash + sum(p["shares"] * p["last"] for p in self.held.values())
+        return self.cash + sum([p["shares"] * p["last"] for p in self.held.values()])
 
     def day(self, day: object, rows: pa.Table) -> list[dict]:
         """Settles, checks stops and the breaker, fills the waiting orders at the open, values at the close
@@ -206,8 +213,9 @@ class Desk:
         bars |= {c: pc.fill_null(pc.index_in(rows[c], pa.array(REASONS)), 0).to_numpy() for c in ("no_buy", "no_sell")}
         sales = [(c, n) for _, c, n in self.sales]
         before = [k for k, _, _ in self.sales]
-        for c, p in self.held.items():
+        for p in self.held.values():
             p["sellable"] = p["shares"]
+        for c, p in self.held.items() if r.stop_loss > 0 or r.take_profit > 0 else ():
             gain = p["last"] / p["cost"] - 1 if p["cost"] > 0 else 0.0
             if r.stop_loss > 0 and gain <= -r.stop_loss or r.take_profit > 0 and gain >= r.take_profit:
                 sales.append((c, -p["sellable"]))
@@ -218,22 +226,35 @@ class Desk:
                 self.shut = True
                 sales += [(c, -p["sellable"]) for c, p in self.held.items()]
         before += [len(self.buys)] * (len(sales) - len(before))
-        sold = places([c for c, _ in sales]).to_pylist()
+        sold = pc.fill_null(places([c for c, _ in sales]), -1).to_numpy()
         bought = pc.fill_null(pc.index_in(self.buys.cast(code.type), code), -1).to_numpy()
-        book, at, events = _Book(self, bought, bars), 0, []
-        for (c, n), to, i in zip(sales, before, sold, strict=True):
-            events += book.fill(at, to)
-            at = to
-            events.append(self.fill(c, n, _bar(bars, i)))
-        events += book.fill(at, len(self.buys))
+        book = _Book(self, bought, bars)
+        stretch = _Stretch(self, book, sales, before, sold, bars)
+        at, events, total, look, slow = 0, [], len(sales) + len(self.buys), LOOK, FEW
+        while at < total:
+            done = stretch.fill(at, min(at + look, total), events)
+            at += done
+            if done == look:
+                look *= 2
+                continue
+            # what cash or a limit decides is tried by itself, with the more orders after it the more there is of it
+            look, slow = LOOK, FEW if done else 4 * slow
+            end = min(at + slow, total)
+            for k in [*stretch.sales_in(at, end), None]:
+                a, b = stretch.purchases(at, end if k is None else stretch.place[k])
+                events += book.fill(a, b)
+                if k is not None:
+                    events.append(self.fill(*sales[k], _bar(bars, sold[k])))
+                    at = stretch.place[k] + 1
+            at = end
         no = np.flatnonzero(book.why)
         out = [{"kind": pa.repeat("cancelled", len(no)), "ts_code": self.buys.take(pa.array(no)), "what": pa.array(REASONS).take(pa.array(book.why[no])), "wanted": self.wanted[no]}]
-        row = dict(zip(self.held, places(list(self.held)).to_pylist(), strict=True))
-        for c, i in row.items():
-            if i is not None:
-                self.held[c]["last"] = float(bars["close"][i])
+        row = pc.fill_null(places(list(self.held)), -1).to_numpy()
+        for p, i, last in zip(self.held.values(), row.tolist(), (bars["close"][row] if len(code) else row).tolist(), strict=True):
+            if i >= 0:
+                p["last"] = last
         self.about = worth = self.worth()
-        own = sorted(i for i in row.values() if i is not None)
+        own = np.sort(row[row >= 0])
         entry = bars["entry"].astype(bool)
         entry[own] = False
         found = np.flatnonzero(entry)
@@ -245,10 +266,12 @@ class Desk:
         ok = np.isfinite(lots) & (lots > 0)
         found, self.wanted = found[ok], lots[ok].astype(np.int64)
         self.buys = code.take(pa.array(found))
-        self.sales = [(int(np.searchsorted(found, i)), c, -self.held[c]["shares"]) for i, c in ((i, code[i].as_py()) for i in own) if bars["leave"][i]]
+        left = own[bars["leave"][own].astype(bool)]
+        self.sales = [(k, c, -self.held[c]["shares"]) for k, c in zip(np.searchsorted(found, left).tolist(), code.take(pa.array(left)).to_pylist(), strict=True)]
         events.append(("day", None, None, None, None, None, None, None, round(worth, 2), round(self.cash, 2)))
         names = ("kind", "ts_code", "what", "wanted", "shares", "price", "commission", "tax", "value", "cash")
-        out.append({n: [e[k] if k < len(e) else None for e in events] for k, n in enumerate(names)})
+        none = (None,) * len(names)
+        out.append({n: list(v) for n, v in zip(names, zip(*[e + none[len(e) :] for e in events], strict=True), strict=True)})
         return out
 
     def fill(self, code: str, wanted: int, bar) -> tuple:
@@ -379,6 +402,105 @@ class _Book:
         return no_room & ~odd, no_cash & ~odd
 
 
+class _Stretch:
+    """A date's orders in their order, sales among purchases, filled many at once as long as cash and limits of worth decide nothing: then
+    cash and worth before each order are running sums, added up in the same order as one by one."""
+
+    def __init__(self, desk: Desk, book: _Book, sales: list[tuple[str, int]], before: list[int], sold: np.ndarray, bars: dict[str, np.ndarray]):
+        r, self.desk, self.book, self.sales = desk.r, desk, book, sales
+        nb, ns = len(book.at), len(sales)
+        self.place = np.array(before, np.int64) + np.arange(ns)
+        self.sale = np.zeros(nb + ns, bool)
+        self.sale[self.place] = True
+        self.k = np.where(self.sale, np.cumsum(self.sale), np.cumsum(~self.sale)) - 1  # number among sales or purchases
+        at = np.full(nb + ns, -1, np.int64)
+        at[self.sale], at[~self.sale] = sold, book.at
+        there = at >= 0
+        b = {c: np.full(nb + ns, np.nan) for c in ("open", "high", "low", "vol")}
+        for c in b:
+            b[c][there] = bars[c][at[there]]
+        self.b = b
+        self.codes = np.empty(nb + ns, object)
+        self.codes[self.sale], self.codes[~self.sale] = [c for c, _ in sales], desk.buys.to_pylist()
+        self.wanted = np.zeros(nb + ns, np.int64)
+        self.wanted[self.sale], self.wanted[~self.sale] = [n for _, n in sales], desk.wanted
+        # why an order is turned down, whatever cash there is
+        self.why = np.zeros(nb + ns, np.int8)
+        self.why[~self.sale] = book.why
+        shut = np.zeros(nb + ns, np.int8)
+        shut[there] = bars["no_sell"][at[there]]
+        self.why[self.sale & ~there] = REASONS.index("no_data_on_date")
+        for reason in ("star_market_filtered", "st_filtered", "limit_up_buy_blocked", "limit_down_sell_blocked"):
+            self.why[self.sale & (shut == REASONS.index(reason))] = REASONS.index(reason)
+        # what is sold for a second reason is tried by itself
+        first = np.zeros(ns, bool)
+        first[np.unique(np.array([c for c, _ in sales], str), return_index=True)[1]] = True
+        with np.errstate(all="ignore"):
+            most = np.abs(self.wanted).astype(float)
+            volume = b["vol"] * 100 * r.volume_limit
+            self.most = np.where(volume >= 1, np.minimum(most, np.floor(volume)), most)
+            self.n = np.where(self.most > 0, np.floor_divide(self.most, r.lot), 0.0) * r.lot
+            self.why[self.sale & (self.why == 0) & (self.n <= 0)] = REASONS.index("volume_too_small")
+            self.raw = np.maximum(0.0, b["open"] + np.where(self.sale, -1, 1) * r.slippage)
+        self.known = np.isfinite(self.raw) & np.isfinite(b["high"]) & np.isfinite(b["low"]) & (self.n > 0)
+        self.known[self.place[~first]] = False
+        self.why[self.place[~first]] = 0
+
+    def sales_in(self, a: int, b: int) -> range:
+        return range(*np.searchsorted(self.place, (a, b)).tolist())
+
+    def purchases(self, a: int, b: int) -> tuple[int, int]:
+        """Numbers of the purchases at places a to b."""
+        return a - int(np.searchsorted(self.place, a)), b - int(np.searchsorted(self.place, b))
+
+    def fill(self, a: int, b: int, events: list[tuple]) -> int:
+        """Fills orders from place a on, up to b or the first that has to be tried by itself, and adds what happens; how many, none if too few for it."""
+        desk, r, s = self.desk, self.desk.r, slice(a, b)
+        sale, trade = self.sale[s], self.why[s] == 0
+        with np.errstate(all="ignore"):
+            price, high, low = np.array([round(x, 2) if x == x else x for x in self.raw[s].tolist()]), self.b["high"][s], self.b["low"][s]
+            price = np.where((high > 0) & (low > 0), np.maximum(low, np.minimum(high, price)), price)
+            ok = ~trade | self.known[s] & (price > 0)
+            own = [desk.held.get(c) if t else None for c, t in zip(self.codes[s], trade, strict=True)]
+            ok &= ~trade | (np.array([p is not None for p in own], bool) == sale)
+            held = np.array([p["sellable"] if p else 0 for p in own], np.int64)
+            ok &= ~trade | ~sale | (held == -self.wanted[s])
+            n, last = np.where(trade, self.n[s], 0.0), np.array([p["last"] if p else 0.0 for p in own])
+            transfer = np.array([r.transfer_fee if ".SH" in c.upper() else 0.0 for c in self.codes[s]]) if r.transfer_fee else np.zeros(len(n))
+            amount = n * price
+            commission = np.maximum(amount * r.commission, r.min_commission)
+            tax = amount * transfer + np.where(sale, amount * r.stamp_tax, 0.0)
+            paid = np.where(trade, np.where(sale, -amount, amount) + commission + tax, 0.0)
+            cash = np.subtract.accumulate(np.concatenate(([desk.cash], paid)))
+            moves = np.zeros(2 * len(n) + 1)
+            moves[0], moves[1::2], moves[2::2] = desk.about, np.where(trade, -(commission + tax), 0.0), np.where(trade & sale, n * (price - last), 0.0)
+            about = np.add.accumulate(moves)[::2]
+            by_rate = cash[:-1] / (price * (1 + r.commission + transfer))
+            by_least = (cash[:-1] - (r.min_commission if r.commission > 0 else 0.0)) / (price * (1 + transfer))
+            lots = np.floor_divide(np.maximum(0.0, np.minimum(by_rate, by_least) + 1e-9), r.lot) * r.lot
+            room = about[:-1] * (1 - SLACK) * r.max_position / np.maximum(price, 1e-12) if r.max_position > 0 else np.inf
+            ok &= ~trade | sale | (lots >= n) & (room > np.maximum(r.lot, np.minimum(lots, self.most[s])))
+        upto = len(ok) if ok.all() else int(np.argmin(ok))
+        if upto < FEW and upto < len(ok):
+            return 0
+        desk.cash, desk.about = float(cash[upto]), float(about[upto])
+        rows = zip(self.codes[s][:upto].tolist(), sale.tolist(), self.why[s].tolist(), self.wanted[s].tolist(), n.astype(np.int64).tolist(), price.tolist(), commission.tolist(), tax.tolist(), amount.tolist(), own, strict=False)
+        for code, sell, why, wanted, m, p, c, t, x, old in rows:
+            if why:
+                if sell:  # purchases are reported together
+                    events.append(("cancelled", code, REASONS[why], wanted))
+                continue
+            if not sell:
+                desk.held[code] = {"shares": m, "sellable": 0, "cost": x / m, "last": p}
+            elif old["shares"] == m:
+                del desk.held[code]
+            else:
+                old["shares"] -= m
+                old["sellable"] -= m
+            events.append(("trade", code, "sell" if sell else "buy", wanted, m, round(p, 4), round(c, 2), round(t, 2)))
+        return upto
+
+
 def run(panel: DataFrame, runs: dict[str, DataFrame], rules: Rules = Rules()) -> DataFrame:
     """Events (``SCHEMA``) of several strategies over one panel: a day per date, trades, cancelled orders.
     ``runs``: signals by the name of the run."""
