@@ -101,3 +101,13 @@ def test_measures(spark):
         assert abs(r["deflated_sharpe"] - (runs["test"]["sharpe"] - 0.15 * math.sqrt(math.log(2)))) < 1e-6 and abs(r["capacity_score"] - max(0.0, 100 - min(r["turnover"], 500) / 5)) < 1e-9
     assert {"coverage_below_45pct", "valid_stock_count_below_5", "no_real_trades", "test_ic_statistically_weak"} <= set(got[("late", 0)]["reasons"])
     assert got[("momentum", 0)]["trades"] > 0 and len({r["capacity_score"] for r in got.values()}) > 1
+
+
+def test_rows_are_dealt_once_for_ranks(spark):
+    """Ties are counted in the order of ranks: a value's rows are not sorted or dealt for them alone."""
+    import re
+
+    from tidemark.sources.panel import market_panel
+
+    plan = mining.batch_metrics(market_panel(spark, "/root/testdata/sf0.001"), {"a": "pctchange(close, 4)", "b": "volume"})._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[factor#", plan)) <= 3 and not re.search(r"hashpartitioning\(factor#\d+, trade_date#\d+, (value|_fwd)", plan)
