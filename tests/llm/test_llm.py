@@ -4,15 +4,17 @@ long texts, ties, repeats, clashing column names, and on empty tables."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, exact_dedup, exchange, html_text, lattice_lm, line_dedup, ngram_join, packing, pii, suffix_dedup, toxicity
+from tidemark.llm import common, decontaminate, exact_dedup, exchange, html_text, lattice_lm, line_dedup, ngram_join, packing, pii, suffix_dedup, toxicity
 
 SCHEMA = "doc_id bigint, text string, n int, sender string, rows double"
 RNG = random.Random(11)
@@ -258,6 +260,48 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.repeated_bytes(empty).count() == 0
 
 
+def test_fragments_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 120, 500_000, dtype=np.uint8).tobytes() for _ in range(6)]
+    suffix_dedup.fragments(texts[:1], 200)  # powers are kept
+    tracemalloc.start()
+    try:
+        suffix_dedup.fragments(texts, 200)
+        assert tracemalloc.get_traced_memory()[1] < 60e6  # with chunks of 1 MB: over 110e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_fragments_across_chunks(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abcd", k=k)) for k in (0, 39, 40, 900, 41, 0, 5000, 300)]
+    anchors = []
+    for chunk in (1 << 18, 64, 1):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        doc, first, last, at, m, _ = suffix_dedup.fragments(texts, 40)
+        anchors.append(sorted((d, w, a + r, h) for d, a, b, r, h in zip(doc, first, last, at, m, strict=True) for w in range(a, b + 1)))
+    assert [(d, w) for d, w, *_ in anchors[0]] == [(d, w) for d, t in enumerate(texts) for w in range(len(t) - 39)]
+    assert anchors[0] == anchors[1] == anchors[2]
+
+
+def test_batches_of_long_texts(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        docs = spark.range(0, 150, 1, 1).select(F.expr("repeat('0123456789', 20000)").alias("text"))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+        got = common.map_batches(docs, sizes, common.struct(("n", "bigint"), ("size", "bigint"))).collect()
+        assert sum(r["n"] for r in got) == 150
+        assert max(r["size"] for r in got) < 9e6  # was 30 MB in one batch
+    finally:
+        spark.conf.set(key, held)
+
+
 def test_aligned_windows():
     rng = random.Random(5)
     for _ in range(100):

@@ -21,6 +21,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows per Arrow batch; documents may be long, so batches hold few of them.
 BATCH_ROWS = 1000
+#: Bytes per Arrow batch (and the row that exceeds them): each batch is held several times, by the JVM and by Python.
+BATCH_BYTES = 8 << 20
 
 _STAGED: list[str] = []
 
@@ -70,6 +72,9 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:

@@ -34,8 +34,8 @@ from .exchange import mark_repeated
 GRAM = 32
 #: Fragments of one batch of the column-wise construction.
 BATCH = 6000
-#: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+#: Bytes that are hashed at a time; a worker holds about 130 bytes for each.
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
