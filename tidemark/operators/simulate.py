@@ -4,24 +4,28 @@ Ranks, tradability and prices are columns computed in Spark; only what depends o
 cash walks over dates (see ``walk``), one run per factor, direction, segment and parameter
 set. Of the panel a run sees the bars of securities that it may hold: from a date on which its
 worth pays for a lot of them until they are sold for certain, so what a run reads follows its cash and not the
-number of securities. What it reports are events (days, trades, rejections), and everything else
+number of securities; one that outgrows this bound sees all bars of what it ever picks. A date is a step over columns: sales, which no cash bounds,
+are made at once, and only trades of targets one by one. What it reports are events (days, trades, rejections), and everything else
 follows from them in DataFrames.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.compile import evaluate
 from ..sources.panel import market_panel
 from ..sources.work import staged
-from .walk import walk_dates
+from .walk import legs_of, walk_dates
 
 
 @dataclass(frozen=True)
@@ -53,8 +57,12 @@ RUN_SCHEMA = "factor string, direction string, segment string, select_pct double
 EVENTS = f"{RUN_SCHEMA}, trade_date date, kind string, ts_code string, what string, price double, shares long, amount double, commission double, stamp_tax double, transfer_fee double, value double, cash double, positions int"
 #: Fixed value: scored securities without which a date does not rebalance.
 LEAST_SCORED = 5
-#: How many times its cash a run is first thought to be worth at most; one that is worth more is walked again, with four times the most that it came to.
+#: How many times its cash a run is first thought to be worth at most; one that is worth more is walked again over all bars of what it picks.
 WORTH = 2.0
+#: Fixed value: rows of a run that a task sorts at once.
+LEG = 3_000_000
+#: What rounding may move a limit by, as a share of it.
+SLACK = 1e-6
 
 
 # --- rules as columns ------------------------------------------------------
@@ -126,62 +134,163 @@ def weight(s: Settings, targets: int) -> float:
 
 
 class Account:
-    """Cash, shares and the last prices of one run."""
+    """Cash of one run, and shares and last prices of the securities that it has seen, as columns. ``bound``: the greatest worth that its rows are
+    enough for."""
 
-    def __init__(self, s: Settings):
-        self.s, self.cash, self.shares, self.most = s, s.cash, {}, s.cash  # most: the greatest worth that targets were sized by
-        self.opens: dict[str, float] = {}
-        self.closes: dict[str, float] = {}
+    def __init__(self, s: Settings, bound: float = math.inf):
+        self.s, self.cash, self.most, self.bound = s, s.cash, s.cash, bound  # most: the greatest worth that targets were sized by
+        self.codes = pa.array([], pa.string())
+        self.shares, self.since, self.buys = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # since: which purchase made the position
+        self.opens, self.closes = np.zeros(0), np.zeros(0)  # 0: not known
+
+    def state(self) -> bytes:
+        return pickle.dumps(self)
+
+    def held(self) -> np.ndarray:
+        """Places of the positions in the order in which they were opened."""
+        own = np.flatnonzero(self.shares)
+        return own[np.argsort(self.since[own])]
 
     def worth(self, opening: bool) -> float:
         """Cash and shares at the last opens (closes where none is known) or closes."""
-        price = lambda c: (self.opens.get(c) if opening else None) or self.closes.get(c, 0.0)
-        return self.cash + sum(n * price(c) for c, n in self.shares.items())
-
-    def trade(self, code: str, bar, wanted: int) -> tuple:
-        """Buys (wanted > 0) or sells what all limits allow. The event: a trade, or the first limit
-        that leaves less than can be traded."""
-        s, side = self.s, 1 if wanted > 0 else -1
-        blocked = "paused_or_missing_price" if bar is None else bar.no_buy if side > 0 else bar.no_sell
-        if blocked:
-            return ("reject", code, blocked)
-        p, held = fill_price(bar.open, bar.low, bar.high, side, s.slippage), self.shares.get(code, 0)
+        own = self.held()
+        price = np.where(self.opens[own] > 0, self.opens[own], self.closes[own]) if opening else self.closes[own]
+        return self.cash + sum((self.shares[own] * price).tolist())
+
+    def see(self, code: pa.Array) -> np.ndarray:
+        """Places of the securities, new ones included."""
+        at = pc.index_in(code, self.codes)
+        if at.null_count:
+            new = code.filter(pc.is_null(at))
+            self.codes = pa.concat_arrays([self.codes, new])
+            self.shares, self.since, self.opens, self.closes = (np.concatenate((x, np.zeros(len(new), x.dtype))) for x in (self.shares, self.since, self.opens, self.closes))
+            at = pc.index_in(code, self.codes)
+        return at.to_numpy()
+
+    def transfer(self, own: np.ndarray) -> np.ndarray:
+        """The transfer fee's rate for each place."""
+        if not self.s.transfer_fee:
+            return np.zeros(len(own))
+        return np.array([self.s.transfer_fee if ".SH" in c.upper() else 0.0 for c in self.codes.take(pa.array(own)).to_pylist()])
+
+    def sell(self, own: np.ndarray, row: np.ndarray, bars: dict) -> tuple[list[dict], list[float]]:
+        """Sells all of the positions, as far as limits allow, in their order: events and amounts. Rows: places among the bars, or -1."""
+        s, there = self.s, row >= 0
+        if not len(own):
+            return [], []
+        why = np.full(len(own), "paused_or_missing_price", object)
+        why[there] = bars["no_sell"][row[there]]
+        free = np.flatnonzero(np.equal(why, None))
+        b = {c: bars[c][row[free]] for c in ("open", "high", "low", "vol")}
+        price = np.array([round(max(0.0, x - s.slippage), 2) for x in b["open"].tolist()])
+        with np.errstate(invalid="ignore"):
+            price = np.where((b["high"] > 0) & (b["low"] > 0), np.maximum(b["low"], np.minimum(b["high"], price)), price)
+            n = np.floor_divide(np.maximum(0.0, np.minimum(self.shares[own[free]], b["vol"] * 100 * s.volume_limit)), s.lot) * s.lot
+        why[free[n <= 0]] = "below_lot_or_volume_cap"
+        sold, n, price = own[free[n > 0]], n[n > 0], price[n > 0]
+        amount = n * price
+        commission = np.where((amount > 0) & (s.commission > 0), np.maximum(amount * s.commission, s.min_commission), 0.0)
+        tax, transfer = amount * s.stamp_tax, amount * self.transfer(sold)
+        self.cash = float(np.subtract.accumulate(np.concatenate(([self.cash], -amount + _sum(commission, tax, transfer))))[-1])
+        n = n.astype(np.int64)
+        self.shares[sold] -= n
+        no = np.flatnonzero(~np.equal(why, None))
+        out = [{"kind": pa.repeat("reject", len(no)), "ts_code": self.codes.take(pa.array(own[no])), "what": pa.array(why[no], pa.string())}]
+        out.append({"kind": pa.repeat("trade", len(sold)), "ts_code": self.codes.take(pa.array(sold)), "what": pa.repeat("sell", len(sold)), "price": [round(x, 4) for x in price.tolist()], "shares": n, "amount": amount, "commission": commission, "stamp_tax": tax, "transfer_fee": transfer})
+        return out, amount.tolist()
+
+    def trade(self, at: int, code: str, bar: dict, wanted: float, about: float) -> tuple[tuple, float]:
+        """Buys (wanted > 0) or sells of a target what all limits allow. The event (a trade, or the first limit
+        that leaves less than can be traded), and ``about``, the worth at opens but for rounding, after it."""
+        s, side, held = self.s, 1 if wanted > 0 else -1, int(self.shares[at])
+        if side < 0 and bar["no_sell"] is not None:
+            return ("reject", code, bar["no_sell"]), about
+        p = fill_price(bar["open"], bar["low"], bar["high"], side, s.slippage)
         transfer = s.transfer_fee if ".SH" in code.upper() else 0.0
-        limits = {"below_lot_or_volume_cap": min(abs(wanted) if side > 0 else min(-wanted, held), bar.vol * 100 * s.volume_limit)}
+        limits = {"below_lot_or_volume_cap": min(abs(wanted) if side > 0 else min(-wanted, held), bar["vol"] * 100 * s.volume_limit)}
         if side > 0:
-            if s.max_position > 0:
-                limits["max_position_pct"] = (self.worth(True) * s.max_position - held * bar.open) / max(p, 1e-12)
-            limits["insufficient_cash"] = affordable_lots(self.cash, p, s.commission, s.min_commission, transfer, s.lot)
+            cash = affordable_lots(self.cash, p, s.commission, s.min_commission, transfer, s.lot)
+            room = lambda worth: (worth * s.max_position - held * bar["open"]) / max(p, 1e-12)
+            # all that is held is added up only where that may matter
+            if s.max_position > 0 and not room(about * (1 - SLACK)) > max(s.lot, min(cash, *limits.values())):
+                limits["max_position_pct"] = room(self.worth(True))
+            limits["insufficient_cash"] = cash
         for reason, most in limits.items():
             if whole_lots(most, s.lot) <= 0:
-                return ("reject", code, reason)
+                return ("reject", code, reason), about
         n = whole_lots(min(limits.values()), s.lot)
         amount = n * p
         fees = (broker_fee(amount, s.commission, s.min_commission), amount * s.stamp_tax if side < 0 else 0.0, amount * transfer)
         self.cash -= side * amount + sum(fees)
-        self.shares[code] = held + side * n
-        if not self.shares[code]:
-            del self.shares[code]
-        return ("trade", code, "buy" if side > 0 else "sell", round(p, 4), n, amount, *fees)
-
-    def day(self, bars: dict, targets: list[str] | None, of: int | None = None) -> list[tuple]:
-        """Events of a date: with ``targets`` (best first) others are sold, then all are brought to equal weight. ``of``: how many
-        targets there are, where those that are neither held nor paid for by a lot's share are left out."""
-        s, events = self.s, []
-        self.opens.update({c: b.open for c, b in bars.items() if b.open > 0})
-        if targets is not None:
-            chosen = set(targets)
-            events += [self.trade(c, bars.get(c), -n) for c, n in list(self.shares.items()) if c not in chosen]
-            worth = self.worth(True)
-            self.most = max(self.most, worth)
-            each = worth * weight(s, len(targets) if of is None else of)
-            for c in targets:
-                goal = whole_lots(int(each / max(round(bars[c].open + s.slippage, 2), 1e-12)), s.lot)
-                if goal != self.shares.get(c, 0):
-                    events.append(self.trade(c, bars[c], goal - self.shares.get(c, 0)))
-        self.closes.update({c: b.close for c, b in bars.items() if b.close > 0})
-        traded = sum(e[5] for e in events if e[0] == "trade")
-        return [*events, ("day", None, None, None, None, traded, None, None, None, self.worth(False), self.cash, len(self.shares))]
+        if not held:
+            self.buys += 1
+            self.since[at] = self.buys
+        self.shares[at] = held + side * n
+        return ("trade", code, "buy" if side > 0 else "sell", round(p, 4), n, amount, *fees), about + side * n * (bar["open"] - p) - sum(fees)
+
+    def rebalance(self, at: np.ndarray, bars: dict, chosen: np.ndarray, of: int) -> tuple[list[dict], list[float]]:
+        """Sells all but the chosen bars' securities (best first), then brings these to equal weight; there are ``of`` targets, as
+        those that are neither held nor paid for by a lot's share may be left out. Events, and amounts of trades in order."""
+        s = self.s
+        row, target = np.full(len(self.codes), -1, np.int64), np.zeros(len(self.codes), bool)
+        row[at], target[at[chosen]] = np.arange(len(at)), True
+        own = self.held()
+        own = own[~target[own]]
+        out, amounts = self.sell(own, row[own], bars)
+        about = worth = self.worth(True)
+        self.most = max(self.most, worth)
+        each = worth * weight(s, of)
+        price = np.array([max(round(x + s.slippage, 2), 1e-12) for x in bars["open"][chosen].tolist()])
+        wanted = np.floor_divide(np.maximum(0.0, np.trunc(each / price)), s.lot) * s.lot - self.shares[at[chosen]]
+        chosen, wanted = chosen[wanted != 0], wanted[wanted != 0]
+        own, events = at[chosen], []
+        columns = [bars[c][chosen].tolist() for c in _TRADED]
+        for k, code, w, *bar in zip(own.tolist(), self.codes.take(pa.array(own, pa.int64())).to_pylist(), wanted.tolist(), *columns, strict=True):
+            event, about = self.trade(k, code, dict(zip(_TRADED, bar, strict=True)), w, about)
+            events.append(event)
+        amounts += [e[5] for e in events if e[0] == "trade"]
+        if events:
+            none = (None,) * len(_EVENT)
+            out.append({n: list(v) for n, v in zip(_EVENT, zip(*[e + none[len(e) :] for e in events], strict=True), strict=True)})
+        return out, amounts
+
+    def day(self, day: object, rows: pa.Table) -> list[dict]:
+        """Events of a date. Its first row is the run's own, unless it lies in a gap of the segment: then prices are noted, and nothing is told."""
+        if self.most > self.bound:
+            return [{"kind": ["over"], "amount": [self.most]}]
+        told = rows["ts_code"][0].as_py() == ""
+        first, rows = rows.slice(0, 1), rows.slice(1) if told else rows
+        code = rows["ts_code"].combine_chunks().cast(pa.string())
+        at = self.see(code)
+        bars = {c: rows[c].to_numpy() for c in ("open", "high", "low", "close", "vol", "nth", "no_sell")}
+        open_, close = bars["open"] > 0, bars["close"] > 0
+        self.opens[at[open_]] = bars["open"][open_]
+        out, amounts = [], []
+        if told and first["active"][0].as_py():
+            nth = bars["nth"].astype(float)
+            chosen = np.flatnonzero(~np.isnan(nth))
+            out, amounts = self.rebalance(at, bars, chosen[np.argsort(nth[chosen])], first["targets"][0].as_py())
+        if self.most > self.bound:
+            return [{"kind": ["over"], "amount": [self.most]}]
+        self.closes[at[close]] = bars["close"][close]
+        if not told:
+            return []
+        return [*out, {"kind": ["day"], "amount": [float(sum(amounts))], "value": [self.worth(False)], "cash": [self.cash], "positions": [int(np.count_nonzero(self.shares))]}]
+
+
+#: What a trade reads of a bar, and columns of trades.
+_TRADED = ("open", "high", "low", "vol", "no_sell")
+_EVENT = ("kind", "ts_code", "what", "price", "shares", "amount", "commission", "stamp_tax", "transfer_fee")
+
+
+def _sum(*parts: np.ndarray) -> np.ndarray:
+    """What ``sum`` makes of each row: with rounding errors added up beside."""
+    total, lost = parts[0], 0.0
+    for x in parts[1:]:
+        new = total + x
+        lost = lost + np.where(np.abs(total) >= np.abs(x), (total - new) + x, (x - new) + total)
+        total = new
+    return total + lost
 
 
 # --- runs ------------------------------------------------------------------
@@ -210,65 +319,60 @@ def events(panel: DataFrame, scores: DataFrame, directions: tuple[str, ...] = ("
     # what is told of scored rows further on: picks, refusals, and that the date has scores
     told = scored.where(picked | F.col("no_buy").isNotNull() | (F.col("nth") == 1))
     told = staged(told.select(*RUN, "trade_date", "ts_code", "nth", "no_buy", "open", picked.alias("picked"), F.least("free", goal).cast("int").alias("targets")), "told")
-    picks = told.where("picked")
-    # one row per date for the run itself; as many as the curves have
-    active = told.where("nth = 1").select(*RUN, "trade_date", F.lit(True).alias("active"), "targets")
-    clock = scores.select("factor").distinct().crossJoin(F.broadcast(plan.select(*RUN[1:], "trade_date"))).join(active, [*RUN, "trade_date"], "left")
+    # a row per run, and one per date for the run itself: as many as the curves have
+    first = plan.select(*RUN[1:]).distinct()
+    runs = staged(scores.select("factor").distinct().crossJoin(F.broadcast(first)).withColumn("run", (F.row_number().over(Window.orderBy(*RUN)) - 1).cast("int")), "runs")
+    own = told.join(F.broadcast(runs), RUN).drop(*RUN)
+    picks = own.where("picked")
+    active = own.where("nth = 1").select("run", "trade_date", F.lit(True).alias("active"), "targets")
+    clock = F.broadcast(runs).join(plan.select(*RUN[1:], "trade_date"), RUN[1:]).select("run", "trade_date").join(active, ["run", "trade_date"], "left")
     clock = staged(clock.withColumn("ts_code", F.lit("")).withColumn("active", F.coalesce("active", F.lit(False))), "clock")
-    last = plan.groupBy(*RUN[1:]).agg(F.max("trade_date").alias("last"))
-    options = asdict(s)
+    last = clock.groupBy("run").agg(F.max("trade_date").alias("last"))
+    options, tasks = asdict(s), max(1, runs.count())
+    legs = legs_of(sorted(map(tuple, panel.groupBy("trade_date").count().collect())), LEG)  # a row per date
 
-    def walked(worth: float, runs: DataFrame | None) -> DataFrame:
+    def walked(worth: float, some: DataFrame | None) -> DataFrame:
         """Events of runs that are worth so much at most when they buy; ``over`` where one is worth more."""
-        of = (lambda df: df) if runs is None else (lambda df: df.join(runs, RUN, "left_semi"))
-        rows = _holdable(of(picks), of(active), bars, last, s, worth)
+        of = (lambda df: df) if some is None else (lambda df: df.join(F.broadcast(some), "run", "left_semi"))
+        rows = _holdable(of(picks), active, bars, last, s, worth)
         rows = rows.unionByName(of(clock), allowMissingColumns=True)
 
-        def start(key: tuple):
-            account = Account(Settings(**options))
-            width = EVENTS.count(",") + 1 - len(RUN)
-
-            def step(day, frame: pd.DataFrame) -> list[tuple]:
-                first = frame["active"].iloc[0]  # the run's own row, or a date after a gap in the segment
-                own = frame[frame["ts_code"] != ""]
-                found = {b.ts_code: b for b in own.itertuples(index=False)}
-                rebalances = first is True or first == True  # noqa: E712
-                targets = own[own["nth"].notna()].sort_values("nth")["ts_code"].tolist() if rebalances else None
-                out = account.day(found, targets, int(frame["targets"].iloc[0]) if rebalances else None)
-                if account.most > worth:
-                    out = [("over", None, None, None, None, account.most)]
-                elif frame["ts_code"].iloc[0] != "":
-                    return []
-                return [(day, *e, *[None] * (width - 1 - len(e))) for e in out]
-
-            return step
-
-        return staged(walk_dates(rows, RUN, "trade_date", ["ts_code"], start, EVENTS), "events")
-
-    worth = WORTH * s.cash
-    out = walked(worth, None)
-    while (most := (over := out.where("kind = 'over'")).agg(F.max("amount")).first()[0]) is not None:
-        worth, runs = 4 * most, staged(over.select(*RUN).distinct(), "over")
-        out = out.join(runs, RUN, "left_anti").select(*out.columns).unionByName(walked(worth, runs))
+        def start(key: tuple, state: bytes | None) -> Account:
+            return pickle.loads(state) if state else Account(Settings(**options), worth)
+
+        schema = f"run int, {EVENTS.removeprefix(RUN_SCHEMA + ', ')}"
+        return staged(walk_dates(rows, ["run"], "trade_date", ["ts_code"], start, schema, legs, (tasks, F.col("run"))), "events")
+
+    out = walked(WORTH * s.cash, None)
+    over = staged(out.where("kind = 'over'").select("run").distinct(), "over")
+    if not over.isEmpty():
+        out = out.join(F.broadcast(over), "run", "left_anti").unionByName(walked(math.inf, over))
+    out = out.join(F.broadcast(runs), "run").select(*[c.split()[0] for c in EVENTS.split(", ")])
     turned = told.where("no_buy IS NOT NULL").select(*RUN, "trade_date", F.lit("reject").alias("kind"), "ts_code", F.col("no_buy").alias("what"))
     return out.unionByName(turned, allowMissingColumns=True)
 
 
 def _holdable(picks: DataFrame, active: DataFrame, bars: DataFrame, last: DataFrame, s: Settings, worth: float) -> DataFrame:
     """Bars (with ``nth`` where picked) on the dates on which a run may hold a security: from a pick for which an account of
-    ``worth`` would size a lot or more, to a rebalancing date that surely sells all of it: not picked, not blocked, and with enough volume."""
+    ``worth`` would size a lot or more, to a rebalancing date that surely sells all of it: not picked, not blocked, and with enough volume.
+    Of worth without bound, all bars from the first pick on. A security's picks go with it, so bars stay where they are."""
     each = F.least(F.lit(min(max(s.exposure, 0.0), 1.0)) / F.greatest("targets", F.lit(1)), F.lit(max(s.max_position, 0.0))) * (worth * (1 + 1e-9))
     shares = each / F.greatest(F.col("open") + s.slippage - 0.01, F.lit(1e-12))
-    sized = picks.withColumn("shares", shares).withColumn("sized", F.col("shares") >= s.lot)
-    ever = sized.where("sized").groupBy(*RUN, "ts_code").agg(F.min("trade_date").alias("first"), F.max("shares").alias("most"))
-    rows = ever.join(F.broadcast(last), RUN[1:]).join(bars, "ts_code").where((F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last")))
-    rows = rows.join(sized.select(*RUN, "trade_date", "ts_code", "nth", "sized"), [*RUN, "trade_date", "ts_code"], "left").join(F.broadcast(active.select(*RUN, "trade_date", "active")), [*RUN, "trade_date"], "left")
+    sized = picks.withColumn("shares", shares).withColumn("sized", F.lit(math.isinf(worth)) | (F.col("shares") >= s.lot))
+    own = lambda c: F.when(F.col("sized"), F.col(c))
+    ever = sized.groupBy("run", "ts_code").agg(F.min(own("trade_date")).alias("first"), F.max(own("shares")).alias("most"), F.map_from_entries(F.collect_list(F.struct("trade_date", F.struct("nth", "sized")))).alias("picks")).where("first IS NOT NULL")
+    rows = bars.join(ever, "ts_code").join(F.broadcast(last), "run").where((F.col("trade_date") >= F.col("first")) & (F.col("trade_date") <= F.col("last")))
+    rows = rows.join(F.broadcast(active.select("run", "trade_date", "active")), ["run", "trade_date"], "left").withColumn("pick", F.try_element_at("picks", "trade_date"))
+    # what only a trade reads is not sent for other dates
+    rows = rows.select("run", "trade_date", "ts_code", "open", "close", *[F.when(F.col("active"), F.col(c)).alias(c) for c in ("high", "low", "vol", "no_sell")], F.col("pick.nth").alias("nth"), F.coalesce("pick.sized", F.lit(False)).alias("sized"), "active", "most")
+    if math.isinf(worth):
+        return rows.drop("sized", "active", "most")
     sold = F.col("active") & F.col("nth").isNull() & F.col("no_sell").isNull() & (F.col("vol") * 100 * s.volume_limit >= F.col("most"))
-    w = Window.partitionBy(*RUN, "ts_code").orderBy("trade_date")
-    bought = F.max(F.when(F.col("sized"), F.col("trade_date"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    w = Window.partitionBy("run", "ts_code").orderBy("trade_date")
+    bought = F.max(own("trade_date")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     gone = F.max(F.when(sold, F.col("trade_date"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("bought", bought).withColumn("gone", gone).where(F.col("gone").isNull() | (F.col("gone") < F.col("bought")))
-    return rows.drop("first", "last", "most", "sized", "active", "bought", "gone")
+    return rows.drop("sized", "active", "most", "bought", "gone")
 
 
 def daily(events_: DataFrame) -> DataFrame:

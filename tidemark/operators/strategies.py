@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.panel import market_panel
 from . import simulate
-from .walk import legs_of, walk_columns
+from .walk import legs_of, walk_dates
 
 _W = "PARTITION BY ts_code ORDER BY trade_date"
 
@@ -520,7 +520,8 @@ def run(panel: DataFrame, runs: dict[str, DataFrame], rules: Rules = Rules()) ->
     def start(key: tuple, state: bytes | None) -> Desk:
         return pickle.loads(state) if state else Desk(Rules(**options))
 
-    return walk_columns(rows, KEYS, "trade_date", ["ts_code"], start, SCHEMA, legs)
+    number = (F.array_position(F.array(*[F.lit(n) for n in runs]), F.col("strategy")) - 1).cast("int")
+    return walk_dates(rows, KEYS, "trade_date", ["ts_code"], start, SCHEMA, legs, (len(runs), number))
 
 
 def optimize(panel: DataFrame, strategy: str, grid: dict[str, list], rules: Rules = Rules(), year: int = 252) -> DataFrame:

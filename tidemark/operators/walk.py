@@ -3,7 +3,7 @@
 What depends on cash, or on orders that wait for the next bar, is no window function. Its
 rows are partitioned by run, sorted by date, and stream through the run's task in
 Arrow batches; only the rows of one date and the run's own state are held at a time.
-Runs (factors, parameter sets, folds, strategies) are walked in parallel.
+Runs (factors, parameter sets, folds, strategies) are walked in parallel, each in a task of its own.
 """
 
 from __future__ import annotations
@@ -13,60 +13,15 @@ from functools import reduce
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..sources.work import staged
 
-#: What one date does: (date, rows of the date) to rows of the result without the keys.
-Step = Callable[[object, pd.DataFrame], list[tuple]]
-
-
-def walk_dates(rows: DataFrame, keys: list[str], time: str, order: list[str], start: Callable[[tuple], Step], schema: str) -> DataFrame:
-    """``start`` makes the step of a run from its key; the step is called once per date in
-    order, with that date's rows sorted by ``order``. ``schema`` is that of the result: the
-    keys first, then what steps return."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, step, day, held = None, None, None, []
-
-        def flush() -> list[tuple]:
-            return [(*key, *r) for r in step(day, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0])]
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            new = np.zeros(len(pdf), bool)
-            new[0] = True
-            for c in (*keys, time):
-                v = pdf[c].to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-            cuts = [*np.flatnonzero(new).tolist(), len(pdf)]
-            out: list[tuple] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = pdf.iloc[a:b]
-                here, date = tuple(part[k].iloc[0] for k in keys), part[time].iloc[0]
-                if held and (here, date) != (key, day):
-                    out += flush()
-                    held = []
-                if here != key:
-                    key, step = here, start(here)
-                day = date
-                held.append(part)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(flush(), columns=names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, time, *order).mapInPandas(run, schema)
-
-
 class Walker(Protocol):
     """One run over columns: what a date does, and all that the next leg has to know."""
 
@@ -87,10 +42,11 @@ def legs_of(sizes: list[tuple[object, int]], most: int) -> list[tuple[object, ob
     return [(a, b) for a, b, _ in out]
 
 
-def walk_columns(rows: DataFrame, keys: list[str], time: str, order: list[str], start: Callable[[tuple, bytes | None], Walker], schema: str, legs: list[tuple[object, object]]) -> DataFrame:
-    """``walk_dates`` for dates with many rows: a step gets a date's rows as columns, and returns columns. More than one of ``legs`` (first and last
+def walk_dates(rows: DataFrame, keys: list[str], time: str, order: list[str], start: Callable[[tuple, bytes | None], Walker], schema: str, legs: list[tuple[object, object]], deal: tuple[int, Column]) -> DataFrame:
+    """``start`` makes the walker of a run from its key and its state, if it has been under way; it is called once per date in order, with that date's rows sorted
+    by ``order`` as columns, and returns columns. ``schema`` is that of the result: the keys first, then what walkers return. More than one of ``legs`` (first and last
     date) are walked one after the other, each by a job that reads its own rows alone, so a task sorts one leg of one run; between
-    them goes the walker's state, as a row in the work folder."""
+    them goes the walker's state, as a row in the work folder. ``deal``: how many runs there are, and a run's number among them, so that each has a task."""
     names = [c.split()[0] for c in schema.split(", ")]
     whole = f"{schema}, state binary"
 
@@ -146,7 +102,7 @@ def walk_columns(rows: DataFrame, keys: list[str], time: str, order: list[str],
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(whole)]
 
     def walk(part: DataFrame) -> DataFrame:
-        return part.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first(time), *order).mapInArrow(run, whole)
+        return part.repartitionById(*deal).sortWithinPartitions(*keys, F.asc_nulls_first(time), *order).mapInArrow(run, whole)
 
     first = F.lit(None).cast("binary").alias("state")
     if len(legs) < 2:
